@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import superkmers, winnowing
+from . import partenum, superkmers, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,14 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.repeats_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_winnowing, op10_super_kmers)}
+QUERIES = {f.__name__: f for f in (op6_winnowing, op8_partenum, op10_super_kmers)}
 
 SQL: dict[str, str] = {}
