@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import partenum, superkmers, winnowing
+from . import packing, partenum, ppm, site_lines, superkmers, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.lines_report(_table(spark, sf_dir, "documents"))
+
+
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.language_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -19,10 +27,14 @@ def op8_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.repeats_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_winnowing, op8_partenum, op10_super_kmers)}
+QUERIES = {f.__name__: f for f in (op3_site_lines, op4_ppm, op6_winnowing, op8_partenum, op9_balanced_packing, op10_super_kmers)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_site_lines": site_lines.SQL}
