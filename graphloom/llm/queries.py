@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, partenum, ppm, site_lines, superkmers, winnowing
+from . import exact_dedup, packing, partenum, ppm, site_lines, superkmers, url_filters, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_report(_table(spark, sf_dir, "pages"))
+
+
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.lines_report(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_lsm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates_report(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,6 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.repeats_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_site_lines, op4_ppm, op6_winnowing, op8_partenum, op9_balanced_packing, op10_super_kmers)}
+QUERIES = {f.__name__: f for f in (op1_redirects, op3_site_lines, op4_ppm, op6_winnowing, op7_lsm_index, op8_partenum, op9_balanced_packing, op10_super_kmers)}
 
-SQL: dict[str, str] = {"op3_site_lines": site_lines.SQL}
+SQL: dict[str, str] = {"op1_redirects": url_filters.SQL, "op3_site_lines": site_lines.SQL, "op7_lsm_index": exact_dedup.SQL}
