@@ -354,13 +354,15 @@ def _link(threshold: Fraction):
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 2_000_000) -> DataFrame:
-    """One row (id, n_shingles, component) for each row of `documents`.
+    """One row (id, n_shingles, component, row, group) for each row of `documents`.
 
     Words are A-Z lower-cased; a text of fewer than `k` words is one shingle.
     component is the smallest id that is reachable over links, the row's own
     included.  A null, empty or blank text has no shingle and no link.  Rows
     that repeat an id are rows of their own; a null id is never the smallest
-    (component is null only where all ids are).  Other columns are not read.
+    (component is null only where all ids are).  row is a hash of the text that
+    tells rows of one id apart, group a number for all linked rows (null
+    without shingles).  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
@@ -384,9 +386,28 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     links = stored(sets.repartition("component").sortWithinPartitions("component").mapInArrow(_link(threshold), "key long, label long"), "links")
     named = classes.select("key", "low").join(links, "key", "left").select("key", "low", F.coalesce("label", "key").alias("label"))
     lows = stored(named.groupBy("label").agg(F.min("low").alias("component")), "lows")
-    named = stored(named.join(lows, "label").select("key", "component"), "named")
+    named = stored(named.join(lows, "label").select("key", "component", F.col("label").alias("group")), "named")
     alone = F.when(F.col("n") == 0, F.col("id"))
-    return members.join(named, "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce(alone, "component").alias("component"))
+    return members.join(named, "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce(alone, "component").alias("component"), "row", "group")
+
+
+def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`documents` with the row of the smallest id of each group of linked rows; columns unchanged.
+
+    Of rows without shingles all stay; of rows that repeat an id and a text one
+    stays; a null id stays only where all of its group are null.
+    """
+    rows = stored(near_duplicates(documents, id_col=id_col, text_col=text_col, **options), "groups")
+    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("r")).select("r.id", "r.row")
+    stay = first.unionByName(rows.where("group is null").select("id", "row").distinct()).toDF("__id", "__row")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = documents.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left_semi")
+    if rows.where("group is not null").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
+    # Rows that repeat: one of each, by the same key.
+    once = kept.withColumn("__row", F.xxhash64(text))
+    blank = once.where(F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")) == 0)
+    return once.where(F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")) > 0).dropDuplicates([id_col, "__row"]).unionByName(blank).drop("__row")
 
 
 def near_duplicates_report(documents: DataFrame, **options) -> DataFrame:

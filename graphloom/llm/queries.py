@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, partenum, ppm, site_lines, superkmers, url_filters, winnowing
+from . import chat, exact_dedup, packing, partenum, ppm, sharding, site_lines, superkmers, url_filters, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_report(_table(spark, sf_dir, "pages"))
 
 
+def op2_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.lines_report(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,11 @@ def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.language_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_report(talks.unionByName(spark.createDataFrame(chat.TRICK, "conv_id long, turn long, role string, text string")))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +52,6 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.repeats_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_redirects, op3_site_lines, op4_ppm, op6_winnowing, op7_lsm_index, op8_partenum, op9_balanced_packing, op10_super_kmers)}
+QUERIES = {f.__name__: f for f in (op1_redirects, op2_extendible_hashing, op3_site_lines, op4_ppm, op5_budgeted_windows, op6_winnowing, op7_lsm_index, op8_partenum, op9_balanced_packing, op10_super_kmers)}
 
-SQL: dict[str, str] = {"op1_redirects": url_filters.SQL, "op3_site_lines": site_lines.SQL, "op7_lsm_index": exact_dedup.SQL}
+SQL: dict[str, str] = {"op1_redirects": url_filters.SQL, "op2_extendible_hashing": sharding.SQL, "op3_site_lines": site_lines.SQL, "op7_lsm_index": exact_dedup.SQL}
