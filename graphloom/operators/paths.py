@@ -80,7 +80,7 @@ def shortest_paths(spark: SparkSession, graph: Graph, tables: list[RelTable], ty
     none = pairs.where("s = t")
     found = [level.join(none.select("s"), "s").select("s", F.col("s").alias("t"), "nodes", "rels")] if low == 0 else []
     left = cut(pairs.where("s <> t"))
-    seen = cut(level.select("s", "cur"))
+    seen = level.select("s", "cur")
     for _hop in range(1, (MOST_HOPS if high is None else high) + 1):
         if left.isEmpty():
             break
@@ -97,7 +97,7 @@ def shortest_paths(spark: SparkSession, graph: Graph, tables: list[RelTable], ty
             break
         found.append(level.join(left.withColumnRenamed("t", "cur"), ["s", "cur"]).select("s", F.col("cur").alias("t"), "nodes", "rels"))
         left = cut(left.join(level.select("s", F.col("cur").alias("t")).distinct(), ["s", "t"], "left_anti"))
-        seen = cut(seen.unionByName(level.select("s", "cur").distinct()))
+        seen = seen.unionByName(level.select("s", "cur"))
     path = fresh("path")
     out = found[0] if found else level.where(F.lit(False)).select("s", F.col("cur").alias("t"), "nodes", "rels")
     for x in found[1:]:

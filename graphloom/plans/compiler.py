@@ -173,13 +173,14 @@ class Compiler:
 
     def _expand(self, rows: Rows, start: str, r: S.RelPattern, to: S.NodePattern, name: str, outer) -> Rows:
         b = rows.scope[start]
-        tables = self._prune(b, rel_tables(self.graph, r.types), r.direction)
+        tables = rel_tables(self.graph, r.types)
         if r.variable:
             df, end, rels, item = expand_trails(self.spark, tables, r.types, r.direction, rows.df, b.id, r.low, r.high, self.used(r.var))
             scope = dict(rows.scope)
             if rels:
                 scope[r.var] = Plain(rels, list_of(item))
             return self._to(replace(rows, df=df, scope=scope), tables, r, end, to, name, outer)
+        tables = self._prune(b, tables, r.direction)
         edges, rel, a, e = scan_rels(self.spark, tables, r.types, r.direction)
         rows = replace(rows, df=rows.df.join(edges, F.col(b.id) == F.col(a)))
         return self._arrive(rows, tables, r, rel, e, to, name, outer)
@@ -447,7 +448,8 @@ class Compiler:
         if name == "collect":
             t = list_of(v.type)
             if v.type == NULL:
-                return F.first(F.array().cast(spark_type(t))), t
+                none = F.array().cast(spark_type(t))
+                return F.coalesce(F.first(none), none), t
             if order is None:
                 got = F.collect_list(v.col)
             else:
@@ -460,7 +462,7 @@ class Compiler:
         if not v.type.number and v.type != NULL:
             raise CypherTypeError(f"{name} takes numbers")
         if v.type == NULL:
-            return (F.first(F.lit(0).cast("long")), INT) if name == "sum" else (F.first(F.lit(None).cast("double")), FLOAT)
+            return (F.coalesce(F.first(F.lit(0)), F.lit(0)).cast("long"), INT) if name == "sum" else (F.first(F.lit(None).cast("double")), FLOAT)
         if name == "sum":
             total = F.sum_distinct(v.col) if call.distinct else F.sum(v.col)
             return F.coalesce(total, F.lit(0).cast(spark_type(v.type))), v.type

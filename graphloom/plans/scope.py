@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import Type, Value, null
+from ..types import Type, Value, null, struct_of
 
 _numbers = itertools.count()
 
@@ -48,7 +48,7 @@ class Node:
 
     def value(self) -> Value:
         t = Type("node", fields=tuple((k, t) for k, _, t in self.props))
-        props = F.struct(*[F.col(c).alias(k) for k, c, _ in self.props]) if self.props else F.struct()
+        props = struct_of(*[F.col(c).alias(k) for k, c, _ in self.props])
         return Value(F.when(F.col(self.id).isNotNull(), F.struct(F.col(self.id).alias("id"), self.labels_col().alias("labels"), props.alias("props"))), t)
 
 
@@ -73,7 +73,7 @@ class Rel:
 
     def value(self) -> Value:
         t = Type("rel", fields=tuple((k, t) for k, _, t in self.props))
-        props = F.struct(*[F.col(c).alias(k) for k, c, _ in self.props]) if self.props else F.struct()
+        props = struct_of(*[F.col(c).alias(k) for k, c, _ in self.props])
         whole = F.struct(*[F.col(c).alias(n) for n, c in (("id", self.id), ("type", self.type), ("src", self.src), ("dst", self.dst))], props.alias("props"))
         return Value(F.when(F.col(self.id).isNotNull(), whole), t)
 

@@ -72,7 +72,7 @@ def spark_type(t: Type) -> T.DataType:
         case "list":
             return T.ArrayType(spark_type(t.item))
         case "map":
-            return T.StructType([T.StructField(k, spark_type(v)) for k, v in t.fields])
+            return T.StructType([T.StructField(k, spark_type(v)) for k, v in t.fields] or [T.StructField("_", T.BooleanType())])  # files hold no empty struct
         case "node":
             return T.StructType([T.StructField("id", T.LongType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("props", spark_type(replace(t, kind="map")))])
         case "rel":
@@ -125,6 +125,10 @@ def common(a: Type, b: Type, what: str = "values") -> Type:
     raise CypherTypeError(f"{what} of types {a.kind} and {b.kind} do not mix")
 
 
+def struct_of(*fields: Column) -> Column:
+    return F.struct(*fields) if fields else F.struct(F.lit(None).cast("boolean").alias("_"))
+
+
 def convert(v: Value, t: Type) -> Value:
     """v as a value of a type that holds it."""
     if v.type == t:
@@ -135,7 +139,7 @@ def convert(v: Value, t: Type) -> Value:
         return Value(F.transform(v.col, lambda x: convert(Value(x, v.type.item), t.item).col), t)
     if t.kind in ("map", "node", "rel"):
         source = v.col if t.kind == "map" else v.col["props"]
-        props = F.struct(*[(convert(Value(source[k], v.type.field(k)), x).col if v.type.field(k) else F.lit(None).cast(spark_type(x))).alias(k) for k, x in t.fields])
+        props = struct_of(*[(convert(Value(source[k], v.type.field(k)), x).col if v.type.field(k) else F.lit(None).cast(spark_type(x))).alias(k) for k, x in t.fields])
         if t.kind != "map":
             head = ("id", "labels") if t.kind == "node" else ("id", "type", "src", "dst")
             props = F.struct(*[v.col[h].alias(h) for h in head], props.alias("props"))
@@ -179,4 +183,4 @@ def make_list(items: list[Value]) -> Value:
 
 
 def make_map(items: list[tuple[str, Value]]) -> Value:
-    return Value(F.struct(*[v.col.alias(k) for k, v in items]) if items else F.struct(), Type("map", fields=tuple((k, v.type) for k, v in items)))
+    return Value(struct_of(*[v.col.alias(k) for k, v in items]), Type("map", fields=tuple((k, v.type) for k, v in items)))
