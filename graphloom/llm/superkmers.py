@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, estimated_bytes, stored
+from .shared import estimated_bytes, stored
 from .text import NOT_SPACE, U64, Words, _powers, buffers, gather, grams, mix, runs, sliding_min, spans, union_of
 
 CHUNK = 2 << 20
@@ -43,7 +43,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         parts.append(raw.tobytes())
     raw = b"".join(parts)
     head = struct.pack(f"<{len(arrays) + 1}q", len(raw), *(len(p) for p in parts))
-    return head + pa.Codec(_ZSTD, compression_level=1).compress(raw, asbytes=True)
+    return head + pa.Codec(_ZSTD, compression_level=3).compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes, types: list) -> list[np.ndarray]:
@@ -291,10 +291,7 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     buckets = max(64, estimated_bytes(documents) * 5 // bucket_bytes)
     sent = docs.select("id", "row", "text").mapInArrow(_cut(buckets, k, m), "bucket int, blob binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "id long, row int, s long, e long")
-    ranges = stored(found.groupBy("id", "row").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "repeats")
-    total = ranges.agg(F.sum(24 + 24 * F.size("ranges"))).first()[0] or 0
-    if total <= BROADCAST_BYTES:
-        ranges = F.broadcast(ranges)
+    ranges = stored(found.groupBy("id", "row").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "repeats")
     joined = docs.join(ranges, ["id", "row"], "left").select(F.col("true_id").alias("id"), "text", "ranges")
     return joined.mapInArrow(_cover(), "id long, n_words long, n_removed long, kept_text string")
 
