@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.scope import Node, Rel, fresh
 from ..runtime import cut
 from ..sources.graph import Graph, RelTable
-from ..types import spark_type
-from .scan import scan_nodes, scan_rels
+from ..types import convert, spark_type
+from .scan import level_tables, scan_nodes, scan_rels
 
 #: Hops of a variable length without an upper bound (a fixed limit of the language's engine).
 MOST_HOPS = 100
@@ -17,16 +17,19 @@ MOST_HOPS = 100
 LAZY_HOPS = 4
 
 
-def expand_trails(spark: SparkSession, tables: list[RelTable], types: tuple[str, ...], direction: str, df: DataFrame, start: str, low: int, high: int | None, keep_rels: bool) -> tuple[DataFrame, str, str | None, object]:
+def expand_trails(spark: SparkSession, tables: list[RelTable], types: tuple[str, ...], direction: str, df: DataFrame, start: str, labels: frozenset[str] | None, low: int, high: int | None, keep_rels: bool) -> tuple[DataFrame, str, str | None, object]:
     """df with, for each trail of low..high relationships from column `start`, its end and (if kept) its relationships.
 
-    A trail does not repeat a relationship.  Returns the rows, the end's
-    column, the relationships' column and their element type.
+    A trail does not repeat a relationship.  labels: those of the start, if
+    known; they tell which tables each hop can use, and how far any trail can
+    go.  Returns the rows, the end's column, the relationships' column and
+    their element type.
     """
     end, used, rels = fresh("end"), fresh("used"), fresh("rels")
     _, shape, _, _ = scan_rels(spark, tables, types, direction)
     item = shape.value().type
-    lazy = high is not None and high <= LAZY_HOPS
+    levels = level_tables(tables, labels, direction, MOST_HOPS if high is None else high)
+    lazy = len(levels) <= LAZY_HOPS
     base = df if lazy else cut(df.select(start).where(F.col(start).isNotNull()).distinct())
     key = "bigint" if len(tables) == 1 and not tables[0].type.startswith("@") else "struct<t:string,i:bigint>"
     level = base.withColumns({end: F.col(start), used: F.array().cast(f"array<{key}>")})
@@ -34,13 +37,13 @@ def expand_trails(spark: SparkSession, tables: list[RelTable], types: tuple[str,
         level = level.withColumn(rels, F.array().cast(f"array<{spark_type(item).simpleString()}>"))
     columns = level.columns
     found = [level] if low == 0 else []
-    for hop in range(1, (MOST_HOPS if high is None else high) + 1):
-        edges, rel, a, b = scan_rels(spark, tables, types, direction)
+    for hop, usable in enumerate(levels, 1):
+        edges, rel, a, b = scan_rels(spark, usable, types, direction)
         mark: Column = F.col(rel.id) if key == "bigint" else F.struct(F.col(rel.type).alias("t"), F.col(rel.id).alias("i"))
         level = level.join(edges, (F.col(end) == F.col(a)) & ~F.array_contains(used, mark))
         steps = {end: F.col(b), used: F.array_append(used, mark)}
         if keep_rels:
-            steps[rels] = F.array_append(rels, rel.value().col)
+            steps[rels] = F.array_append(rels, convert(rel.value(), item).col)
         level = level.withColumns(steps).select(*columns)
         if not lazy:
             level = cut(level)
@@ -56,7 +59,7 @@ def expand_trails(spark: SparkSession, tables: list[RelTable], types: tuple[str,
     return out, end, rels if keep_rels else None, item
 
 
-def shortest_paths(spark: SparkSession, graph: Graph, tables: list[RelTable], types: tuple[str, ...], direction: str, df: DataFrame, source: str, target: str, low: int, high: int | None, every: bool, keep_nodes: bool) -> tuple[DataFrame, str, Node, Rel]:
+def shortest_paths(spark: SparkSession, graph: Graph, tables: list[RelTable], types: tuple[str, ...], direction: str, df: DataFrame, source: str, labels: frozenset[str] | None, target: str, low: int, high: int | None, every: bool, keep_nodes: bool) -> tuple[DataFrame, str, Node, Rel]:
     """df with the shortest paths between its two id columns, as struct(nodes, rels); rows without a path go.
 
     Breadth first from all sources at once; a node that a source has reached
@@ -81,15 +84,15 @@ def shortest_paths(spark: SparkSession, graph: Graph, tables: list[RelTable], ty
     found = [level.join(none.select("s"), "s").select("s", F.col("s").alias("t"), "nodes", "rels")] if low == 0 else []
     left = cut(pairs.where("s <> t"))
     seen = level.select("s", "cur")
-    for _hop in range(1, (MOST_HOPS if high is None else high) + 1):
+    for usable in level_tables(tables, labels, direction, MOST_HOPS if high is None else high):
         if left.isEmpty():
             break
-        edges, rel, a, b = scan_rels(spark, tables, types, direction)
+        edges, rel, a, b = scan_rels(spark, usable, types, direction)
         live = level.join(left.select("s").distinct(), "s", "left_semi")
         rows = live.join(edges, (F.col("cur") == F.col(a)) & (F.col(a) != F.col(b)))
         rows = rows.withColumn("next", F.col(b)).join(seen.withColumnRenamed("cur", "next"), ["s", "next"], "left_anti")
         rows, n = step_node(rows, "next")
-        level = rows.select("s", F.col("next").alias("cur"), F.array_append("nodes", n).alias("nodes"), F.array_append("rels", rel.value().col).alias("rels"), F.array_append("ids", F.col(rel.id)).alias("ids"))
+        level = rows.select("s", F.col("next").alias("cur"), F.array_append("nodes", n).alias("nodes"), F.array_append("rels", convert(rel.value(), rel0.value().type).col).alias("rels"), F.array_append("ids", F.col(rel.id)).alias("ids"))
         if not every:
             level = level.groupBy("s", "cur").agg(F.min_by(F.struct("nodes", "rels", "ids"), "ids").alias("p")).select("s", "cur", "p.*")
         level = cut(level)

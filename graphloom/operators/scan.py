@@ -98,3 +98,22 @@ def ends_imply(tables: list[RelTable], direction: str, side: str, labels: tuple[
     ends = {"out": ("src", "dst"), "in": ("dst", "src"), "both": ("both", "both")}[direction][0 if side == "from" else 1]
     sides = [s for t in tables for s in ((t.src_labels,) if ends == "src" else (t.dst_labels,) if ends == "dst" else (t.src_labels, t.dst_labels))]
     return not labels or all(s is not None and set(labels) <= s for s in sides)
+
+
+def level_tables(tables: list[RelTable], labels: frozenset[str] | None, direction: str, hops: int) -> list[list[RelTable]]:
+    """For each hop the tables that a walk from nodes of known labels can use; ends where no table goes on.
+
+    Without known labels, every table may be used at every hop.
+    """
+    if labels is None or any(t.src_labels is None or t.dst_labels is None for t in tables):
+        return [tables] * hops
+    out: list[list[RelTable]] = []
+    at = {labels}
+    for _ in range(hops):
+        steps = [(t, a, b) for t in tables for a, b in ((t.src_labels, t.dst_labels), (t.dst_labels, t.src_labels)) if direction == "both" or (direction == "out") == (a is t.src_labels)]
+        taken = [(t, b) for t, a, b in steps if a in at]
+        if not taken:
+            break
+        out.append(list({id(t): t for t, _ in taken}.values()))
+        at = {b for _, b in taken}
+    return out

@@ -104,8 +104,12 @@ class Compiler:
 
     def match(self, parts: tuple[S.Part, ...], where: S.Expr | None, rows: Rows) -> Rows:
         hidden = dict(rows.scope)
+        later, self.later = getattr(self, "later", []), []
         for p in sorted(parts, key=lambda p: p.shortest is not None):
             rows = self.shortest(p, rows) if p.shortest else self.part(p, rows, hidden)
+        for b, k, e in self.later:
+            rows = replace(rows, df=rows.df.where(comparison.equal(b.prop(k), self.x.value(e, rows.scope)).col))
+        self.later = later
         if where is not None:
             rows = self.with_ends(rows, (where,))
             df = rows.df if rows.df is not None else self.unit()
@@ -152,9 +156,15 @@ class Compiler:
         return rows
 
     def _props(self, rows: Rows, b: Node | Rel, props: S.MapOf | None, outer) -> Rows:
+        """Inline properties; those that read variables of the same MATCH are tested when all are bound."""
         if props is None:
             return rows
-        tests = [comparison.equal(b.prop(k), self.x.value(e, outer)).col for k, e in props.items]
+        tests = []
+        for k, e in props.items:
+            if any(isinstance(x, S.Var) and x.name not in outer and x.name in self.uses for x in S.parts_of(e)):
+                self.later.append((b, k, e))
+            else:
+                tests.append(comparison.equal(b.prop(k), self.x.value(e, outer)).col)
         return replace(rows, df=rows.df.where(reduce(lambda p, q: p & q, tests))) if tests else rows
 
     def _check(self, rows: Rows, b: Node, n: S.NodePattern, outer) -> Rows:
@@ -164,6 +174,11 @@ class Compiler:
             rows = replace(rows, df=rows.df.where(has))
         return self._props(rows, b, n.props, outer)
 
+    @staticmethod
+    def _known(b: Node) -> frozenset[str] | None:
+        """All labels of a node, where its table tells."""
+        return frozenset(b.labels) if isinstance(b.labels, tuple) else None
+
     def _prune(self, b: Node, tables, direction: str):
         """Without tables that cannot start at a node of known labels."""
         if not isinstance(b.labels, tuple) or direction == "both":
@@ -175,7 +190,7 @@ class Compiler:
         b = rows.scope[start]
         tables = rel_tables(self.graph, r.types)
         if r.variable:
-            df, end, rels, item = expand_trails(self.spark, tables, r.types, r.direction, rows.df, b.id, r.low, r.high, self.used(r.var))
+            df, end, rels, item = expand_trails(self.spark, tables, r.types, r.direction, rows.df, b.id, self._known(b), r.low, r.high, self.used(r.var))
             scope = dict(rows.scope)
             if rels:
                 scope[r.var] = Plain(rels, list_of(item))
@@ -218,7 +233,7 @@ class Compiler:
         if r.high == 0 and r.low == 0:
             tables = []
         whole = self.used(p.path)
-        df, path, node, rel = shortest_paths(self.spark, self.graph, tables, r.types, r.direction, rows.df, a.id, b.id, r.low, r.high, p.shortest == "all", whole)
+        df, path, node, rel = shortest_paths(self.spark, self.graph, tables, r.types, r.direction, rows.df, a.id, self._known(a), b.id, r.low, r.high, p.shortest == "all", whole)
         nodes = node.value().type if whole else Type("map", fields=(("id", INT),))
         if p.path:
             scope[p.path] = Plain(path, Type("path", fields=(("nodes", nodes), ("rels", rel.value().type))))
@@ -277,6 +292,8 @@ class Compiler:
         on = F.col(start.id) == F.col(f)
         for of, props in ((rel, r.props), (target, b.props)):
             for k, v in props.items if props else ():
+                if any(isinstance(x, S.Var) and x.name not in rows.scope for x in S.parts_of(v)):
+                    return None
                 if of is target and not isinstance(of.labels, (str, tuple)) and not of.props:
                     return None
                 on = on & comparison.equal(of.prop(k), self.x.value(v, rows.scope)).col

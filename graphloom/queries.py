@@ -126,3 +126,149 @@ def _reader(cypher: str) -> Callable[[SparkSession, str], DataFrame]:
 FLAGSHIP = "segment_customers_by_nation"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _reader(c) for name, (c, _) in PAIRS.items()}
 SQL: dict[str, str] = {name: s for name, (_, s) in PAIRS.items()}
+
+
+# Writes and live queries: each builds a store of its own and returns what is in it.
+
+
+def _import(g: GraphSession, spark: SparkSession, sf_dir: str, table: str, cypher: str) -> None:
+    g.import_rows(cypher, spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> GraphSession:
+    """Nations and regions as a written graph."""
+    g = GraphSession(spark)
+
+    def build(tx):
+        for table, cypher in (("region", "UNWIND $rows AS r CREATE (:R {k: r.r_regionkey, name: r.r_name})"), ("nation", "UNWIND $rows AS r CREATE (:N {k: r.n_nationkey, name: r.n_name, r: r.n_regionkey})")):
+            tx.query(cypher, {"rows": spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+        tx.query("MATCH (n:N), (r:R {k: n.r}) CREATE (n)-[:IN {w: n.k * 2}]->(r)")
+
+    g.update(build)
+    return g
+
+
+def create_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = GraphSession(spark)
+    _import(g, spark, sf_dir, "customer", "UNWIND $rows AS r CREATE (:C {k: r.c_custkey, name: r.c_name, bal: r.c_acctbal})")
+    return g.query("MATCH (c:C) RETURN c.k AS k, c.name AS name, c.bal AS bal")
+
+
+def create_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).query("MATCH (n:N)-[x:IN]->(r:R) RETURN n.name AS n, r.name AS r, x.w AS w, type(x) AS t")
+
+
+def merge_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = GraphSession(spark)
+    _import(g, spark, sf_dir, "customer", "UNWIND $rows AS r MERGE (s:Segment {name: r.c_mktsegment}) ON CREATE SET s.made = 1 ON MATCH SET s.met = true")
+    return g.query("MATCH (s:Segment) RETURN s.name AS name, s.made AS made, s.met AS met")
+
+
+def merge_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _places(spark, sf_dir)
+    g.query("MATCH (n:N), (r:R {k: n.r}) MERGE (n)-[x:IN]->(r) ON MATCH SET x.again = true ON CREATE SET x.again = false")
+    g.query("MATCH (n:N) WHERE n.k < 5 MERGE (n)-[x:NEAR]->(s:Sea {name: 'sea of ' + n.name})")
+    return g.query("MATCH (n:N)-[x:IN]->(r:R) OPTIONAL MATCH (n)-[:NEAR]->(s:Sea) RETURN n.name AS n, x.again AS again, s.name AS sea")
+
+
+def set_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _places(spark, sf_dir)
+    g.query("MATCH (n:N)-[x:IN]->(r:R) WHERE n.k < 10 SET n.twice = n.k * 2, n:Low, x.w = null")
+    g.query("MATCH (n:N) WHERE n.k >= 20 SET n = {k: n.k, only: 'k'}")
+    g.query("MATCH (n:N {k: 3}) SET n += {name: 'three', r: null}")
+    return g.query("MATCH (n:N)-[x:IN]->(r) RETURN n.k AS k, n.name AS name, n.twice AS twice, n.r AS r, n.only AS only, n:Low AS low, x.w AS w")
+
+
+def remove_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _places(spark, sf_dir)
+    g.query("MATCH (n:N) WHERE n.k % 2 = 0 SET n:Even REMOVE n.name")
+    g.query("MATCH (n:Even) WHERE n.k > 10 REMOVE n:N")
+    return g.query("MATCH (n) WHERE n:N OR n:Even RETURN n.k AS k, n.name AS name, n:N AS n, n:Even AS even")
+
+
+def detach_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _places(spark, sf_dir)
+    g.query("MATCH (r:R {name: 'ASIA'}) DETACH DELETE r")
+    g.query("MATCH (n:N)-[x:IN]->(r:R {name: 'EUROPE'}) DELETE x")
+    return g.query("MATCH (n:N) OPTIONAL MATCH (n)-[:IN]->(r:R) RETURN n.name AS n, r.name AS r")
+
+
+def unique_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .errors import ConstraintViolation
+
+    g = _places(spark, sf_dir)
+    g.query("CREATE CONSTRAINT FOR (n:N) REQUIRE n.k IS UNIQUE")
+    try:
+        g.query("CREATE (:N {k: 7})")
+        violated = False
+    except ConstraintViolation:
+        violated = True
+    return g.query("MATCH (n:N) RETURN count(*) AS n, $v AS violated", {"v": violated})
+
+
+def show_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = GraphSession(spark)
+    for q in ("CREATE INDEX FOR (n:N) ON (n.k)", "CREATE INDEX by_w FOR ()-[x:IN]-() ON (x.w)", "CREATE INDEX FOR (n:N) ON (n.name)", "DROP INDEX index_N_name"):
+        g.query(q)
+    return g.query("SHOW INDEXES")
+
+
+def show_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = GraphSession(spark)
+    for q in ("CREATE CONSTRAINT one FOR (n:N) REQUIRE n.k IS UNIQUE", "CREATE CONSTRAINT FOR (r:R) REQUIRE r.k IS UNIQUE", "DROP CONSTRAINT one"):
+        g.query(q)
+    return g.query("SHOW CONSTRAINTS")
+
+
+def _followed(spark: SparkSession, sf_dir: str, cypher: str, changes: list[str]) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    g = _places(spark, sf_dir)
+    live = g.subscribe(cypher)
+    live.poll()
+    for q in changes:
+        g.query(q)
+    c = live.poll()
+    return c.added.withColumn("change", F.lit("added")).unionByName(c.removed.withColumn("change", F.lit("removed"))).withColumn("mode", F.lit(live.mode))
+
+
+CHANGED = ["MATCH (n:N) WHERE n.k < 3 SET n.name = 'x' + n.name", "MATCH (n:N {k: 5}) DETACH DELETE n"]
+
+
+def live_full_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _followed(spark, sf_dir, "MATCH (n:N)-[:IN]->(r:R) RETURN r.name AS r, min(n.name) AS low, count(*) AS n", CHANGED)
+
+
+def live_anchored_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _followed(spark, sf_dir, "MATCH (n:N)-[:IN]->(r:R) WHERE n.k < 100 RETURN n.name AS n, r.name AS r", CHANGED)
+
+
+def parity_seed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _places(spark, sf_dir)
+    q = "MATCH (n:N)-[:IN]->(r:R) WHERE n.k > 5 AND n.k < 20 RETURN n.name AS n, r.name AS r"
+    before = g.query(q)
+    g.query("CREATE INDEX FOR (n:N) ON (n.k)")
+    after = g.query(q)
+    return before.intersectAll(after)
+
+
+_OLD = "SELECT n_nationkey AS k, n_name AS name, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"
+_NEW = "SELECT n_nationkey AS k, CASE WHEN n_nationkey < 3 THEN 'x' || n_name ELSE n_name END AS name, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 5"
+
+WRITES = {
+    create_nodes: "SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer",
+    create_rels: "SELECT n_name AS n, r_name AS r, (n_nationkey * 2)::BIGINT AS w, 'IN' AS t FROM nation JOIN region ON n_regionkey = r_regionkey",
+    merge_node: "SELECT c_mktsegment AS name, 1::BIGINT AS made, CASE WHEN count(*) > 1 THEN true END AS met FROM customer GROUP BY 1",
+    merge_rel: "SELECT n_name AS n, true AS again, CASE WHEN n_nationkey < 5 THEN 'sea of ' || n_name END AS sea FROM nation",
+    set_variants: "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey = 3 THEN 'three' WHEN n_nationkey < 20 THEN n_name END AS name, CASE WHEN n_nationkey < 10 THEN n_nationkey * 2 END::BIGINT AS twice, CASE WHEN n_nationkey < 20 AND n_nationkey <> 3 THEN n_regionkey END::BIGINT AS r, CASE WHEN n_nationkey >= 20 THEN 'k' END AS only, n_nationkey < 10 AS low, CASE WHEN n_nationkey >= 10 THEN n_nationkey * 2 END::BIGINT AS w FROM nation",
+    remove_props: "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS name, n_nationkey % 2 = 1 OR n_nationkey <= 10 AS n, n_nationkey % 2 = 0 AS even FROM nation",
+    detach_delete: "SELECT n_name AS n, CASE WHEN r_name NOT IN ('ASIA', 'EUROPE') THEN r_name END AS r FROM nation JOIN region ON n_regionkey = r_regionkey",
+    unique_violation: "SELECT count(*) AS n, true AS violated FROM nation",
+    show_indexes: "SELECT * FROM (VALUES ('by_w', 'IN', 'w', 'RELATIONSHIP'), ('index_N_k', 'N', 'k', 'NODE')) t(name, label, property, entity)",
+    show_constraints: "SELECT 'constraint_R_k' AS name, 'R' AS label, 'k' AS property, 'UNIQUE' AS type",
+    live_full_diff: f"WITH a AS (SELECT r, min(name) AS low, count(*) AS n FROM ({_OLD}) GROUP BY r), b AS (SELECT r, min(name) AS low, count(*) AS n FROM ({_NEW}) GROUP BY r) SELECT *, 'added' AS change, 'full' AS mode FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'removed', 'full' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)",
+    live_anchored_diff: f"WITH a AS (SELECT name AS n, r FROM ({_OLD})), b AS (SELECT name AS n, r FROM ({_NEW})) SELECT *, 'added' AS change, 'anchored' AS mode FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'removed', 'anchored' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)",
+    parity_seed_index: "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 5 AND n_nationkey < 20",
+}
+QUERIES |= {f.__name__: f for f in WRITES}
+SQL |= {f.__name__: s for f, s in WRITES.items()}
