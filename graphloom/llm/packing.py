@@ -32,6 +32,8 @@ CHUNK = 1 << 20
 #: Documents whose units cannot be told by ASCII white space, and the tokenizer's own control string.
 ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xe1\xa0\x8e|\xef\xbb\xbf|<\|endoftext\|>")
 
+_BLANK = frozenset(b" \t\n\x0b\x0c\r")
+
 
 class Tokens:
     """Token ids of whole texts, from a tokenizer file."""
@@ -43,6 +45,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Bytes of each token: a byte-level token has one letter a byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._clear()
 
     def _clear(self) -> None:
@@ -53,6 +59,25 @@ class Tokens:
         found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         return np.array([len(x) for x in found], np.int64), np.array([y for x in found for y in x], np.uint32)
 
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units.  Those that begin with white space and end without are tokenised as one text: no token spans two."""
+        size = np.array([len(u) for u in units], np.int64)
+        joins = np.array([u[0] in _BLANK and u[-1] not in _BLANK for u in units])
+        together = [b"".join(units[i] for i in part.tolist()).decode() for part in np.array_split(np.flatnonzero(joins), max(1, int(joins.sum()) // 4000))]
+        ids = np.array([x for e in self.tokenizer.encode_batch_fast(together, add_special_tokens=False) for x in e.ids], np.uint32)
+        ends = np.cumsum(self.width[ids])
+        if (ends[-1] if len(ends) else 0) != size[joins].sum():  # no byte-level tokenizer: each unit by itself
+            return self._encode([u.decode() for u in units])
+        if joins.all():
+            return np.diff(np.searchsorted(ends, np.cumsum(size), "right"), prepend=0), ids
+        length = np.zeros(len(units), np.int64)
+        length[joins] = np.diff(np.searchsorted(ends, np.cumsum(size[joins]), "right"), prepend=0)
+        length[~joins], others = self._encode([units[i].decode() for i in np.flatnonzero(~joins).tolist()])
+        which = np.repeat(joins, length)
+        out = np.zeros(len(which), np.uint32)
+        out[which], out[~which] = ids, others
+        return length, out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and n + 1 offsets into them."""
         n = len(offsets) - 1
@@ -63,8 +88,8 @@ class Tokens:
             odd[d] = True
         words = Words(data, offsets, NOT_SPACE)
         # Units: white space and the word after it; and what follows a text's last word.
-        stops = np.unique(np.concatenate((words.ends, offsets[1:])))
-        stops = stops[stops > 0]
+        stops = np.sort(np.concatenate((words.ends, offsets[1:])))
+        stops = stops[np.diff(stops, prepend=0) > 0]
         begins = np.concatenate(([0], stops[:-1]))
         owner = np.searchsorted(offsets, begins, "right") - 1
         plain = ~odd[owner]
@@ -83,7 +108,7 @@ class Tokens:
         known[inside] = self.hashes[where[inside]] == unique[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            length, ids = self._encode([raw[b[i] : e[i]].decode() for i in first[new].tolist()])
+            length, ids = self._encode_units([raw[x:y] for x, y in zip(b[first[new]].tolist(), e[first[new]].tolist())])
             at = len(self.ids) + np.cumsum(length) - length
             self.hashes = np.insert(self.hashes, where[new], unique[new])
             self.at = np.insert(self.at, where[new], at)
