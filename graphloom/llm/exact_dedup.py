@@ -31,27 +31,24 @@ def digest_of(text: Column, bits: int = 256) -> Column:
 class Index:
     """Sorted runs of (digest, low, rows), the newest last.
 
-    `fanout` runs are compacted into one.  Runs are written tables in the
-    shared folder: an index survives the loss of any executor.
+    `fanout` runs are compacted into one.  entries: about how many a run gets.
+    Runs are written tables in the shared folder: an index survives the loss
+    of any executor.
     """
 
-    def __init__(self, fanout: int = 4):
+    def __init__(self, entries: int, fanout: int = 4):
         self.runs: list[DataFrame] = []
-        self.fanout = fanout
+        self.entries, self.fanout = entries, fanout
 
     @staticmethod
     def _merged(entries: DataFrame) -> DataFrame:
         return entries.groupBy("digest").agg(F.min("low").alias("low"), F.sum("rows").alias("rows"))
 
     def _write(self, entries: DataFrame) -> DataFrame:
-        spark = entries.sparkSession
-        key = "parquet.bloom.filter.enabled#digest"
-        old = spark.conf.get(key, None)
-        spark.conf.set(key, "true")
-        try:
-            return stored(entries.sortWithinPartitions("digest"), "run")
-        finally:
-            spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        """One run: files sorted by digest, each with a filter that fits its share of the entries (unbounded, it would take 1 MB)."""
+        files = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = str(max(64, 2 * self.entries // files))
+        return stored(entries.sortWithinPartitions("digest"), "run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": share})
 
     def flush(self, rows: DataFrame) -> None:
         """Add the (id, digest) rows of a batch as one run; compact when there are `fanout`."""
@@ -85,7 +82,7 @@ def exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     sha = F.sha2(text, 256)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), sha.alias("sha"), F.substring(F.unhex(sha), 1, digest_bits // 8).alias("digest"))
     rows = stored(rows, "digests")
-    index = Index(fanout=memtables + 1)
+    index = Index(rows.count(), fanout=memtables + 1)
     turn = F.pmod(F.xxhash64("id"), F.lit(memtables))
     for i in range(memtables):
         index.flush(rows.where(turn == i).select("id", "digest"))

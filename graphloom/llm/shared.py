@@ -29,11 +29,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: lineage is cut, any executor may be lost."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read back: lineage is cut, any executor may be lost.
+
+    options: Parquet's own, for the writer.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
