@@ -366,7 +366,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    buckets = max(32, estimated_bytes(documents) // 4 // bucket_signatures)
+    buckets = max(32, estimated_bytes(documents, text_col) // 4 // bucket_signatures)
     sent = docs.mapInArrow(_sign(buckets, k, threshold), S1_SQL)
     met = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share(), S2_SQL), "signatures")
     members = met.where("not shared").select("id", "row", "key", "n", "need_own", "need_low")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of at most this many bytes (by a measured count) may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -40,6 +41,13 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size of df, from file sizes alone (no job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Estimates beyond this are measured instead: without file sizes Catalyst assumes the worst.
+DOUBTFUL = 1 << 44
+
+
+def estimated_bytes(df: DataFrame, text_col: str) -> int:
+    """About how many bytes df's texts take in files: Catalyst's figure, from file sizes alone, or else half of what a pass over the texts counts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > DOUBTFUL:
+        size = (df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // 2
+    return size

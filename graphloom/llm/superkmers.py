@@ -288,7 +288,7 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         F.xxhash64(text).cast("string").substr(-9, 9).cast("int").alias("row"),  # tells rows of one id apart
         text.alias("text"),
     )
-    buckets = max(64, estimated_bytes(documents) * 5 // bucket_bytes)
+    buckets = max(64, estimated_bytes(documents, text_col) * 5 // bucket_bytes)
     sent = docs.select("id", "row", "text").mapInArrow(_cut(buckets, k, m), "bucket int, blob binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "id long, row int, s long, e long")
     ranges = stored(found.groupBy("id", "row").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "repeats")
