@@ -15,6 +15,8 @@ from .scan import level_tables, scan_nodes, scan_rels
 MOST_HOPS = 100
 #: Up to so many hops the joins stay one lazy plan; beyond, each level is written.
 LAZY_HOPS = 4
+#: The same for a search, whose levels are each read several times.
+LAZY_SEARCH = 2
 
 
 def expand_trails(spark: SparkSession, tables: list[RelTable], types: tuple[str, ...], direction: str, df: DataFrame, start: str, labels: frozenset[str] | None, low: int, high: int | None, keep_rels: bool) -> tuple[DataFrame, str, str | None, object]:
@@ -67,7 +69,10 @@ def shortest_paths(spark: SparkSession, graph: Graph, tables: list[RelTable], ty
     at each node; every: all of the least length.  Loops are skipped; a node
     reaches itself only by the empty path, if low is 0.
     """
-    pairs = cut(df.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct())
+    levels = level_tables(tables, labels, direction, MOST_HOPS if high is None else high)
+    lazy = len(levels) <= LAZY_SEARCH
+    keep = (lambda x: x) if lazy else cut
+    pairs = keep(df.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct())
     _, rel0, _, _ = scan_rels(spark, tables, types, direction)
     _, node0 = scan_nodes(spark, graph, ())
 
@@ -82,10 +87,10 @@ def shortest_paths(spark: SparkSession, graph: Graph, tables: list[RelTable], ty
     level = rows.select("s", "cur", F.array(n).alias("nodes"), F.array().cast(f"array<{spark_type(rel0.value().type).simpleString()}>").alias("rels"), F.array().cast("array<bigint>").alias("ids"))
     none = pairs.where("s = t")
     found = [level.join(none.select("s"), "s").select("s", F.col("s").alias("t"), "nodes", "rels")] if low == 0 else []
-    left = cut(pairs.where("s <> t"))
+    left = keep(pairs.where("s <> t"))
     seen = level.select("s", "cur")
-    for usable in level_tables(tables, labels, direction, MOST_HOPS if high is None else high):
-        if left.isEmpty():
+    for usable in levels:
+        if not lazy and left.isEmpty():
             break
         edges, rel, a, b = scan_rels(spark, usable, types, direction)
         live = level.join(left.select("s").distinct(), "s", "left_semi")
@@ -95,11 +100,11 @@ def shortest_paths(spark: SparkSession, graph: Graph, tables: list[RelTable], ty
         level = rows.select("s", F.col("next").alias("cur"), F.array_append("nodes", n).alias("nodes"), F.array_append("rels", convert(rel.value(), rel0.value().type).col).alias("rels"), F.array_append("ids", F.col(rel.id)).alias("ids"))
         if not every:
             level = level.groupBy("s", "cur").agg(F.min_by(F.struct("nodes", "rels", "ids"), "ids").alias("p")).select("s", "cur", "p.*")
-        level = cut(level)
-        if level.isEmpty():
+        level = keep(level)
+        if not lazy and level.isEmpty():
             break
         found.append(level.join(left.withColumnRenamed("t", "cur"), ["s", "cur"]).select("s", F.col("cur").alias("t"), "nodes", "rels"))
-        left = cut(left.join(level.select("s", F.col("cur").alias("t")).distinct(), ["s", "t"], "left_anti"))
+        left = keep(left.join(level.select("s", F.col("cur").alias("t")).distinct(), ["s", "t"], "left_anti"))
         seen = seen.unionByName(level.select("s", "cur"))
     path = fresh("path")
     out = found[0] if found else level.where(F.lit(False)).select("s", F.col("cur").alias("t"), "nodes", "rels")

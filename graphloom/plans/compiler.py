@@ -86,8 +86,10 @@ class Compiler:
                     uses[x.name] += 1
                 if isinstance(x, S.Projection) and x.star:
                     uses["*"] += 1
-                if isinstance(x, S.Part) and x.shortest:
-                    uses[x.nodes[0].var] += 0
+        # A path whose nodes are not asked for is kept as ids.
+        lean = Counter(x.args[0].name for c in clauses for x in S.parts_of(c) if isinstance(x, S.Call) and x.name.lower() in ("length", "relationships") and len(x.args) == 1 and isinstance(x.args[0], S.Var))
+        paths = {x.path for c in clauses for x in S.parts_of(c) if isinstance(x, S.Part) and x.shortest and x.path}
+        self.whole = {n for n in paths if uses[n] > lean[n] or uses["*"]}
         mentions: Counter = Counter()
         for c in clauses:
             for x in S.parts_of(c):
@@ -232,7 +234,7 @@ class Compiler:
         tables = rel_tables(self.graph, r.types)
         if r.high == 0 and r.low == 0:
             tables = []
-        whole = self.used(p.path)
+        whole = p.path in self.whole
         df, path, node, rel = shortest_paths(self.spark, self.graph, tables, r.types, r.direction, rows.df, a.id, self._known(a), b.id, r.low, r.high, p.shortest == "all", whole)
         nodes = node.value().type if whole else Type("map", fields=(("id", INT),))
         if p.path:

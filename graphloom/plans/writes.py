@@ -51,6 +51,7 @@ class Writer(Compiler):
 
     def _uses(self, clauses):
         uses = super()._uses(clauses)
+        self.whole |= {x.path for c in clauses for x in S.parts_of(c) if isinstance(x, S.Part) and x.path}
         uses["*"] += 1  # a later clause may read what is bound here
         return uses
 
