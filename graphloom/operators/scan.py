@@ -93,6 +93,34 @@ def scan_rels(spark: SparkSession, tables: list[RelTable], types: tuple[str, ...
     return (back if direction == "in" else out), rel, start, end
 
 
+def own_end(tables: list[RelTable], direction: str, side: str) -> NodeTable | None:
+    """The node table whose rows the relationships are, for the end that they are followed from or to."""
+    if len(tables) != 1 or direction == "both":
+        return None
+    return tables[0].src_table if (direction == "out") == (side == "from") else tables[0].dst_table
+
+
+def scan_rels_with_end(table: RelTable, direction: str, side: str) -> tuple[DataFrame, Rel, str, str, Node]:
+    """Relationships as `scan_rels` gives them, and the node at one end from the same rows, without a join."""
+    node = own_end([table], direction, side)
+    shape, ends = _shape([table]), _shape([node])
+    names, own = {k: fresh("p") for k in shape}, {k: fresh("p") for k in ends}
+    id_, type_, src, dst, start, end = (fresh(x) for x in ("r", "t", "s", "d", "from", "to"))
+    a, b = (table.src, table.dst) if direction == "out" else (table.dst, table.src)
+    df = table.df.where(table.src.isNotNull() & table.dst.isNotNull())
+    df = df.select(table.id.alias(id_), F.lit(table.type).alias(type_), table.src.alias(src), table.dst.alias(dst), a.alias(start), b.alias(end), *_select(table, shape, names), *_select(node, ends, own))
+    rel = Rel(id_, type_, src, dst, tuple((k, names[k], t) for k, t in shape.items()))
+    return df, rel, start, end, Node(start if side == "from" else end, node.labels, tuple((k, own[k], t) for k, t in ends.items()))
+
+
+def towards(tables: list[RelTable], direction: str, labels: tuple[str, ...]) -> list[RelTable]:
+    """The tables that can lead to a node of these labels."""
+    if direction == "both" or not labels:
+        return tables
+    side = "dst_labels" if direction == "out" else "src_labels"
+    return [t for t in tables if getattr(t, side) is None or set(labels) <= getattr(t, side)]
+
+
 def ends_imply(tables: list[RelTable], direction: str, side: str, labels: tuple[str, ...]) -> bool:
     """Whether every relationship's end (side: from or to) is known to have the labels."""
     ends = {"out": ("src", "dst"), "in": ("dst", "src"), "both": ("both", "both")}[direction][0 if side == "from" else 1]

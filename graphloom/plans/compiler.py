@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..cypher import syntax as S
 from ..functions import comparison
 from ..operators.paths import expand_trails, shortest_paths
-from ..operators.scan import ends_imply, rel_tables, scan_nodes, scan_rels
+from ..operators.scan import ends_imply, own_end, rel_tables, scan_nodes, scan_rels, scan_rels_with_end, towards
 from ..sources.graph import Graph
 from ..types import FLOAT, INT, NULL, CypherTypeError, Type, Value, common, convert, list_of, spark_type
 from .expressions import Expressions
@@ -129,13 +129,22 @@ class Compiler:
             if n in scope:
                 raise CypherTypeError(f"{n} is no node")
             r = p.rels[0] if p.rels else None
-            lean = r is not None and not r.variable and not self.used(first.var) and not first.props and p.nodes[0].var != p.nodes[1].var
-            if lean and ends_imply(tables := rel_tables(self.graph, r.types), r.direction, "from", first.labels):
-                edges, rel, a, b = scan_rels(self.spark, tables, r.types, r.direction)
-                df = edges if df is None else df.crossJoin(edges)
-                scope[n] = Node(a, None)
-                rows = self._arrive(replace(rows, df=df, scope=scope), tables, r, rel, b, p.nodes[1], names[1], outer)
-                return self._rest(p, names, rows, 1, 0, outer)
+            if r is not None and not r.variable and names[0] != names[1]:
+                tables = self._leaving(towards(rel_tables(self.graph, r.types), r.direction, p.nodes[1].labels), r.direction, first.labels)
+                lean = not self.used(first.var) and not first.props and ends_imply(tables, r.direction, "from", first.labels)
+                own = own_end(tables, r.direction, "from") if not lean else None
+                if lean or own is not None and set(first.labels) <= set(own.labels):
+                    if lean:
+                        edges, rel, a, b, target = self._edges(tables, r, p.nodes[1])
+                        binding = Node(a, None)
+                    else:
+                        edges, rel, a, b, binding = scan_rels_with_end(tables[0], r.direction, "from")
+                        target = None
+                    df = edges if df is None else df.crossJoin(edges)
+                    scope[n] = binding
+                    rows = self._props(replace(rows, df=df, scope=scope), binding, first.props, outer)
+                    rows = self._arrive(rows, tables, r, rel, b, p.nodes[1], names[1], outer, target)
+                    return self._rest(p, names, rows, 1, 0, outer)
             nodes, binding = scan_nodes(self.spark, self.graph, first.labels)
             df = nodes if df is None else df.crossJoin(nodes)
             scope[n] = binding
@@ -176,6 +185,18 @@ class Compiler:
             rows = replace(rows, df=rows.df.where(has))
         return self._props(rows, b, n.props, outer)
 
+    def _edges(self, tables, r: S.RelPattern, to: S.NodePattern):
+        """Relationships, with the node that they lead to where that is in the same rows and is read."""
+        own = own_end(tables, r.direction, "to")
+        if own is not None and (self.used(to.var) or to.props) and set(to.labels) <= set(own.labels):
+            return scan_rels_with_end(tables[0], r.direction, "to")
+        return *scan_rels(self.spark, tables, r.types, r.direction), None
+
+    @staticmethod
+    def _leaving(tables, direction: str, labels: tuple[str, ...]):
+        """The tables that can start at a node that has these labels, among others."""
+        return towards(tables, {"out": "in", "in": "out", "both": "both"}[direction], labels)
+
     @staticmethod
     def _known(b: Node) -> frozenset[str] | None:
         """All labels of a node, where its table tells."""
@@ -197,19 +218,20 @@ class Compiler:
             if rels:
                 scope[r.var] = Plain(rels, list_of(item))
             return self._to(replace(rows, df=df, scope=scope), tables, r, end, to, name, outer)
-        tables = self._prune(b, tables, r.direction)
-        edges, rel, a, e = scan_rels(self.spark, tables, r.types, r.direction)
+        tables = towards(self._prune(b, tables, r.direction), r.direction, to.labels)
+        new = to if name not in rows.scope else S.NodePattern(None)
+        edges, rel, a, e, target = self._edges(tables, r, new)
         rows = replace(rows, df=rows.df.join(edges, F.col(b.id) == F.col(a)))
-        return self._arrive(rows, tables, r, rel, e, to, name, outer)
+        return self._arrive(rows, tables, r, rel, e, to, name, outer, target)
 
-    def _arrive(self, rows: Rows, tables, r: S.RelPattern, rel: Rel, end: str, to: S.NodePattern, name: str, outer) -> Rows:
+    def _arrive(self, rows: Rows, tables, r: S.RelPattern, rel: Rel, end: str, to: S.NodePattern, name: str, outer, target: Node | None = None) -> Rows:
         scope = dict(rows.scope)
         if r.var:
             scope[r.var] = rel
         rows = self._props(replace(rows, scope=scope), rel, r.props, outer)
-        return self._to(rows, tables, r, end, to, name, outer)
+        return self._to(rows, tables, r, end, to, name, outer, target)
 
-    def _to(self, rows: Rows, tables, r: S.RelPattern, end: str, to: S.NodePattern, name: str, outer) -> Rows:
+    def _to(self, rows: Rows, tables, r: S.RelPattern, end: str, to: S.NodePattern, name: str, outer, target: Node | None = None) -> Rows:
         b = rows.scope.get(name)
         if isinstance(b, Node):
             rows = replace(rows, df=rows.df.where(F.col(end) == F.col(b.id)))
@@ -217,6 +239,9 @@ class Compiler:
         if b is not None:
             raise CypherTypeError(f"{name} is no node")
         scope = dict(rows.scope)
+        if target is not None:
+            scope[name] = target
+            return self._props(replace(rows, scope=scope), target, to.props, outer)
         if not self.used(to.var) and not to.props and r.low > 0 and ends_imply(tables, r.direction, "to", to.labels):
             scope[name] = Node(end, None)
             return replace(rows, scope=scope)
@@ -285,10 +310,10 @@ class Compiler:
         start = rows.scope.get(a.var)
         if not isinstance(start, Node) or a.labels or a.props or b.var in rows.scope or r.var in rows.scope or a.var == b.var:
             return None
-        tables = self._prune(start, rel_tables(self.graph, r.types), r.direction)
-        edges, rel, f, e = scan_rels(self.spark, tables, r.types, r.direction)
+        tables = towards(self._prune(start, rel_tables(self.graph, r.types), r.direction), r.direction, b.labels)
+        edges, rel, f, e, node = self._edges(tables, r, b)
         inner = Rows(edges, {})
-        inner = self._arrive(inner, tables, replace(r, props=None), rel, e, replace(b, props=None), b.var or "#to", rows.scope)
+        inner = self._arrive(inner, tables, replace(r, props=None), rel, e, replace(b, props=None), b.var or "#to", rows.scope, node)
         target = inner.scope[b.var or "#to"]
         scope = rows.scope | {n: x for n, x in inner.scope.items() if not n.startswith("#")}
         on = F.col(start.id) == F.col(f)

@@ -26,11 +26,16 @@ class NodeTable:
     id: Column
     labels: tuple[str, ...] | str
     props: tuple[tuple[str, Column, Type], ...]
+    key: str | None = None
 
 
 @dataclass(frozen=True)
 class RelTable:
-    """df with columns for id, source and target; type is a name, or a column's name behind '@'."""
+    """df with columns for id, source and target; type is a name, or a column's name behind '@'.
+
+    src_table and dst_table: the node table whose very rows these are, if an
+    end is that table's key; such an end has its properties at hand.
+    """
 
     df: DataFrame
     id: Column
@@ -40,6 +45,8 @@ class RelTable:
     src_labels: frozenset[str] | None
     dst_labels: frozenset[str] | None
     props: tuple[tuple[str, Column, Type], ...]
+    src_table: NodeTable | None = None
+    dst_table: NodeTable | None = None
 
 
 @dataclass
@@ -50,13 +57,13 @@ class Graph:
     rels: list[RelTable] = field(default_factory=list)
     _offsets: dict[str, int] = field(default_factory=dict)
 
-    def add_nodes(self, labels: str | tuple[str, ...], df: DataFrame, key: str | Column, props: dict[str, str | Column] | None = None, extra: DataFrame | None = None) -> "Graph":
+    def add_nodes(self, labels: str | tuple[str, ...], df: DataFrame, key: str | Column, props: dict[str, str | Column] | None = None) -> "Graph":
         """key: a column of non-negative integers, unique in df.  props: property to column; all columns by default."""
         labels = (labels,) if isinstance(labels, str) else tuple(labels)
         offset = len(self.nodes) * SPAN
         for name in labels:
             self._offsets.setdefault(name, offset)
-        self.nodes.append(NodeTable(df, self._col(key).cast("long") + F.lit(offset), labels, self._props(df, props)))
+        self.nodes.append(NodeTable(df, self._col(key).cast("long") + F.lit(offset), labels, self._props(df, props), key if isinstance(key, str) else None))
         return self
 
     def add_rels(self, kind: str, df: DataFrame, src: tuple[str, str | Column], dst: tuple[str, str | Column], key: str | Column, props: dict[str, str | Column] | None = None) -> "Graph":
@@ -65,9 +72,13 @@ class Graph:
         def end(label: str, c: str | Column) -> Column:
             return self._col(c).cast("long") + F.lit(self._offsets[label])
 
-        self.rels.append(RelTable(df, self._col(key).cast("long"), kind, end(*src), end(*dst), self._labels_of(src[0]), self._labels_of(dst[0]), self._props(df, props if props is not None else {})))
+        self.rels.append(RelTable(df, self._col(key).cast("long"), kind, end(*src), end(*dst), self._labels_of(src[0]), self._labels_of(dst[0]), self._props(df, props if props is not None else {}), self._rows_of(df, *src), self._rows_of(df, *dst)))
         return self
 
+    def _rows_of(self, df: DataFrame, label: str, key: str | Column) -> NodeTable | None:
+        t = next(t for t in self.nodes if label in t.labels)
+        return t if t.df is df and isinstance(key, str) and key == t.key else None
+
     def _labels_of(self, label: str) -> frozenset[str]:
         return next(frozenset(t.labels) for t in self.nodes if label in t.labels)
 
