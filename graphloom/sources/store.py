@@ -174,6 +174,14 @@ class Store:
         self.spark.read.schema(CHANGES_DDL).parquet(pending).write.mode("append").parquet(self.changes)
         return written
 
+    def backup(self, path: str) -> "Store":
+        """The latest version as a store of its own under another path."""
+        s = self.snapshot()
+        other = Store(self.spark, path)
+        base = other.snapshot()
+        other.commit(base, s)
+        return other
+
     def changed_since(self, version: int, upto: int) -> DataFrame:
         return self.spark.read.schema(CHANGES_DDL).parquet(self.changes).where((F.col("version") > version) & (F.col("version") <= upto))
 

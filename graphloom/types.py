@@ -167,12 +167,26 @@ def literal(x: Any) -> Value:
     if isinstance(x, dict):
         return replace(make_map([(str(k), literal(v)) for k, v in x.items()]), known=True, const=x)
     if hasattr(x, "asDict"):
+        fields = set(x.asDict())
+        if fields in ({"id", "labels", "props"}, {"id", "type", "src", "dst", "props"}):
+            return _entity(x)
         return literal(x.asDict(recursive=True))
     if hasattr(x, "isoformat"):
         return Value(F.lit(x), TIME, True, x)
     raise CypherTypeError(f"a {type(x).__name__} is no parameter value")
 
 
+def _entity(x: Any) -> Value:
+    """A node or relationship of an earlier result, as it was then."""
+    props = literal({k: v for k, v in x["props"].asDict(recursive=True).items() if k != "_"})
+    kind = "node" if "labels" in x.asDict() else "rel"
+    if kind == "node":
+        head = [F.lit(x["id"]).cast("long").alias("id"), F.array(*[F.lit(v) for v in x["labels"]]).cast("array<string>").alias("labels")]
+    else:
+        head = [F.lit(x["id"]).cast("long").alias("id"), F.lit(x["type"]).alias("type"), F.lit(x["src"]).cast("long").alias("src"), F.lit(x["dst"]).cast("long").alias("dst")]
+    return Value(F.struct(*head, props.col.alias("props")), Type(kind, fields=props.type.fields))
+
+
 def make_list(items: list[Value]) -> Value:
     t = NULL
     for v in items:

@@ -115,6 +115,9 @@ def test_columns_and_params():
 def test_explain():
     text = explain(parse("MATCH (a:P {uid: 1})-[r:K*..2]->(b) WHERE b.n > 'a' RETURN a.n AS n ORDER BY n LIMIT 2"), {("P", "uid", "NODE")})
     assert text.splitlines() == ["Limit(2)", "  Sort(n)", "    Project([a.n AS n])", "      Filter(a.uid = 1 AND b.n > 'a')", "        Expand(a)-[r:K*..2]->(b)", "          NodeByProperty(a:P {uid = 1})"]
+    by = explain(parse("MATCH (a)-[r:T {k: 1}]->(b)-[:U]->(c) RETURN c.x AS x"), {("T", "k", "RELATIONSHIP")}).splitlines()
+    assert by[-1].strip() == "RelByProperty((a)-[r:T]->(b) {k = 1})" and by[-2].strip() == "Expand(b)-[_r0:U]->(c)"
+    assert explain(parse("MATCH (a)-[r:T]->(b) RETURN a.x AS x")).splitlines()[-1].strip() == "AllNodesScan(a)"
     assert explain(parse("MATCH (a) OPTIONAL MATCH (a)-[:T]->(b) RETURN a")).splitlines()[1].strip() == "OuterApply(new=[b])"
     assert explain(parse("RETURN 1 AS x UNION ALL RETURN 2 AS x")).startswith("UnionAll")
 

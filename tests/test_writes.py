@@ -107,3 +107,16 @@ def test_property_types_widen_or_clash(spark):
     assert sorted(rows(g, "MATCH (a:A) RETURN a.k")) == [(1.0,), (2.5,)]
     with pytest.raises(CypherTypeError):
         g.query("CREATE (:A {k: 'x'})")
+
+
+def test_entities_as_parameters_backup_and_canonical_rows(spark, tmp_path):
+    from graphloom.sources.rows import canonical
+
+    g = GraphSession(spark)
+    g.query("CREATE (:A {k: 1, name: 'x'})-[:T {w: 2}]->(:A {k: 2})")
+    a, r = g.query("MATCH (a:A)-[r]->() RETURN a, r").first()
+    assert rows(g, "MATCH (b:A) WHERE b <> $a RETURN b.k, $a.name, $r.w, type($r)", a=a, r=r) == [(2, "x", 2, "T")]
+    copy = g.store.backup(str(tmp_path / "copy"))
+    assert rows(GraphSession(spark, copy), "MATCH (a:A)-[r:T]->(b) RETURN a.k, r.w, b.k") == [(1, 2, 2)]
+    got = canonical(g.query("MATCH (a:A) RETURN a.k AS k, {z: 1, b: null} AS m, a.name AS n ORDER BY k")).collect()
+    assert [r["row"] for r in got] == ['{"k":1,"m":{"b":null,"z":1},"n":"x"}', '{"k":2,"m":{"b":null,"z":1},"n":null}']
