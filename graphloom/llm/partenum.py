@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from .shared import BROADCAST_BYTES, estimated_bytes, stored
 from .superkmers import _pack, _unpack
 from .text import BASE, NOT_SPACE, U64, Words, buffers, grams, mix, runs, spans
 
-CHUNK = 2 << 20
-FLUSH = 3_000_000
+CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
+FLUSH = 1_500_000
 
 
 class Bands:
@@ -353,14 +354,110 @@ def _link(threshold: Fraction):
     return run
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 2_000_000) -> DataFrame:
+def _link_blocks(threshold: Fraction, task_shingles: int):
+    """Links inside bounded blocks of a large component."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def done(held: dict[int, dict[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for own in held.values():
+            keys = np.array(sorted(own), np.int64)
+            labels = link(keys, [own[x] for x in keys.tolist()], threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(labels)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for c, key, raw in zip(batch.column("component").to_pylist(), batch.column("key").to_pylist(), batch.column("shingles")):
+                held.setdefault(c, {})[key] = np.frombuffer(raw.as_buffer(), U64)
+                size += len(held[c][key])
+                if size >= task_shingles:
+                    yield from done(held)
+                    held, size = {}, 0
+        yield from done(held)
+
+    return run
+
+
+def _compare(asked, threshold: Fraction):
+    """Links of the asked sets (component: label, set) with sets of other labels, as pairs of labels."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[int, list[tuple[int, np.ndarray]]] = asked.value
+        for batch in batches:
+            component, label = batch.column("component").to_numpy(), batch.column("label").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), U64) for x in batch.column("shingles")]
+            pairs = set()
+            for c in np.unique(component).tolist():
+                at = np.flatnonzero(component == c)
+                if c not in queries:
+                    continue
+                size = np.array([len(sets[i]) for i in at.tolist()])
+                flat, first = np.concatenate([sets[i] for i in at.tolist()]), np.cumsum(size) - size
+                for name, q in queries[c]:
+                    near = (size * den >= num * len(q)) & (len(q) * den >= num * size) & (label[at] != name)
+                    if not near.any():
+                        continue
+                    same = q[np.minimum(np.searchsorted(q, flat), len(q) - 1)] == flat
+                    both = np.add.reduceat(same.astype(np.int64), first)
+                    hit = near & (den * both >= num * (size + len(q) - both))
+                    pairs |= {(name, x) for x in np.unique(label[at[hit]]).tolist()}
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=out)
+
+    return run
+
+
+#: Bytes of sets that are broadcast at once.
+ASKED_BYTES = 16 << 20
+
+
+def _large_links(sets: DataFrame, threshold: Fraction, task_shingles: int) -> DataFrame:
+    """(key, label) for components too large for one task; labels agree exactly where links lead.
+
+    Bounded blocks of a component are linked by themselves first, and blocks
+    that share a set's label are joined.  Every link that is still missing has
+    an end outside the component's most frequent label; the sets there, mostly
+    few, are broadcast in bounded blocks and meet all others, which answer
+    with the labels they link, not with pairs of sets.
+    """
+    spark = sets.sparkSession
+    big = stored(sets.dropDuplicates(["component", "key"]).repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
+    inside = connected_components(big.mapInArrow(_link_blocks(threshold, task_shingles), "a long, b long"))
+    labelled = stored(big.join(inside.toDF("key", "named"), "key", "left").select("component", "key", F.coalesce("named", "key").alias("label"), "shingles"), "labelled")
+    main = stored(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "main")
+    apart = stored(labelled.join(main, "component").where("label <> main").select("component", "label", "shingles"), "apart")
+    pairs: list[DataFrame] = []
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+    size = 0
+    rows = apart.toLocalIterator()
+    for r in chain(rows, [None]):
+        if r is not None:
+            q = np.frombuffer(bytes(r["shingles"]), U64)
+            held.setdefault(r["component"], []).append((r["label"], q))
+            size += q.nbytes
+        if held and (r is None or size >= ASKED_BYTES):
+            pairs.append(stored(labelled.mapInArrow(_compare(spark.sparkContext.broadcast(held), threshold), "a long, b long").distinct(), "pairs"))
+            held, size = {}, 0
+    if not pairs:
+        return labelled.select("key", "label")
+    every = pairs[0]
+    for p in pairs[1:]:
+        every = every.unionByName(p)
+    joined = connected_components(every).toDF("label", "to")
+    return stored(labelled.select("key", "label").join(joined, "label", "left").select("key", F.coalesce("to", "label").alias("label")), "links")
+
+
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 1_000_000, task_shingles: int = 1 << 22) -> DataFrame:
     """One row (id, n_shingles, component, row, group) for each row of `documents`.
 
     Words are A-Z lower-cased; a text of fewer than `k` words is one shingle.
     component is the smallest id that is reachable over links, the row's own
     included.  A null, empty or blank text has no shingle and no link.  Rows
     that repeat an id are rows of their own; a null id is never the smallest
-    (component is null only where all ids are).  row is a hash of the text that
+    (component is null only where all ids are).  bucket_signatures bounds the
+    signatures, task_shingles the shingles of linked sets that a task holds;
+    larger groups are split over tasks.  row is a hash of the text that
     tells rows of one id apart, group a number for all linked rows (null
     without shingles).  Other columns are not read.
     """
@@ -370,7 +467,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     sent = docs.mapInArrow(_sign(buckets, k, threshold), S1_SQL)
     met = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share(), S2_SQL), "signatures")
     members = met.where("not shared").select("id", "row", "key", "n", "need_own", "need_low")
-    classes = stored(members.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("head"), F.min("id").alias("low"), F.max("need_own").alias("need_own"), F.max("need_low").alias("need_low")), "classes")
+    classes = stored(members.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("head"), F.min("id").alias("low"), F.max("n").alias("n"), F.max("need_own").alias("need_own"), F.max("need_low").alias("need_low")), "classes")
     shared = met.where("shared").select("key", "sig", "role")
     counts = stored(shared.groupBy("key").agg(F.count(F.when(F.col("role") == 0, 1)).alias("own"), F.count(F.when(F.col("role") == 1, 1)).alias("small")), "counts")
     left = counts.join(classes, "key").select("key", (F.col("own") >= F.col("need_own")).alias("as_own"), ((F.col("need_low") > 0) & (F.col("small") >= F.col("need_low"))).alias("as_small")).where("as_own or as_small")
@@ -378,12 +475,19 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     kept = shared.join(left, "key").where("(role = 0 and as_own) or (role = 1 and as_small)").select("sig", "key")
     edges = kept.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_star, "a long, b long")
     groups = connected_components(edges)
-    asked = stored(groups.toDF("key", "component").join(classes, "key").select("component", F.col("head.id").alias("id"), F.col("head.row").alias("row")), "asked")
-    if asked.count() * 64 <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    found = docs.alias("d").join(asked.alias("a"), F.expr("d.row = a.row and d.id <=> a.id")).select("component", "text")
-    sets = found.mapInArrow(_sets(k), "component long, key long, shingles binary")
-    links = stored(sets.repartition("component").sortWithinPartitions("component").mapInArrow(_link(threshold), "key long, label long"), "links")
+    asked = stored(groups.toDF("key", "component").join(classes, "key").select("component", F.col("head.id").alias("id"), F.col("head.row").alias("row"), "n"), "asked")
+    large = stored(asked.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > task_shingles).select("component"), "large")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        if some.count() * 64 <= BROADCAST_BYTES:
+            some = F.broadcast(some)
+        found = docs.alias("d").join(some.alias("a"), F.expr("d.row = a.row and d.id <=> a.id")).select("component", "text")
+        return found.mapInArrow(_sets(k), "component long, key long, shingles binary")
+
+    small = sets_of(stored(asked.join(large, "component", "left_anti"), "small"))
+    links = stored(small.repartition("component").sortWithinPartitions("component").mapInArrow(_link(threshold), "key long, label long"), "links")
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(sets_of(stored(asked.join(large, "component", "left_semi"), "large")), threshold, task_shingles))
     named = classes.select("key", "low").join(links, "key", "left").select("key", "low", F.coalesce("label", "key").alias("label"))
     lows = stored(named.groupBy("label").agg(F.min("low").alias("component")), "lows")
     named = stored(named.join(lows, "label").select("key", "component", F.col("label").alias("group")), "named")

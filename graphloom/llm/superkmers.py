@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import estimated_bytes, stored
 from .text import NOT_SPACE, U64, Words, _powers, buffers, gather, grams, mix, runs, sliding_min, spans, union_of
 
-CHUNK = 2 << 20
+CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
 FLUSH = 24 << 20
 NO_ID = (1 << 63) - 1
 _ZSTD = "zstd"

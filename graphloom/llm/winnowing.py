@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .text import ALNUM, FOLD, Words, buffers, grams, sliding_min, spans, union_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-CHUNK = 2 << 20
+CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
 LOWER = bytes(FOLD.tolist())
 
 
