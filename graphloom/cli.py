@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .cypher import parse
 from .session import GraphSession
 from .sources.trade import trade_graph
+from .types import plain
 
 HELP = "Queries end with a semicolon.  STREAM before a query follows it.  :explain QUERY  :help  :quit"
 
 
 def table(df: DataFrame, most: int = 1000) -> str:
-    rows = [df.columns, *[["null" if v is None else str(v) for v in r] for r in df.limit(most).collect()]]
+    rows = [df.columns, *[["null" if v is None else str(v) for v in map(plain, r)] for r in df.limit(most).collect()]]
     if not df.columns:
         return "done"
     width = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
@@ -33,8 +34,8 @@ def run(session: GraphSession, text: str, out=print) -> None:
             live = session.subscribe(text)
             batch = live.poll()
             for sign, df in (("+", batch.added), ("-", batch.removed)):
-                for r in df.collect():
-                    out(f"{sign} {tuple(r)}")
+                for r in sorted(str(tuple(plain(v) for v in r)) for r in df.collect()):
+                    out(f"{sign} {r}")
             return
         out(table(session.query(text)))
     except Exception as e:  # noqa: BLE001

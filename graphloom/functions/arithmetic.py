@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..types import FLOAT, INT, NULL, STR, CypherTypeError, Value, common, convert, list_of, null
+from ..types import ANY, FLOAT, INT, NULL, SCALARS, STR, CypherTypeError, Value, common, convert, list_of, null, spark_type
+from .comparison import number_of
 
 
 def calculate(op: str, a: Value, b: Value) -> Value:
@@ -22,6 +23,8 @@ def calculate(op: str, a: Value, b: Value) -> Value:
         return null(y if x == NULL else x)
     if op == "+" and x == y == STR:
         return Value(F.concat(a.col, b.col), STR)
+    if ANY in (x, y) and {x, y} <= {ANY, *SCALARS.values()}:
+        return _by_value(op, convert(a, ANY).col, convert(b, ANY).col)
     if not (x.number and y.number):
         raise CypherTypeError(f"{op} has no meaning for {x.kind} and {y.kind}")
     if op == "%":
@@ -35,7 +38,21 @@ def calculate(op: str, a: Value, b: Value) -> Value:
     return Value({"+": p + q, "-": p - q, "*": p * q}[op], t)
 
 
+def _by_value(op: str, p, q) -> Value:
+    """Arithmetic on what two values of any hold; kinds that it has no meaning for are an error of the query."""
+    out = F.when(p.isNull() | q.isNull(), F.lit(None).cast(spark_type(ANY)))
+    out = out.when(p["as_int"].isNotNull() & q["as_int"].isNotNull(), convert(calculate(op, Value(p["as_int"], INT), Value(q["as_int"], INT)), ANY).col)
+    if op == "+":
+        out = out.when(p["as_str"].isNotNull() & q["as_str"].isNotNull(), convert(Value(F.concat(p["as_str"], q["as_str"]), STR), ANY).col)
+    if op != "%":
+        m, n = number_of(p), number_of(q)
+        out = out.when(m.isNotNull() & n.isNotNull(), convert(calculate(op, Value(m, FLOAT), Value(n, FLOAT)), ANY).col)
+    return Value(out.otherwise(F.raise_error(F.lit(f"{op} has no meaning for these values")).cast(spark_type(ANY))), ANY)
+
+
 def minus(v: Value) -> Value:
+    if v.type == ANY:
+        return _by_value("-", convert(Value(F.lit(0).cast("long"), INT), ANY).col, v.col)
     if v.type == NULL:
         return v
     if not v.type.number:

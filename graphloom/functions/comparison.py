@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import BOOL, FLOAT, CypherTypeError, Value, common, convert, null
+from ..types import ANY, BOOL, FLOAT, SCALARS, STR, CypherTypeError, Type, Value, common, convert, null
 
 
 def _unknown(a: Value, b: Value, otherwise: Column) -> Column:
@@ -19,8 +20,47 @@ def _may_be_nan(a: Value, b: Value) -> bool:
     return all(not v.known and v.type == FLOAT or v.known and v.const != v.const for v in (a, b))
 
 
+def _mixed(x: Type, y: Type) -> bool:
+    return ANY in (x, y) and {x, y} <= {ANY, *SCALARS.values()}
+
+
+def number_of(c: Column) -> Column:
+    """The number that a value of any holds, as a double."""
+    return F.coalesce(c["as_int"].cast("double"), c["as_float"])
+
+
+def _by_value(a: Value, b: Value, test: Callable[[Value, Value], Value], otherwise: Column) -> Value:
+    """test on what two values of any hold, if it is of one kind; integers meet as integers."""
+    p, q = convert(a, ANY).col, convert(b, ANY).col
+    kinds = [("as_int", SCALARS["as_int"]), ("as_str", STR), ("as_bool", BOOL)]
+    out = F.when(p.isNull() | q.isNull(), F.lit(None).cast("boolean"))
+    for k, t in kinds:
+        out = out.when(p[k].isNotNull() & q[k].isNotNull(), test(Value(p[k], t), Value(q[k], t)).col)
+    m, n = number_of(p), number_of(q)
+    return Value(out.when(m.isNotNull() & n.isNotNull(), test(Value(m, FLOAT), Value(n, FLOAT)).col).otherwise(otherwise), BOOL)
+
+
+def order_key(v: Value) -> Column:
+    """What values are sorted by: among those of any strings come first, then booleans, then numbers."""
+    if v.type != ANY:
+        return v.col["id"] if v.type.entity else v.col
+    c = v.col
+    rank = F.when(c["as_str"].isNotNull(), 0).when(c["as_bool"].isNotNull(), 1).otherwise(2)
+    return F.when(c.isNotNull(), F.struct(rank, c["as_str"], c["as_bool"], number_of(c), c["as_int"]))
+
+
+def same_key(v: Value) -> Column:
+    """A key that equal values of any share; null for NaN."""
+    c = v.col
+    whole = (F.floor(c["as_float"]) == c["as_float"]) & (F.abs(c["as_float"]) < 2.0**63)
+    i = F.coalesce(c["as_int"], F.when(whole, c["as_float"]).cast("long"))
+    return F.when(c.isNotNull() & ~F.coalesce(F.isnan(c["as_float"]), F.lit(False)), F.struct(c["as_bool"], i, F.when(i.isNull(), c["as_float"]), c["as_str"]))
+
+
 def equal(a: Value, b: Value) -> Value:
     x, y = a.type, b.type
+    if _mixed(x, y):
+        return _by_value(a, b, equal, F.lit(False))
     if "null" in (x.kind, y.kind):
         return null(BOOL)
     if x.number and y.number:
@@ -49,6 +89,8 @@ def equal(a: Value, b: Value) -> Value:
 
 def compare(op: str, a: Value, b: Value) -> Value:
     x, y = a.type, b.type
+    if _mixed(x, y):
+        return _by_value(a, b, lambda p, q: compare(op, p, q), F.lit(None).cast("boolean"))
     if not (x.number and y.number or x.kind == y.kind and x.kind in ("str", "bool", "time")):
         return null(BOOL)
     c = {"<": a.col < b.col, "<=": a.col <= b.col, ">": a.col > b.col, ">=": a.col >= b.col}[op]
@@ -77,12 +119,16 @@ def truth(v: Value) -> Column:
         return v.col
     if v.type.kind == "null":
         return F.lit(None).cast("boolean")
+    if v.type == ANY:
+        return F.when(v.col.isNotNull(), F.coalesce(v.col["as_bool"], F.lit(False)))
     return F.when(v.col.isNotNull(), F.lit(False))
 
 
 def negate(v: Value) -> Value:
     if v.type.kind == "null":
         return null(BOOL)
+    if v.type == ANY:
+        return Value(F.when(v.col.isNotNull() & v.col["as_bool"].isNull(), F.raise_error(F.lit("NOT takes a boolean")).cast("boolean")).otherwise(~v.col["as_bool"]), BOOL)
     if v.type != BOOL:
         raise CypherTypeError(f"NOT takes a boolean, not a {v.type.kind}")
     return Value(~v.col, BOOL)
@@ -99,6 +145,7 @@ def case(operand: Value | None, whens: list[tuple[Value, Value]], default: Value
 
 
 def text_test(op: str, a: Value, b: Value) -> Value:
+    a, b = (Value(v.col["as_str"], STR) if v.type == ANY else v for v in (a, b))
     if a.type.kind != "str" or b.type.kind != "str":
         return null(BOOL)
     if op == "=~":

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import FLOAT, INT, NULL, STR, CypherTypeError, Type, Value, common, convert, list_of, null
+from ..types import ANY, FLOAT, INT, NULL, SCALARS, STR, CypherTypeError, Type, Value, common, convert, list_of, null, spark_type
 
 #: range() makes at most this many numbers (a fixed limit of the language's engine).
 RANGE_LIMIT = 10_000_000
@@ -37,9 +37,30 @@ def call(name: str, args: list[Value]) -> Value:
     low, high, f = REGISTRY[name.lower()]
     if not low <= len(args) <= high:
         raise CypherTypeError(f"{name} takes {low}{'' if low == high else f' to {high}'} arguments, not {len(args)}")
+    if name.lower() != "coalesce":
+        for i, v in enumerate(args):
+            if v.type == ANY:
+                return _by_value(name, v, lambda x: call(name, [*args[:i], x, *args[i + 1 :]]))
     return f(*args)
 
 
+def _by_value(name: str, v: Value, f: Callable[[Value], Value]) -> Value:
+    """f of what a value of any holds; a kind that f does not take is an error of the query."""
+    found = []
+    for k, t in SCALARS.items():
+        try:
+            found.append((v.col[k].isNotNull(), f(Value(v.col[k], t))))
+        except CypherTypeError:
+            continue
+    if not found:
+        raise CypherTypeError(f"{name} takes no plain value")
+    t = reduce(common, (r.type for _, r in found))
+    out = F.when(v.col.isNull(), F.lit(None).cast(spark_type(t)))
+    for some, r in found:
+        out = out.when(some, convert(r, t).col)
+    return Value(out.otherwise(F.raise_error(F.lit(f"{name} has no meaning for this value")).cast(spark_type(t))), t)
+
+
 def _when_some(v: Value, c: Column) -> Column:
     return F.when(v.col.isNotNull(), c)
 

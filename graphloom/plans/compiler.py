@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..cypher import syntax as S
 from ..functions import comparison
+from ..functions.comparison import number_of, order_key
 from ..operators.paths import expand_trails, shortest_paths
 from ..operators.scan import ends_imply, own_end, rel_tables, scan_nodes, scan_rels, scan_rels_with_end, towards
 from ..sources.graph import Graph
-from ..types import FLOAT, INT, NULL, CypherTypeError, Type, Value, common, convert, list_of, spark_type
+from ..types import ANY, FLOAT, INT, NULL, CypherTypeError, Type, Value, common, convert, list_of, spark_type
 from .expressions import Expressions
 from .scope import Binding, Node, Plain, Rel, fresh
 
@@ -411,7 +412,7 @@ class Compiler:
             keys = []
             for k, down in order:
                 v = self.x.value(k, {**hidden, **out.scope}, given)
-                col = v.col["id"] if v.type.entity else v.col
+                col = order_key(v)
                 keys.append(col.desc_nulls_first() if down else col.asc_nulls_last())
             df = out.df.orderBy(*keys)
             if p.skip is not None or p.limit is not None:
@@ -502,7 +503,13 @@ class Compiler:
         if name in ("min", "max"):
             if v.type.entity or v.type.kind in ("list", "map", "path"):
                 raise CypherTypeError(f"{name} takes plain values")
+            if v.type == ANY:
+                pair = F.when(v.col.isNotNull(), F.struct(order_key(v).alias("k"), v.col.alias("v")))
+                return (F.min(pair) if name == "min" else F.max(pair))["v"], ANY
             return (F.min(v.col) if name == "min" else F.max(v.col)), v.type
+        if v.type == ANY:
+            number = number_of(v.col)
+            v = Value(F.when(v.col.isNotNull() & number.isNull(), F.raise_error(F.lit(f"{name} takes numbers")).cast("double")).otherwise(number), FLOAT)
         if not v.type.number and v.type != NULL:
             raise CypherTypeError(f"{name} takes numbers")
         if v.type == NULL:

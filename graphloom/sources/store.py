@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConflictError, ConstraintViolation
+from ..functions.comparison import same_key
 from ..runtime import shared_folder
-from ..types import CypherTypeError, Type, common, list_of, spark_type
+from ..types import ANY, CypherTypeError, Type, Value, common, convert, list_of, spark_type
 from .graph import Graph, NodeTable, RelTable
 
 
@@ -53,12 +54,12 @@ class Table:
                 else:
                     new = common(old, t, f"values of property {key}")
                 if new != old:
-                    df = df.withColumn(c, F.col(c).cast(spark_type(new)))
+                    df = df.withColumn(c, convert(Value(F.col(c), old), new).col.cast(spark_type(new)))
                     props[key] = (c, new)
         return Table(df, props)
 
 
-STORABLE = ("bool", "int", "float", "str", "time", "list", "map")
+STORABLE = ("bool", "int", "float", "str", "time", "any", "list", "map")
 
 
 def storable(key: str, t: Type) -> Type:
@@ -196,10 +197,18 @@ def check_unique(s: Snapshot) -> None:
             rows = rows.where(~F.isnan(c))
         if t.kind in ("list", "map"):
             continue
-        if not rows.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty():
+        value = same_key(Value(F.col(c), t)) if t == ANY else F.col(c)
+        if not rows.groupBy(value.alias("value")).agg(F.count("*").alias("n")).where("n > 1 and value is not null").limit(1).isEmpty():
             raise ConstraintViolation(f"constraint {name}: nodes of :{label} share a value of {key}")
 
 
+def _as_of(new: Table, key: str, c: str, t: Type):
+    """A property's column in the type that it has in a later version."""
+    if key not in new.props or new.props[key][1] == t or t.kind in ("list", "map"):
+        return F.col(c)
+    return convert(Value(F.col(c), t), new.props[key][1]).col
+
+
 def _changes(old: Table, new: Table, entity: str) -> DataFrame:
     """What differs between two versions of a table: created, deleted and changed rows with the keys that changed."""
     ends = ["src", "dst"] if entity == "rel" else []
@@ -209,7 +218,7 @@ def _changes(old: Table, new: Table, entity: str) -> DataFrame:
     def side(t: Table, mark: str) -> DataFrame:
         values = []
         for i, k in enumerate(keys):
-            c = F.to_json(F.struct(F.col(t.props[k][0]).alias("v"))) if k in t.props else F.lit("{}")
+            c = F.to_json(F.struct(_as_of(new, k, *t.props[k]).alias("v"))) if k in t.props else F.lit("{}")
             values.append(c.alias(f"{mark}v{i}"))
         what = F.col(kinds) if entity == "node" else F.array(F.col(kinds))
         return t.df.select(F.col("id").alias(f"{mark}id"), what.alias(f"{mark}kinds"), *[F.col(e).alias(f"{mark}{e}") for e in ends], *values)

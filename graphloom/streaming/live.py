@@ -23,6 +23,7 @@ from ..plans.compiler import Rows
 from ..plans.scope import Node, Rel
 from ..plans.writes import Writer
 from ..runtime import cut
+from ..types import Value, common, convert, type_of
 from .footprint import anchored, footprint
 
 #: With more changed nodes than this the whole query is run again (a fixed limit of the language's engine).
@@ -109,6 +110,7 @@ class LiveQuery:
         fresh = reduce(DataFrame.unionByName, [self._seeded(snapshot, c, dirty).select(*[f"`{x}`" for x in self._matches.columns]) for c in nodes])
         keys = [c for c in self._matches.columns if c.startswith(("n#", "r#"))]
         fresh = fresh.dropDuplicates(keys)
+        kept, fresh = _aligned(kept, fresh)
         self._matches = cut(kept.unionByName(fresh))
         self._rows = self._limited(self._shown(self._matches))
         return self._rows
@@ -156,12 +158,19 @@ class LiveQuery:
             self._stream = None
 
 
-def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a without b, as multisets; types that a property got since are widened."""
+def _aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with the columns of a, in types that hold both; a property may have got a wider one since."""
     if a.schema == b.schema:
-        return a.exceptAll(b)
-    wide = {f.name: f.dataType for f in a.schema.fields}
-    shared = [F.to_json(F.struct(F.col(f"`{c}`"))).alias(c) for c in wide]
-    left, right = a.select(*shared), b.select(*[F.to_json(F.struct(F.col(f"`{c}`"))).alias(c) for c in b.columns])
-    rest = left.exceptAll(right)
-    return rest.select(*[F.from_json(F.col(f"`{c}`"), a.select(F.struct(F.col(f"`{c}`")).alias("s")).schema["s"].dataType)[c].alias(c) for c in wide])
+        return a, b
+    types = {f.name: common(type_of(f.dataType), type_of(b.schema[f.name].dataType)) for f in a.schema.fields}
+
+    def wide(df: DataFrame) -> DataFrame:
+        return df.select(*[convert(Value(F.col(f"`{n}`"), type_of(df.schema[n].dataType)), t).col.alias(n) for n, t in types.items()])
+
+    return wide(a), wide(b)
+
+
+def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a without b, as multisets."""
+    a, b = _aligned(a, b)
+    return a.exceptAll(b)

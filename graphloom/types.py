@@ -16,7 +16,7 @@ class CypherTypeError(TypeError):
 
 @dataclass(frozen=True)
 class Type:
-    """kind: null, bool, int, float, str, time, list, map, node, rel, path."""
+    """kind: null, bool, int, float, str, time, any, list, map, node, rel, path; any: one of `SCALARS`, told row by row."""
 
     kind: str
     item: "Type | None" = None
@@ -34,7 +34,10 @@ class Type:
         return dict(self.fields).get(key)
 
 
-NULL, BOOL, INT, FLOAT, STR, TIME, PATH = (Type(k) for k in ("null", "bool", "int", "float", "str", "time", "path"))
+NULL, BOOL, INT, FLOAT, STR, TIME, PATH, ANY = (Type(k) for k in ("null", "bool", "int", "float", "str", "time", "path", "any"))
+
+#: A value of any is a struct of these, of which one is not null.
+SCALARS = {"as_bool": BOOL, "as_int": INT, "as_float": FLOAT, "as_str": STR}
 
 
 def list_of(item: Type) -> Type:
@@ -69,6 +72,8 @@ def spark_type(t: Type) -> T.DataType:
             return T.StringType()
         case "time":
             return T.TimestampNTZType()
+        case "any":
+            return T.StructType([T.StructField(k, spark_type(x)) for k, x in SCALARS.items()])
         case "list":
             return T.ArrayType(spark_type(t.item))
         case "map":
@@ -94,6 +99,8 @@ def type_of(d: T.DataType) -> Type:
         return TIME
     if isinstance(d, T.ArrayType):
         return list_of(type_of(d.elementType))
+    if isinstance(d, T.StructType) and d.fieldNames() == list(SCALARS):
+        return ANY
     if isinstance(d, T.StructType):
         return Type("map", fields=tuple((f.name, type_of(f.dataType)) for f in d.fields))
     if isinstance(d, T.NullType):
@@ -104,7 +111,7 @@ def type_of(d: T.DataType) -> Type:
 def widened(c: Column, d: T.DataType) -> Column:
     """A stored column as the type that expressions work on."""
     t = type_of(d)
-    return c if t.kind in ("time", "list", "map") or spark_type(t) == d else c.cast(spark_type(t))
+    return c if t.kind in ("time", "any", "list", "map") or spark_type(t) == d else c.cast(spark_type(t))
 
 
 def common(a: Type, b: Type, what: str = "values") -> Type:
@@ -119,9 +126,9 @@ def common(a: Type, b: Type, what: str = "values") -> Type:
         return list_of(common(a.item, b.item, what))
     if a.kind == b.kind and a.kind in ("map", "node", "rel"):
         keys = dict.fromkeys([k for k, _ in a.fields] + [k for k, _ in b.fields])
-        if a.kind == "map" and len(keys) not in (len(a.fields), len(b.fields)) and a.fields and b.fields:
-            pass
         return Type(a.kind, fields=tuple((k, common(a.field(k) or NULL, b.field(k) or NULL, what)) for k in keys))
+    if {a.kind, b.kind} <= {"any", *(x.kind for x in SCALARS.values())}:
+        return ANY
     raise CypherTypeError(f"{what} of types {a.kind} and {b.kind} do not mix")
 
 
@@ -135,6 +142,8 @@ def convert(v: Value, t: Type) -> Value:
         return v
     if v.type.kind == "null":
         return Value(F.lit(None).cast(spark_type(t)), t, True, None)
+    if t == ANY:
+        return Value(F.when(v.col.isNotNull(), F.struct(*[(v.col if x == v.type else F.lit(None).cast(spark_type(x))).alias(k) for k, x in SCALARS.items()])), ANY)
     if t.kind == "list":
         return Value(F.transform(v.col, lambda x: convert(Value(x, v.type.item), t.item).col), t)
     if t.kind in ("map", "node", "rel"):
@@ -148,6 +157,13 @@ def convert(v: Value, t: Type) -> Value:
     return Value(v.col.cast(spark_type(t)), t, v.known, const)
 
 
+def plain(x: Any) -> Any:
+    """A collected value with those of any as the Python values that they hold."""
+    if hasattr(x, "asDict") and list(x.asDict()) == list(SCALARS):
+        return next((v for v in x if v is not None), None)
+    return [plain(y) for y in x] if isinstance(x, list) else x
+
+
 def literal(x: Any) -> Value:
     """A Python value as a constant."""
     if x is None:
@@ -164,6 +180,8 @@ def literal(x: Any) -> Value:
         return Value(F.lit(x), STR, True, x)
     if hasattr(x, "asDict"):
         fields = set(x.asDict())
+        if fields == set(SCALARS):
+            return literal(plain(x))
         if fields in ({"id", "labels", "props"}, {"id", "type", "src", "dst", "props"}):
             return _entity(x)
         return literal(x.asDict(recursive=True))
