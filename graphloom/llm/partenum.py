@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -394,14 +395,15 @@ def _compare(asked, threshold: Fraction):
                 if c not in queries:
                     continue
                 size = np.array([len(sets[i]) for i in at.tolist()])
-                flat, first = np.concatenate([sets[i] for i in at.tolist()]), np.cumsum(size) - size
+                flat, owner = np.concatenate([sets[i] for i in at.tolist()]), np.repeat(np.arange(len(at)), size)
+                order = np.argsort(flat)
+                flat, owner = flat[order], owner[order]
                 for name, q in queries[c]:
-                    near = (size * den >= num * len(q)) & (len(q) * den >= num * size) & (label[at] != name)
-                    if not near.any():
-                        continue
-                    same = q[np.minimum(np.searchsorted(q, flat), len(q) - 1)] == flat
-                    both = np.add.reduceat(same.astype(np.int64), first)
-                    hit = near & (den * both >= num * (size + len(q) - both))
+                    low = np.searchsorted(flat, q, "left")
+                    n = np.searchsorted(flat, q, "right") - low
+                    where = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    both = np.bincount(owner[where], minlength=len(at))
+                    hit = (label[at] != name) & (den * both >= num * (size + len(q) - both))
                     pairs |= {(name, x) for x in np.unique(label[at[hit]]).tolist()}
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=out)
 
@@ -415,23 +417,31 @@ ASKED_BYTES = 16 << 20
 def _large_links(sets: DataFrame, threshold: Fraction, task_shingles: int) -> DataFrame:
     """(key, label) for components too large for one task; labels agree exactly where links lead.
 
-    Bounded blocks of a component are linked by themselves first, and blocks
-    that share a set's label are joined.  Every link that is still missing has
-    an end outside the component's most frequent label; the sets there, mostly
-    few, are broadcast in bounded blocks and meet all others, which answer
-    with the labels they link, not with pairs of sets.
+    Bounded blocks of a component are linked by themselves first.  One set of
+    each label that has many meets all others next, which joins what blocks
+    have cut.  Every link that is still missing has an end outside the
+    component's most frequent label; the sets there meet all others as well.
     """
-    spark = sets.sparkSession
     big = stored(sets.dropDuplicates(["component", "key"]).repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
     inside = connected_components(big.mapInArrow(_link_blocks(threshold, task_shingles), "a long, b long"))
     labelled = stored(big.join(inside.toDF("key", "named"), "key", "left").select("component", "key", F.coalesce("named", "key").alias("label"), "shingles"), "labelled")
+    many = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).select("component", F.col("label").alias("key"))
+    labelled = _joined(labelled, labelled.join(many, ["component", "key"], "left_semi"), threshold)
     main = stored(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "main")
-    apart = stored(labelled.join(main, "component").where("label <> main").select("component", "label", "shingles"), "apart")
+    return _joined(labelled, labelled.join(main, "component").where("label <> main"), threshold).select("key", "label")
+
+
+#: A label of so many sets asks by one of them first.
+MANY = 16
+
+
+def _joined(labelled: DataFrame, asking: DataFrame, threshold: Fraction) -> DataFrame:
+    """`labelled` with one label where sets of `asking`, broadcast in bounded blocks, are linked with sets of another; those answer with the labels, not with pairs of sets."""
+    spark = labelled.sparkSession
     pairs: list[DataFrame] = []
     held: dict[int, list[tuple[int, np.ndarray]]] = {}
     size = 0
-    rows = apart.toLocalIterator()
-    for r in chain(rows, [None]):
+    for r in chain(stored(asking.select("component", "label", "shingles"), "asking").toLocalIterator(), [None]):
         if r is not None:
             q = np.frombuffer(bytes(r["shingles"]), U64)
             held.setdefault(r["component"], []).append((r["label"], q))
@@ -440,12 +450,9 @@ def _large_links(sets: DataFrame, threshold: Fraction, task_shingles: int) -> Da
             pairs.append(stored(labelled.mapInArrow(_compare(spark.sparkContext.broadcast(held), threshold), "a long, b long").distinct(), "pairs"))
             held, size = {}, 0
     if not pairs:
-        return labelled.select("key", "label")
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
-    joined = connected_components(every).toDF("label", "to")
-    return stored(labelled.select("key", "label").join(joined, "label", "left").select("key", F.coalesce("to", "label").alias("label")), "links")
+        return labelled
+    joined = connected_components(reduce(DataFrame.unionByName, pairs)).toDF("label", "to")
+    return stored(labelled.join(joined, "label", "left").select("component", "key", F.coalesce("to", "label").alias("label"), "shingles"), "joined")
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 1_000_000, task_shingles: int = 1 << 22) -> DataFrame:

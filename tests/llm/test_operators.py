@@ -349,6 +349,24 @@ def test_jaccard_join_loses_no_link(spark):
     assert bag(partenum.near_duplicates_report(docs, task_shingles=60)) == want  # groups are split over tasks
 
 
+def test_jaccard_join_joins_what_blocks_cut(spark):
+    """Two large groups of near copies that share candidates, over many blocks, with repeated rows."""
+    r = random.Random(9)
+    data = []
+    for base in (1, 2):
+        w = words(base + 900, 60)
+        for _ in range(60):
+            x = list(w)
+            x[r.randrange(60)] = r.choice(WORDS)
+            data.append((len(data), " ".join(x)))
+    mixed = words(901, 60)[:40] + words(902, 60)[:20]
+    data += [(len(data), " ".join(mixed)), data[3], data[3], data[70]]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = brute_links(data)
+    assert bag(partenum.near_duplicates_report(docs)) == want
+    assert bag(partenum.near_duplicates_report(docs, task_shingles=300)) == want
+
+
 # 9. Packing.
 
 
