@@ -281,12 +281,14 @@ def _sets(k: int):
     out = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task gives a set once
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for i, j in spans(offsets, CHUNK):
                 sets = Sets(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE), k)
-                raw = [sets.hashes[a:b].tobytes() for a, b in zip(sets.bounds[:-1].tolist(), sets.bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("component").slice(i, j - i), pa.array(sets.keys), pa.array(raw, pa.binary())], schema=out)
+                fresh = np.array([x for x, key in enumerate(sets.keys.tolist()) if key not in seen and not seen.add(key)], np.int64)
+                raw = [sets.hashes[a:b].tobytes() for a, b in zip(sets.bounds[fresh].tolist(), sets.bounds[fresh + 1].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("component").slice(i, j - i).take(pa.array(fresh)), pa.array(sets.keys[fresh]), pa.array(raw, pa.binary())], schema=out)
 
     return run
 
@@ -369,7 +371,9 @@ def _link_blocks(threshold: Fraction, task_shingles: int):
         held, size = {}, 0
         for batch in batches:
             for c, key, raw in zip(batch.column("component").to_pylist(), batch.column("key").to_pylist(), batch.column("shingles")):
-                held.setdefault(c, {})[key] = np.frombuffer(raw.as_buffer(), U64)
+                if key in held.setdefault(c, {}):
+                    continue
+                held[c][key] = np.frombuffer(raw.as_buffer(), U64)
                 size += len(held[c][key])
                 if size >= task_shingles:
                     yield from done(held)
@@ -422,13 +426,13 @@ def _large_links(sets: DataFrame, threshold: Fraction, task_shingles: int) -> Da
     have cut.  Every link that is still missing has an end outside the
     component's most frequent label; the sets there meet all others as well.
     """
-    big = stored(sets.dropDuplicates(["component", "key"]).repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
+    big = stored(sets.repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
     inside = connected_components(big.mapInArrow(_link_blocks(threshold, task_shingles), "a long, b long"))
     labelled = stored(big.join(inside.toDF("key", "named"), "key", "left").select("component", "key", F.coalesce("named", "key").alias("label"), "shingles"), "labelled")
-    many = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).select("component", F.col("label").alias("key"))
+    many = stored(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).select("component", F.col("label").alias("key")), "many")
     labelled = _joined(labelled, labelled.join(many, ["component", "key"], "left_semi"), threshold)
     main = stored(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "main")
-    return _joined(labelled, labelled.join(main, "component").where("label <> main"), threshold).select("key", "label")
+    return _joined(labelled, labelled.join(main, "component").where("label <> main"), threshold).select("key", "label").distinct()
 
 
 #: A label of so many sets asks by one of them first.
@@ -455,7 +459,7 @@ def _joined(labelled: DataFrame, asking: DataFrame, threshold: Fraction) -> Data
     return stored(labelled.join(joined, "label", "left").select("component", "key", F.coalesce("to", "label").alias("label"), "shingles"), "joined")
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 1_000_000, task_shingles: int = 1 << 22) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 1_000_000, task_shingles: int = 1 << 18) -> DataFrame:
     """One row (id, n_shingles, component, row, group) for each row of `documents`.
 
     Words are A-Z lower-cased; a text of fewer than `k` words is one shingle.
