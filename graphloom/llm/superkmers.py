@@ -108,7 +108,7 @@ class _Held:
             doc, at, windows, low, whole = cut
             begin = words.starts[at]
             size = words.ends[at + windows + k - 2] - begin
-            self.parts.append((ids[doc], rows[doc], (at - words.docs[doc]).astype(np.uint32), windows.astype(np.uint16), low, whole, begin + self.bytes, size))
+            self.parts.append((ids[doc], rows[doc], (at - words.docs[doc]).astype(np.uint32), windows.astype(np.uint32), low, whole, begin + self.bytes, size))
         self.data.append(words.data)
         self.bytes += len(words.data)
 
@@ -139,7 +139,7 @@ class _Held:
             yield int(bucket[own[0]]), _pack(ids[s], rows[s], start[s], windows[s], size[s].astype(np.uint32), gather(data, begin[s], size[s]), ids[d], rows[d], start[d], windows[d])
 
 
-TYPES = [np.int64, np.int32, np.uint32, np.uint16, np.uint32, np.uint8, np.int64, np.int32, np.uint32, np.uint16]
+TYPES = [np.int64, np.int32, np.uint32, np.uint32, np.uint32, np.uint8, np.int64, np.int32, np.uint32, np.uint32]
 
 
 def _cut(buckets: int, k: int, m: int):

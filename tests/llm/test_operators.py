@@ -463,3 +463,9 @@ def test_window_hash_collisions_are_told_apart(spark, monkeypatch):
     for i, a, b in zip(ids.tolist(), s.tolist(), e.tolist()):
         removed[i] += b - a
     assert {r[0]: r[2] for r in brute_repeats(data) if r[2]} == dict(removed)
+
+
+def test_a_run_of_one_minimiser_may_have_any_number_of_windows(spark):
+    """A repeated word makes one super-k-mer of more than 65,535 windows; its copies lie in the same task."""
+    data = [(1, "again " * 100_000), (2, "again " * 100_000), (3, "again " * 66_000 + "end")]
+    assert bag(superkmers.repeats_report(spark.createDataFrame(data, "doc_id long, text string").coalesce(1))) == brute_repeats(data)
