@@ -189,7 +189,7 @@ EVIDENCE = 24
 def _score(model):
     out = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
     letters = np.zeros(256, bool)
-    letters[0x41:0x5B] = letters[0x61:0x7B] = letters[0xC3:] = True
+    letters[0x41:0x5B] = letters[0x61:0x7B] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -207,11 +207,8 @@ def _score(model):
 def classify(m: Model, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     n = np.diff(offsets)
     sums = np.concatenate(([0], np.cumsum(letters[data])))
-    maybe = sums[offsets[1:]] > sums[offsets[:-1]]
-    has = maybe.copy()
-    for d in np.flatnonzero(maybe & (sums[offsets[1:]] - sums[offsets[:-1]] < 8)).tolist():  # few such bytes: they may be signs beyond ASCII
-        has[d] = any(c.isalpha() for c in data[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace"))
-    for d in np.flatnonzero(~maybe & (n > 0)).tolist():
+    has = sums[offsets[1:]] > sums[offsets[:-1]]
+    for d in np.flatnonzero(~has & (n > 0)).tolist():  # no ASCII letter: what is beyond ASCII may be letters or signs
         raw = data[offsets[d] : offsets[d + 1]]
         has[d] = bool((raw >= 0x80).any()) and any(c.isalpha() for c in raw.tobytes().decode("utf-8", "replace"))
     if not m.langs:
@@ -255,7 +252,7 @@ def language_report(documents: DataFrame, **options) -> DataFrame:
 def keep_identified(documents: DataFrame, model: Model, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """`documents` without texts of no language, or of a language that scores under `least`; columns unchanged."""
     letters = np.zeros(256, bool)
-    letters[0x41:0x5B] = letters[0x61:0x7B] = letters[0xC3:] = True
+    letters[0x41:0x5B] = letters[0x61:0x7B] = True
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,6 +169,18 @@ def test_languages(spark, rows, none):
     assert kept.columns == rows.columns and {r["doc_id"] for r in kept.collect()} & {6, 7, 8, 16} == set()
 
 
+def test_signs_beyond_ascii_are_no_letters(spark):
+    """However many there are; letters of any script are."""
+    model = ppm.train(files(spark, "documents"))
+    signs = [c * n for c in "\u2014\u2022\u2605\U0001f600\u3002\u0663\u00bd" for n in (1, 7, 8, 9, 5000)] + ["\u2014 12 \u2022\u2022\u2022 34 \u2605\u2605\u2605\u2605\u2605"]
+    letters = ["\u65e5" * 9, "\u00e9" * 8, "\u00aa", "\u2605" * 5000 + "\u0436", "\u2014" * 9 + "a", "\u0627" * 3]
+    docs = spark.createDataFrame(list(enumerate(signs + letters)), "doc_id long, text string")
+    got = {r["id"]: r for r in ppm.identify(docs, model).collect()}
+    assert [(got[i]["lang"], got[i]["score"]) for i in range(len(signs))] == [("und", 0)] * len(signs)
+    assert all(got[len(signs) + i]["lang"] != "und" and got[len(signs) + i]["score"] > 0 for i in range(len(letters)))
+    assert {r["doc_id"] for r in ppm.keep_identified(docs, model, least=0).collect()} == set(range(len(signs), len(signs) + len(letters)))
+
+
 def test_code_lengths_are_those_of_ppm():
     """Every distribution sums to one, and bits are the sum of escapes and symbols of method C with exclusion."""
     text = b"abracadabra"
