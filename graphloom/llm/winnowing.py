@@ -8,7 +8,7 @@ compared word by word, so that no hash decides alone.
 
 The benchmark is a stated query set: it is taken in blocks of at most
 `block_bytes` of text.  Each block is broadcast and met by all documents in one
-pass without a shuffle; the passes' ranges meet per document.
+pass without a shuffle; the passes' ranges meet per row, by a number of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .text import ALNUM, FOLD, Words, buffers, grams, sliding_min, spans, union_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -114,8 +115,8 @@ def matches(block: Block, words: Words, hashes: np.ndarray) -> tuple[np.ndarray,
     return np.array(starts, np.int64), np.array(lengths, np.int64), items
 
 
-def _scan(block, k: int, window: int):
-    out = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+def _scan(block, k: int, window: int, keys: tuple[str, ...] = ("key",)):
+    out = pa.schema([*((c, pa.int64()) for c in keys), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Block = block.value
@@ -139,7 +140,7 @@ def _scan(block, k: int, window: int):
                     starts.append(x.tolist())
                     ends.append(y.tolist())
                     names.append(sorted({b.items[o] for q in order[lo:hi].tolist() for o in items[q].tolist()}))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), pa.array(words.counts(), pa.int64()), pa.array(starts, out[2].type), pa.array(ends, out[3].type), pa.array(names, out[4].type)], schema=out)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keys), pa.array(words.counts(), pa.int64()), pa.array(starts, out.field("starts").type), pa.array(ends, out.field("ends").type), pa.array(names, out.field("items").type)], schema=out)
 
     return run
 
@@ -169,19 +170,19 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: st
     or empty text has no words and no range.  A benchmark row with a null id
     or text, or without words, matches nothing; an empty benchmark leaves all
     documents clean.  Equal benchmark rows count once, by their id.  Rows of
-    `documents` that repeat an id are reported each on their own as long as
-    the benchmark is one block; beyond, rows of one id share their ranges.
-    Other columns are not read.
+    `documents` that repeat an id, or have none, are reported each on their
+    own.  If the benchmark is more than one block, ids and texts are written
+    once with a number for each row.  Other columns are not read.
     """
     if not 1 <= k <= window:
         raise ValueError("k lies between 1 and window")
     sc = documents.sparkSession.sparkContext
     docs = documents.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    parts = [docs.mapInArrow(_scan(sc.broadcast(Block(items, k, window)), k, window), OUT) for items in blocks_of(benchmark, item_col, text_col, block_bytes)]
-    if not parts:
-        parts = [docs.mapInArrow(_scan(sc.broadcast(Block([], k, window)), k, window), OUT)]
-    if len(parts) == 1:
-        return parts[0]
+    blocks = [sc.broadcast(Block(items, k, window)) for items in blocks_of(benchmark, item_col, text_col, block_bytes)]
+    if len(blocks) <= 1:
+        return docs.mapInArrow(_scan(blocks[0] if blocks else sc.broadcast(Block([], k, window)), k, window), OUT)
+    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
+    parts = [docs.mapInArrow(_scan(b, k, window, ("row", "key")), "row long, " + OUT) for b in blocks]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -192,7 +193,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: st
         lambda a, x: F.when(a.isNull(), F.array(x)).when(F.element_at(a, -1)["ends"] >= x["starts"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["starts"].alias("starts"), F.greatest(F.element_at(a, -1)["ends"], x["ends"]).alias("ends"))))).otherwise(F.array_append(a, x)),
     )
     merged = F.coalesce(merged, F.array().cast("array<struct<starts:bigint,ends:bigint>>"))
-    out = both.groupBy("key").agg(F.max("n_words").alias("n_words"), merged.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = both.groupBy("row").agg(F.max("key").alias("key"), F.max("n_words").alias("n_words"), merged.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return out.select("key", "n_words", F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"), "items")
 
 

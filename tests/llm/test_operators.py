@@ -281,6 +281,16 @@ def test_winnowing(spark, rows, none):
     assert clean.columns == rows.columns and clean.count() == sum(not r[5] for r in want)
 
 
+@pytest.mark.parametrize("block_bytes", [1, 20, 200])
+def test_blocks_give_a_row_for_each_row(spark, rows, block_bytes):
+    """Rows that repeat an id or have none are judged each on their own, however many blocks there are."""
+    base = words(1, 60)
+    items = [(1, " ".join(base[5:30])), (2, "One, two"), (4, None), (5, "same id"), (6, "\u00e9 \u00fc"), (7, " ".join(base[40:49])), (8, " ".join(base[20:45]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(winnowing.brute_force([(r["doc_id"], r["text"]) for r in rows.collect()], items), key=repr)
+    assert len(want) == 25 and bag(winnowing.contamination_report(rows, bench, block_bytes=block_bytes)) == want
+
+
 # 7. Exact dedup.
 
 
