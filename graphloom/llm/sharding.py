@@ -4,7 +4,8 @@ A directory is indexed by the leading bits of a key's hash.  A bucket that
 exceeds the byte limit, and no other, splits on its next bit, until every shard
 fits.  Bytes are summed once by cells of so many bits as the whole needs; the
 directory is the coarsest cut of that tree that fits, and only rows of cells
-that are still too large are looked at again with more bits.
+that are still too large are looked at again with more bits.  Rows that no bit of
+the hash tells apart go on splitting on the bits of a number of their own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .shared import BROADCAST_BYTES, stored
 
 #: Bits of the hash: the first 15 hex digits of MD5.
 BITS = 60
+#: Bits of a row's number.
+ROW_BITS = 63
 #: More bits that are tried at once, and their sum at the first look.
 STEP, MOST_FIRST = 8, 18
 
@@ -26,66 +29,90 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def _prefix(h: Column, bits) -> Column:
-    return F.shiftright(h, BITS - bits) if isinstance(bits, int) else F.call_function("shiftright", h, (F.lit(BITS) - bits).cast("int"))
+def _prefix(h: Column, bits: int, width: int) -> Column:
+    return F.shiftright(h, width - bits)
+
+
+def _bits(cell: Column, bits: int) -> Column:
+    return F.call_function("lpad", F.bin(cell), F.lit(bits), F.lit("0"))
 
 
 def _cut(cells: DataFrame, known: int, bits: int, limit: int) -> DataFrame:
-    """(cell, depth, bytes, rows): for each cell of `bits` bits the coarsest prefix, deeper than `known` bits, that fits; null depth where none does."""
-    up = cells.select("cell", "bytes", "rows", F.explode(F.sequence(F.lit(known), F.lit(bits))).alias("depth"))
+    """(base, cell, depth, bytes, rows): for each cell of `bits` bits the coarsest prefix in its base, deeper than `known` bits, that fits; null depth where none does."""
+    up = cells.select("base", "cell", "bytes", "rows", F.explode(F.sequence(F.lit(known), F.lit(bits))).alias("depth"))
     up = up.withColumn("prefix", F.call_function("shiftright", F.col("cell"), (F.lit(bits) - F.col("depth")).cast("int")))
-    sums = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("all_bytes"), F.sum("rows").alias("all_rows"))
-    fit = up.join(sums, ["depth", "prefix"]).where(F.col("all_bytes") <= limit)
-    best = fit.groupBy("cell").agg(F.min(F.struct("depth", "all_bytes", "all_rows")).alias("best"))
-    return cells.join(best, "cell", "left").select("cell", "best.depth", F.col("best.all_bytes").alias("shard_bytes"), F.col("best.all_rows").alias("shard_rows"), "bytes", "rows")
-
+    sums = up.groupBy("base", "depth", "prefix").agg(F.sum("bytes").alias("all_bytes"), F.sum("rows").alias("all_rows"))
+    fit = up.join(sums, ["base", "depth", "prefix"]).where(F.col("all_bytes") <= limit)
+    best = fit.groupBy("base", "cell").agg(F.min(F.struct("depth", "all_bytes", "all_rows")).alias("best"))
+    return cells.join(best, ["base", "cell"], "left").select("base", "cell", "best.depth", F.col("best.all_bytes").alias("shard_bytes"), F.col("best.all_rows").alias("shard_rows"))
 
-def shard(documents: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", limit_bytes: int = 64 << 20) -> DataFrame:
-    """One row (key, shard, shard_bytes, shard_rows) for each row of `documents`.
 
-    shard is the bits of the directory entry, as a string of 0 and 1 (empty if
-    all fits in one); a shard's UTF-8 bytes of text never exceed limit_bytes,
-    except for a row that is longer by itself.  A null text has no bytes, a
-    null key hashes as the empty one.  Rows whose keys' hashes agree in all
-    bits cannot be told apart by any bit; if they exceed the limit, they are
-    dealt to sub-shards, named by a dot and a number, each of which holds their
-    even share.  Other columns are not read.
-    """
-    rows = documents.select(F.col(key_col).alias("key"), key_hash(F.col(key_col)).alias("h"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"))
-    rows = stored(rows, "keys")
+def _split(rows: DataFrame, width: int, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """(key, row, base, shard, shard_bytes, shard_rows) of the rows (key, row, base, h, bytes) of each base, cut by h's `width` bits, and the rows that no prefix fits, if any."""
     total = rows.agg(F.sum("bytes")).first()[0] or 0
-    bits = min(MOST_FIRST, max(1, math.ceil(math.log2(max(2, total / limit_bytes))) + 3))
+    bits = min(MOST_FIRST, width, max(1, math.ceil(math.log2(max(2, total / limit))) + 3))
     known, done = 0, []
     while True:
-        cells = stored(rows.groupBy(_prefix(F.col("h"), bits).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")), "cells")
-        cut = stored(_cut(cells, known, bits, limit_bytes), "directory")
+        cells = stored(rows.groupBy("base", _prefix(F.col("h"), bits, width).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")), "cells")
+        cut = stored(_cut(cells, known, bits, limit), "directory")
         small = F.broadcast(cut) if cut.count() * 64 <= BROADCAST_BYTES else cut
-        found = rows.withColumn("cell", _prefix(F.col("h"), bits)).join(small.withColumnRenamed("bytes", "cell_bytes").withColumnRenamed("rows", "cell_rows"), "cell")
-        name = F.call_function("lpad", F.bin(F.col("cell")), F.lit(bits), F.lit("0")).substr(F.lit(1), F.col("depth"))
-        done.append(found.where("depth is not null").select("key", name.alias("shard"), "shard_bytes", "shard_rows"))
+        found = rows.withColumn("cell", _prefix(F.col("h"), bits, width)).join(small, ["base", "cell"])
+        name = _bits(F.col("cell"), bits).substr(F.lit(1), F.col("depth"))
+        done.append(found.where("depth is not null").select("key", "row", "base", name.alias("shard"), "shard_bytes", "shard_rows"))
         if cut.where("depth is null").isEmpty():
-            break
-        rest = found.where("depth is null")
-        if bits == BITS:
-            parts = F.ceil(F.col("cell_bytes") / limit_bytes).cast("long")
-            dealt = rest.withColumn("sub", F.pmod(F.monotonically_increasing_id(), parts))
-            dealt = stored(dealt.select("key", "cell", "sub", "bytes"), "dealt")
-            sums = dealt.groupBy("cell", "sub").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-            name = F.concat(F.call_function("lpad", F.bin(F.col("cell")), F.lit(bits), F.lit("0")), F.lit("."), F.col("sub").cast("string"))
-            done.append(dealt.join(sums, ["cell", "sub"]).select("key", name.alias("shard"), "shard_bytes", "shard_rows"))
-            break
-        rows = stored(rest.select("key", "h", "bytes"), "keys")
-        known, bits = bits, min(BITS, bits + STEP)
+            return done, None
+        rows = stored(found.where("depth is null").select("key", "row", "base", "h", "bytes"), "keys")
+        if bits == width:
+            return done, rows
+        known, bits = bits, min(width, bits + STEP)
+
+
+def _assign(rows: DataFrame, limit: int) -> DataFrame:
+    """(key, row, shard, shard_bytes, shard_rows) of written rows (key, row, bytes)."""
+    columns = "key", "row", "shard", "shard_bytes", "shard_rows"
+    done, alike = _split(rows.select("key", "row", F.lit(0).cast("long").alias("base"), key_hash(F.col("key")).alias("h"), "bytes"), BITS, limit)
+    done = [d.select(*columns) for d in done]
+    if alike is not None:
+        # The row's number tells them apart, its last bit first: neighbours part at once.
+        number = F.reverse(_bits(F.col("row"), ROW_BITS))
+        alike = alike.select("key", "row", F.col("h").alias("base"), F.conv(number, 2, 10).cast("long").alias("h"), "bytes")
+        base = _bits(F.col("base"), BITS)
+        long = F.col("bytes") > limit
+        done.append(alike.where(long).select("key", "row", F.concat(base, F.lit("."), _bits(F.col("h"), ROW_BITS)).alias("shard"), F.col("bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows")))
+        parts, _ = _split(alike.where(~long), ROW_BITS, limit)
+        done += [d.withColumn("shard", F.concat(base, F.lit("."), "shard")).select(*columns) for d in parts]
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def write_shards(documents: DataFrame, path: str, *, key_col: str = "doc_id", **options) -> DataFrame:
-    """Write `documents` under path, one folder `shard=...` for each shard, and return what was written.  Keys must be unique."""
-    of = shard(documents, key_col=key_col, **options).select(F.col("key").alias("__key"), F.concat(F.lit("s"), "shard").alias("shard"))
-    joined = documents.drop("shard").join(of, F.col(key_col).eqNullSafe(F.col("__key"))).drop("__key")
+def _bytes_of(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
+
+
+def shard(documents: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", limit_bytes: int = 64 << 20) -> DataFrame:
+    """One row (key, shard, shard_bytes, shard_rows) for each row of `documents`.
+
+    shard is the bits of the directory entry, as a string of 0 and 1 (empty if
+    all fits in one); a shard's UTF-8 bytes of text never exceed limit_bytes,
+    except for a row that is longer by itself.  A null text has no bytes, a
+    null key hashes as the empty one.  Rows whose keys' hashes agree in all
+    bits cannot be told apart by any bit; if they exceed the limit, they are
+    split in the same way on the bits of a number that each row is given, which
+    follow a dot; a row that is longer than the limit has such a sub-shard of
+    its own.  Other columns are not read.
+    """
+    rows = documents.select(F.col(key_col).alias("key"), F.monotonically_increasing_id().alias("row"), _bytes_of(text_col).alias("bytes"))
+    return _assign(stored(rows, "keys"), limit_bytes).drop("row")
+
+
+def write_shards(documents: DataFrame, path: str, *, key_col: str = "doc_id", text_col: str = "text", limit_bytes: int = 64 << 20) -> DataFrame:
+    """Write `documents` under path, one folder `shard=...` for each shard, and return what was written.  Keys may repeat."""
+    numbered = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = stored(numbered.select(F.col(key_col).alias("key"), F.col("__row").alias("row"), _bytes_of(text_col).alias("bytes")), "keys")
+    of = _assign(rows, limit_bytes).select(F.col("row").alias("__row"), F.concat(F.lit("s"), "shard").alias("shard"))
+    joined = numbered.drop("shard").join(of, "__row").drop("__row")
     joined.repartition("shard").write.partitionBy("shard").parquet(path)
     return documents.sparkSession.read.parquet(path)
 

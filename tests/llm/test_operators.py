@@ -131,6 +131,25 @@ def test_shards_fit_and_only_large_ones_split(spark, rows, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_rows_of_one_key_fit_too(spark, tmp_path):
+    """Unequal texts under a key, dealt over the partitions in a row that puts long ones together; rows longer than the limit stand alone."""
+    texts = ["z" * (1900 if i % 4 == 0 else 1 + i % 90) for i in range(800)] + ["y" * 2001, "y" * 7000, None, ""]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, t) for t in texts[:200]] + [(i, "x" * 100) for i in range(100, 400)], "doc_id long, text string").repartition(3)
+    size, rows = Counter(), Counter()
+    got = sharding.shard(docs, limit_bytes=2000).join(docs.groupBy("doc_id").count(), F.col("key").eqNullSafe(F.col("doc_id"))).collect()
+    assert len(got) == 1304
+    said = {r["shard"]: (r["shard_bytes"], r["shard_rows"]) for r in got}
+    back = sharding.write_shards(docs, str(tmp_path / "s"), limit_bytes=2000)
+    assert bag(back.select("doc_id", "text")) == bag(docs)
+    for r in back.collect():
+        size[r["shard"]] += len(r["text"] or "")
+        rows[r["shard"]] += 1
+    assert any("." in s for s in said) and any("." in s for s in size)
+    assert all(b <= 2000 or n == 1 for b, n in said.values()) and all(b <= 2000 or rows[s] == 1 for s, b in size.items())
+    assert Counter(r["shard"] for r in got) == Counter({s: n for s, (_, n) in said.items()})
+    assert sum(b for b, _ in said.values()) == sum(size.values()) == sum(len(t or "") for t in texts + texts[:200]) + 30_000
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * 30) for i in range(100)], "doc_id long, text string")
     back = sharding.write_shards(docs, str(tmp_path / "s"), limit_bytes=600)
