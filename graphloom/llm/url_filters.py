@@ -69,15 +69,41 @@ def resource(url: Column) -> Column:
     return F.concat(F.lower(F.regexp_extract(bare, r"(?s)^(.*?://)", 1)), host_of(bare), F.regexp_replace(bare, r"(?s)^.*?://[^/?#]*", ""))
 
 
+def resolved(base: Column, to: Column) -> Column:
+    """The absolute url that `to` means on a page whose url is `base`; null for schemes without ://, or where a relative one has no base."""
+    scheme, site = F.regexp_extract(base, r"(?s)^([^/?#]*:)//", 1), F.regexp_extract(base, r"(?s)^([^/?#]*://[^/?#]*)", 1)
+    path, asked = path_of(base), F.regexp_extract(base, r"(?s)^([^#]*)", 1)
+    own = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_extract(F.when(path == "", "/").otherwise(path), r"(?s)^(.*/)", 1), own))
+    steps = F.split(F.substr(whole, F.lit(2)), "/", -1)
+    up = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), up)
+    walked = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    relative = (
+        F.when(site == "", F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.startswith("#"), F.concat(asked, to))
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .otherwise(F.concat(site, F.lit("/"), F.array_join(walked, "/"), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)))
+    )
+    return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None).otherwise(relative)
+
+
 def alias_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b) from the canonical link and the meta refresh of each page, both absolute urls."""
+    """(a, b) from the canonical link and the meta refresh of each page, as absolute urls.
+
+    Relative targets are resolved against the page's <base href>, if it has
+    one, or else its url.
+    """
     html = F.col(html_col).cast("string")
     tag = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
     meta = F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
     to = F.array(F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1))
     edges = pages.where(F.col(url_col).isNotNull() & (html.contains("canonical") | html.contains("CANONICAL") | html.contains("Canonical") | F.lower(html).contains("http-equiv")))
-    edges = edges.select(F.col(url_col).cast("string").alias("a"), F.explode(to).alias("b"))
-    return edges.where(F.col("b").contains("://")).select(resource(F.col("a")).alias("a"), resource(F.col("b")).alias("b")).where("a <> b")
+    edges = edges.select(F.col(url_col).cast("string").alias("a"), F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1).alias("base"), F.explode(to).alias("b"))
+    edges = edges.where("b <> ''").withColumn("base", F.when(F.col("base") == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), F.col("base")), "a")))
+    edges = edges.withColumn("b", resolved(F.col("base"), F.col("b"))).where("b is not null")
+    return edges.select(resource(F.col("a")).alias("a"), resource(F.col("b")).alias("b")).where("a <> b")
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, *, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

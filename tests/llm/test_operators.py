@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from urllib.parse import urljoin
 
 import duckdb
 import numpy as np
@@ -90,6 +91,23 @@ def test_blocks_spread_over_aliases_unless_allowed(spark):
     assert bag(url_filters.judge(pages.limit(0), edges)) == []
 
 
+def test_relative_targets_are_resolved(spark):
+    """Against Python's urljoin; a page without a rule is blocked by a relative canonical link to a blocked path."""
+    bases = ["http://A.net/d/e/f?q=1#z", "https://a.net", "http://a.net/d/", "http://a.net/x"]
+    targets = ["/es/x", "//B.net/y?z", "g", "g/../h?a=/../b", "../g", "../../../g", "./", "..", "?k=v", "/", "/a/./b/../c", "https://c.org/1", "/go?u=http://d.org/", "g;p=1"]
+    pairs = [(a, b) for a in bases for b in targets]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", url_filters.resolved(F.col("a"), F.col("b")).alias("r")).collect()
+    assert [r for r in got if r["r"] != urljoin(r["a"], r["b"])] == []
+    odd = spark.createDataFrame([("http://a.net/d/e", "x//y"), ("http://a.net/", "mailto:x@y.z"), ("http://a.net/", "javascript:void(0)"), ("nope", "/x"), ("nope", "http://a.net/x")], "a string, b string")
+    assert [r["r"] for r in odd.select(url_filters.resolved(F.col("a"), F.col("b")).alias("r")).collect()] == ["http://a.net/d/x//y", None, None, None, "http://a.net/x"]
+    pages = [
+        (1, "http://x.net/a", '<link rel="canonical" href="/es/x">'), (2, "http://y.org/a", '<link rel="canonical" href="//x.net/fr/z">'), (3, "http://x.net/d/e", '<meta http-equiv="refresh" content="0; url=../es/y">'),
+        (4, "http://x.net/b", '<base href="http://w.net/es/"><link rel="canonical" href="q">'), (5, "http://x.net/c", '<link rel="canonical" href="/ok">'), (6, "http://x.net/e", '<link rel="canonical" href="mailto:a@x.net">'), (7, "http://x.net/f#g", '<link rel="canonical" href="#top">'),
+    ]
+    out = url_filters.url_report(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["verdict"] for r in out.collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
+
+
 def test_components_against_union_find(spark):
     r = random.Random(2)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100, i) for i in range(101, 150)] + [(i, i + 1) for i in range(200, 240)] + [(None, 1), (5, 5)]
