@@ -2,9 +2,10 @@
 
 Memtables are the partial aggregates of map tasks: one entry a digest, with the
 smallest id and the number of rows.  They are flushed to runs: Parquet sorted
-by digest, with a Bloom filter and min/max statistics for the digest, which
-look-ups and later batches use to skip row groups.  Compaction merges runs and
-keeps the smallest identifier.  A digest that several rows share is a hit, and
+by digest, with a Bloom filter and min/max statistics for the digest.  Nothing
+here consults them: every row is joined with the compacted run, and there is no
+look-up of single digests.  Compaction merges runs and keeps the smallest
+identifier.  A digest that several rows share is a hit, and
 each hit's texts are compared byte by byte: the smallest and the largest text
 of a digest, taken as partial aggregates as well, must be the same.  Digests
 for which they are not are split by their texts.
