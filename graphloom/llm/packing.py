@@ -9,7 +9,8 @@ a block is not full.
 
 Tokens come from a public tokenizer file.  White space ends a pre-token, so
 white space with the word after it is tokenised once and then looked up, on
-whole batches; texts with other white space than ASCII go to the tokenizer
+whole batches, by a hash and then byte by byte; texts with other white space
+than ASCII, or with a unit whose hash another one has, go to the tokenizer
 whole.
 """
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BYTE_VALUE, NOT_SPACE, U64, Words, _powers, buffers, mix, spans
+from .text import NOT_SPACE, U64, Words, buffers, equal_ranges, gather, hash_ranges, spans
 
 CHUNK = 1 << 20
 #: Documents whose units cannot be told by ASCII white space, and the tokenizer's own control string.
@@ -38,7 +39,7 @@ _BLANK = frozenset(b" \t\n\x0b\x0c\r")
 class Tokens:
     """Token ids of whole texts, from a tokenizer file."""
 
-    LIMIT = 1_000_000
+    LIMIT, LIMIT_BYTES = 1_000_000, 32 << 20  # of the units that are kept
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,6 +55,7 @@ class Tokens:
     def _clear(self) -> None:
         self.hashes = np.zeros(0, U64)
         self.at, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.begin, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -92,28 +94,41 @@ class Tokens:
         stops = stops[np.diff(stops, prepend=0) > 0]
         begins = np.concatenate(([0], stops[:-1]))
         owner = np.searchsorted(offsets, begins, "right") - 1
+        h = hash_ranges(data, begins, stops)
         plain = ~odd[owner]
-        b, e, own = begins[plain], stops[plain], owner[plain]
-        up, down = _powers(len(data) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, U64)
-            np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-            h = mix((sums[e] - sums[b]) * down[b] + (e - b).astype(U64))
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(unique) > self.LIMIT:
-            self._clear()
-        where = np.searchsorted(self.hashes, unique)
-        known = np.zeros(len(unique), bool)
-        inside = where < len(self.hashes)
-        known[inside] = self.hashes[where[inside]] == unique[inside]
+        while True:
+            b, e, own = begins[plain], stops[plain], owner[plain]
+            unique, first, inverse = np.unique(h[plain], return_index=True, return_inverse=True)
+            # Units of one hash are the same bytes, here and among those that are kept.
+            differs = np.flatnonzero(e - b != (e - b)[first][inverse])
+            alike = np.flatnonzero(e - b == (e - b)[first][inverse])
+            bad = np.append(differs, alike[~equal_ranges(data, b[alike], b[first[inverse[alike]]], (e - b)[alike])])
+            if len(self.hashes) + len(unique) > self.LIMIT or len(self.bytes) > self.LIMIT_BYTES:
+                self._clear()
+            where = np.searchsorted(self.hashes, unique)
+            known = np.zeros(len(unique), bool)
+            inside = where < len(self.hashes)
+            known[inside] = self.hashes[where[inside]] == unique[inside]
+            met, kept = np.flatnonzero(known), where[known]
+            size = (e - b)[first[met]]
+            same = size == self.size[kept]
+            same[same] = equal_ranges(data, b[first[met[same]]], self.begin[kept[same]], size[same], self.bytes)
+            bad = np.concatenate((bad, np.flatnonzero(np.isin(inverse, met[~same]))))
+            if not len(bad):
+                break
+            odd[own[bad]] = True
+            plain = ~odd[owner]
         if not known.all():
             new = np.flatnonzero(~known)
-            length, ids = self._encode_units([raw[x:y] for x, y in zip(b[first[new]].tolist(), e[first[new]].tolist())])
-            at = len(self.ids) + np.cumsum(length) - length
-            self.hashes = np.insert(self.hashes, where[new], unique[new])
-            self.at = np.insert(self.at, where[new], at)
-            self.length = np.insert(self.length, where[new], length)
-            self.ids = np.concatenate((self.ids, ids))
+            at, size = b[first[new]], (e - b)[first[new]]
+            length, ids = self._encode_units([raw[x : x + n] for x, n in zip(at.tolist(), size.tolist())])
+            put = where[new]
+            self.hashes = np.insert(self.hashes, put, unique[new])
+            self.at = np.insert(self.at, put, len(self.ids) + np.cumsum(length) - length)
+            self.length = np.insert(self.length, put, length)
+            self.begin = np.insert(self.begin, put, len(self.bytes) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, put, size)
+            self.ids, self.bytes = np.concatenate((self.ids, ids)), np.concatenate((self.bytes, gather(data, at, size)))
             where = np.searchsorted(self.hashes, unique)
         length, at = self.length[where][inverse], self.at[where][inverse]
         counts = np.bincount(own, weights=length, minlength=n).astype(np.int64) if len(own) else np.zeros(n, np.int64)

@@ -6,6 +6,11 @@ together, as one packed string, to the bucket of that minimiser.  All copies of
 a window have the same minimiser, so each bucket counts its windows exactly on
 its own: sort by hash, compare the words, take the smallest document.
 
+Grams are ordered by hash, but those that a bounded sample finds in many
+documents come after all others, so a window has a frequent minimiser only if
+nothing else is in it.  The words beside a passage that a third of all documents
+share thus go to buckets of their own.  Any sample gives the same result.
+
 Before anything is sent, equal packed strings inside a task are compared: the
 smallest document's goes to its bucket, the windows of the others are already
 known to repeat.  A passage that a third of all documents share is sent once a
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import estimated_bytes, stored
-from .text import NOT_SPACE, U64, Words, _powers, buffers, gather, grams, mix, runs, sliding_min, spans, union_of
+from .text import NOT_SPACE, U64, Words, _powers, buffers, equal_ranges, gather, grams, mix, runs, sliding_min, spans, union_of
 
 CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
 FLUSH = 24 << 20
@@ -56,13 +61,45 @@ def _unpack(blob: bytes, types: list) -> list[np.ndarray]:
     return out
 
 
-def _cut_chunk(words: Words, k: int, m: int) -> tuple[np.ndarray, ...] | None:
+def frequent_grams(documents: DataFrame, text_col: str, m: int, sample_bytes: int, share: float) -> np.ndarray:
+    """The sorted hashes of m-word grams that more than `share` of the documents of a sample of about `sample_bytes` contain: at most 1 / share times the words of a mean document."""
+    fraction = min(1.0, sample_bytes / max(1, estimated_bytes(documents, text_col)))
+    texts = documents.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).sample(False, fraction, 17)
+    out = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for i, j in spans(offsets, CHUNK):
+                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE)
+                g, doc = grams(words.hashes(), m), words.doc_of()
+                inside = doc[: len(g)] == doc[m - 1 :] if len(g) else np.zeros(0, bool)
+                once = np.unique(np.rec.fromarrays((g[inside], doc[: len(g)][inside])))  # a gram counts once a document
+                found, n = np.unique(once["f0"], return_counts=True)
+                n = np.concatenate(([j - i], n))  # number 0 counts documents
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((np.zeros(1, U64), found)).view(np.int64)), pa.array(n.astype(np.int64))], schema=out)
+
+    counts = stored(texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    n = (counts.where("gram = 0").agg(F.max("n")).first()[0] or 0) * share
+    return np.sort(np.array([r["gram"] for r in counts.where((F.col("gram") != 0) & (F.col("n") > max(n, 8))).toLocalIterator()], np.int64).view(U64))
+
+
+def _ordered(g: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The grams' places in the order of minimisers: frequent ones last."""
+    place = g >> U64(1)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
+        place |= (frequent[at] == g).astype(U64) << U64(63)
+    return place
+
+
+def _cut_chunk(words: Words, k: int, m: int, frequent: np.ndarray) -> tuple[np.ndarray, ...] | None:
     """The super-k-mers of some documents: document, first word, windows, minimiser, hash of the words."""
     h = words.hashes()
     n = len(h) - k + 1
     if n <= 0:
         return None
-    low = sliding_min(grams(h, m), k - m + 1)
+    low = sliding_min(_ordered(grams(h, m), frequent), k - m + 1)
     doc = words.doc_of()
     inside = doc[:n] == doc[k - 1 :]
     new = np.ones(n, bool)
@@ -82,29 +119,14 @@ def _cut_chunk(words: Words, k: int, m: int) -> tuple[np.ndarray, ...] | None:
     return doc[at], at, windows, low[at], whole
 
 
-def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether the ranges of `length` bytes (over 0) at a and at b hold the same bytes."""
-    out = np.empty(len(a), bool)
-    step = 1 << 22
-    ends = np.cumsum(length)
-    lo = 0
-    while lo < len(a):
-        base = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, base + step, "right")))
-        same = gather(data, a[lo:hi], length[lo:hi]) == gather(data, b[lo:hi], length[lo:hi])
-        out[lo:hi] = np.logical_and.reduceat(same, np.cumsum(length[lo:hi]) - length[lo:hi])
-        lo = hi
-    return out
-
-
 class _Held:
     """What a map task has cut and not yet sent."""
 
     def __init__(self):
         self.bytes, self.data, self.parts = 0, [], []
 
-    def add(self, ids: np.ndarray, rows: np.ndarray, words: Words, k: int, m: int) -> None:
-        if (cut := _cut_chunk(words, k, m)) is not None:
+    def add(self, ids: np.ndarray, rows: np.ndarray, words: Words, k: int, m: int, frequent: np.ndarray) -> None:
+        if (cut := _cut_chunk(words, k, m, frequent)) is not None:
             doc, at, windows, low, whole = cut
             begin = words.starts[at]
             size = words.ends[at + windows + k - 2] - begin
@@ -126,7 +148,7 @@ class _Held:
         first = np.repeat(order[bounds[:-1]], count)
         later = order[(ids[order] > ids[first]) & (size[order] == size[first])]
         head = first[(ids[order] > ids[first]) & (size[order] == size[first])]
-        same = _equal(data, begin[later], begin[head], size[later])
+        same = equal_ranges(data, begin[later], begin[head], size[later])
         later = later[same]
         sent = np.ones(len(ids), bool)
         sent[later] = False
@@ -139,10 +161,10 @@ class _Held:
             yield int(bucket[own[0]]), _pack(ids[s], rows[s], start[s], windows[s], size[s].astype(np.uint32), gather(data, begin[s], size[s]), ids[d], rows[d], start[d], windows[d])
 
 
-TYPES = [np.int64, np.int32, np.uint32, np.uint32, np.uint32, np.uint8, np.int64, np.int32, np.uint32, np.uint32]
+TYPES = [np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.int64, np.int64, np.uint32, np.uint32]
 
 
-def _cut(buckets: int, k: int, m: int):
+def _cut(buckets: int, k: int, m: int, frequent):
     out = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def emit(held: _Held) -> Iterator[pa.RecordBatch]:
@@ -155,7 +177,7 @@ def _cut(buckets: int, k: int, m: int):
             data, offsets = buffers(batch.column("text"))
             ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             for i, j in spans(offsets, CHUNK):
-                held.add(ids[i:j], rows[i:j], Words(data[offsets[i] : offsets[j]].copy(), offsets[i : j + 1] - offsets[i], NOT_SPACE), k, m)
+                held.add(ids[i:j], rows[i:j], Words(data[offsets[i] : offsets[j]].copy(), offsets[i : j + 1] - offsets[i], NOT_SPACE), k, m, frequent.value)
                 if held.bytes >= FLUSH:
                     yield from emit(held)
         yield from emit(held)
@@ -186,7 +208,7 @@ def _count_bucket(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
             less = ids[own[first]] < ids[own[order]]
             w, f = order[less], first[less]
             same = (end - begin)[w] == (end - begin)[f]
-            same[same] = _equal(data, begin[w[same]], begin[f[same]], (end - begin)[w[same]])
+            same[same] = equal_ranges(data, begin[w[same]], begin[f[same]], (end - begin)[w[same]])
             keep = [w[same]]
             text = lambda x: tuple(bytes(data[s:e]) for s, e in zip(words.starts[at[x] : at[x] + k].tolist(), words.ends[at[x] : at[x] + k].tolist()))
             odd = set(h[w[~same]].tolist())  # other white space, or a hash that two windows share: compare the words themselves
@@ -215,7 +237,7 @@ def _count_bucket(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
 
 
 def _count(k: int):
-    out = pa.schema([("id", pa.int64()), ("row", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])
+    out = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
     def done(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         if blobs:
@@ -270,9 +292,12 @@ def _cover():
     return run
 
 
-def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, bucket_bytes: int = 8 << 20, sample_bytes: int = 8 << 20) -> DataFrame:
     """One row (id, n_words, n_removed, kept_text) for each row of `documents`.
 
+    sample_bytes bounds the texts that tell which grams are frequent, and so
+    where windows are counted, never what is counted.
+
     A word goes if a window that covers it also starts in a document with a
     smaller id.  A null or empty text has no words and keeps the empty text; a
     text shorter than `k` words loses nothing.  A null id counts as larger than
@@ -285,12 +310,13 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     docs = documents.select(
         F.col(id_col).cast("long").alias("true_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(text).cast("string").substr(-9, 9).cast("int").alias("row"),  # tells rows of one id apart
+        F.xxhash64(text).alias("row"),  # tells rows of one id, or of none, apart
         text.alias("text"),
     )
     buckets = max(64, estimated_bytes(documents, text_col) * 5 // bucket_bytes)
-    sent = docs.select("id", "row", "text").mapInArrow(_cut(buckets, k, m), "bucket int, blob binary")
-    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "id long, row int, s long, e long")
+    frequent = documents.sparkSession.sparkContext.broadcast(frequent_grams(documents, text_col, m, sample_bytes, 1 / 256))
+    sent = docs.select("id", "row", "text").mapInArrow(_cut(buckets, k, m, frequent), "bucket int, blob binary")
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "id long, row long, s long, e long")
     ranges = stored(found.groupBy("id", "row").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "repeats")
     joined = docs.join(ranges, ["id", "row"], "left").select(F.col("true_id").alias("id"), "text", "ranges")
     return joined.mapInArrow(_cover(), "id long, n_words long, n_removed long, kept_text string")

@@ -6,6 +6,7 @@ word.  Texts are taken in chunks of a few MB, never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-#: A random 64-bit value for each byte, and the odd base of the rolling hash with its inverse modulo 2**64.
-BYTE_VALUE = _RNG.integers(1, 2**64, 256, dtype=U64) | U64(1)
+#: The odd base of the rolling hash over words, with its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C13
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -56,6 +55,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: The first 0 to 8 bytes of a number, and how many blocks of 8 bytes are mixed here before a cryptographic hash takes the rest.
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+_BLOCKS = 16
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each range of bytes: its length, then each block of 8 bytes, mixed one after the other.
+
+    Every step is a bijection of the state, so ranges of one length that differ
+    in one block only never agree, and no structure of longer ones cancels out.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(U64) * U64(BASE) + U64(seed * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        h = mix(h ^ blocks[starts] & _HEAD[np.minimum(size, 8)])
+        at, j = np.flatnonzero(size > 8), 8
+        while len(at) and j < 8 * _BLOCKS:
+            h[at] = mix(h[at] + U64(j) ^ blocks[starts[at] + j] & _HEAD[np.minimum(size[at] - j, 8)])
+            j += 8
+            at = at[size[at] > j]
+        for i in at.tolist():
+            rest = hashlib.blake2b(data[starts[i] + j : ends[i]].tobytes(), digest_size=8).digest()
+            h[i : i + 1] = mix(h[i : i + 1] ^ U64(int.from_bytes(rest, "little")))
+    return h
+
+
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ranges of `length` bytes (over 0) at a and, in `other` or else in the same data, at b hold the same bytes."""
+    other = data if other is None else other
+    out = np.empty(len(a), bool)
+    step = 1 << 22
+    ends = np.cumsum(length)
+    lo = 0
+    while lo < len(a):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + step, "right")))
+        same = gather(data, a[lo:hi], length[lo:hi]) == gather(other, b[lo:hi], length[lo:hi])
+        out[lo:hi] = np.logical_and.reduceat(same, np.cumsum(length[lo:hi]) - length[lo:hi])
+        lo = hi
+    return out
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -109,14 +153,9 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.docs) - 1), self.counts())
 
-    def hashes(self, fold: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word, with A-Z lower-cased if `fold`."""
-        values = BYTE_VALUE[FOLD] if fold else BYTE_VALUE
-        up, down = _powers(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, U64)
-            np.cumsum(values[self.data] * up[: len(self.data)], out=sums[1:])
-            return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+    def hashes(self, fold: bool = False, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, with A-Z lower-cased if `fold`; seeds give independent ones."""
+        return hash_ranges(FOLD[self.data] if fold else self.data, self.starts, self.ends, seed)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

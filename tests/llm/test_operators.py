@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import text as text_module
 from graphloom.llm import chat, components, exact_dedup, packing, partenum, ppm, queries, sharding, site_lines, superkmers, url_filters, winnowing
 
 SF = "/root/testdata/sf0.001"
@@ -481,6 +482,46 @@ def test_balance_levels_costs():
     assert max(cost.values()) < 1.8 * (sum(cost.values()) / len(cost))
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words whose polynomial hashes modulo 2**64 agree, whatever the base."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def ids_of(got):
+    out = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["start"]):
+        out[r["id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    return out
+
+
+def test_units_are_told_apart_by_their_bytes(spark, monkeypatch):
+    """Structured words, and a hash of two bits under which most units meet."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    texts = [thue_morse(1024), thue_morse(1024, "b", "a"), "x " + thue_morse(2048), "y " + thue_morse(2048, "b", "a"), "plain words of a text", "other words", "", "words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert ids_of(packing.pack(docs).collect()) == want
+    tokens = packing.Tokens(packing.tokenizer_path())
+    monkeypatch.setattr(packing, "hash_ranges", lambda *a: text_module.hash_ranges(*a) & np.uint64(3))
+    for _ in range(2):
+        for part in (texts[:4], texts[4:], texts):
+            raw = [t.encode() for t in part]
+            ids, at = tokens.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_word_hashes():
+    """Equal for equal words alone, of any length, and apart under another seed."""
+    made = [thue_morse(n, a, b) for n in (1, 7, 8, 9, 16, 127, 128, 129, 1024, 4096) for a, b in ("ab", "ba")] + ["\0", "\0\0", "a\0", "", "a"]
+    raw = [m.encode() for m in made * 2]
+    at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    h = text_module.hash_ranges(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:])
+    assert len(set(h.tolist())) == len(set(made)) and h[: len(made)].tolist() == h[len(made) :].tolist()
+    assert not set(h.tolist()) & set(text_module.hash_ranges(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:], 1).tolist())
+
+
 # 10. Substring dedup.
 
 
@@ -515,7 +556,7 @@ def test_window_hash_collisions_are_told_apart(spark, monkeypatch):
 
     for i, t in data:
         raw = np.frombuffer(t.encode(), np.uint8)
-        held.add(np.array([i]), np.array([i], np.int32), Words(raw, np.array([0, len(raw)]), NOT_SPACE), 13, 3)
+        held.add(np.array([i]), np.array([i], np.int32), Words(raw, np.array([0, len(raw)]), NOT_SPACE), 13, 3, np.zeros(0, np.uint64))
     blobs = [b for _, b in held.flush(1, 13)]
     ids, _, s, e = superkmers._count_bucket(blobs, 13)
     removed = Counter()
@@ -528,3 +569,20 @@ def test_a_run_of_one_minimiser_may_have_any_number_of_windows(spark):
     """A repeated word makes one super-k-mer of more than 65,535 windows; its copies lie in the same task."""
     data = [(1, "again " * 100_000), (2, "again " * 100_000), (3, "again " * 66_000 + "end")]
     assert bag(superkmers.repeats_report(spark.createDataFrame(data, "doc_id long, text string").coalesce(1))) == brute_repeats(data)
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    """Thousands of rows without an id share a window with document 1; as many others share nothing and lose nothing."""
+    shared = " ".join(f"s{i}" for i in range(13))
+    data = [(1, shared)] + [(None, f"{shared} t{i}") for i in range(20_000)] + [(None, " ".join(f"u{i}v{j}" for j in range(15))) for i in range(20_000)]
+    got = superkmers.repeats_report(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(13, 0, 1), (14, 13, 20_000), (15, 0, 20_000)]
+
+
+def test_frequent_grams_change_nothing(spark):
+    """A passage that most documents hold, with words of their own beside it."""
+    passage = words(5, 40)
+    data = [(i, " ".join(words(100 + i, 20) + (passage if i % 3 else passage[:20]) + words(900 + i, 20))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert len(superkmers.frequent_grams(docs, "text", 3, 1 << 20, 1 / 256)) >= 38
+    assert bag(superkmers.repeats_report(docs)) == brute_repeats(data) == bag(superkmers.repeats_report(docs, sample_bytes=0))
