@@ -556,7 +556,7 @@ def test_window_hash_collisions_are_told_apart(spark, monkeypatch):
 
     for i, t in data:
         raw = np.frombuffer(t.encode(), np.uint8)
-        held.add(np.array([i]), np.array([i], np.int32), Words(raw, np.array([0, len(raw)]), NOT_SPACE), 13, 3, np.zeros(0, np.uint64))
+        held.add(np.array([i]), np.array([i]), Words(raw, np.array([0, len(raw)]), NOT_SPACE), 13, 3, np.zeros(0, np.uint64))
     blobs = [b for _, b in held.flush(1, 13)]
     ids, _, s, e = superkmers._count_bucket(blobs, 13)
     removed = Counter()
