@@ -2,21 +2,32 @@
 
 Sizes fall into bands whose ends differ by the threshold.  Two sets of Jaccard
 similarity t or more differ in at most d = (1 - t) / (1 + t) * (|r| + |s|)
-elements, so if the feature domain is cut into p parts, at most d parts differ
-and all others agree.  A set's signature of a part is the hash of its elements
-there.  Each set gives its signatures in the band of its own size, and in the
-next band where it can be the smaller partner; empty parts give none.
-
-Of the parts in which a set has elements, a similar partner agrees on all but
-d.  So a set that shares fewer signatures than that with anything is out
-(exact, and it needs no pairs); this clears passages that many otherwise
-different documents share.  The sets left are grouped by the signatures that
-they share (a star per signature, never its pairs), and inside a group the
-Jaccard similarity itself decides, on whole sets.
-
-Equal sets are one class throughout: they share a 64-bit key, the sum of their
-mixed shingle hashes.  Shingles are 64-bit hashes; no two of a thousand million
-different ones are likely to agree.
+elements.  The feature domain is cut into parts, and each part into three
+sub-parts.  In a part in which two sets differ in one element at most, they
+agree on two of the three sub-parts.  So a set signs every part once for each
+subset of two sub-parts, by a hash of its elements there, and with more than
+d / 2 parts similar sets share a signature.  (Sets so small that d < 8 have
+parts of one sub-part, and more than d of them.)  Each set signs in the band of
+its own size, and in the next band where it can be the smaller partner; empty
+subsets give no signature.
+
+There are a few more parts than that, so similar sets agree in several: in all
+parts but those that d differences can spoil, two for a part with elements in
+two sub-parts or more, one for any other.  A set that shares signatures in fewer
+parts than that with anything is out (exact, and it needs no pairs); this clears
+passages that many otherwise different documents share.  The sets left are
+grouped by the signatures that they share (a star per signature, never its
+pairs), and inside a group the Jaccard similarity itself decides, on whole sets.
+
+A signature that several sets of a map task have is known to be shared there
+and then: one of these sets stands for it in its bucket, so that no bucket grows
+with the copies of a passage.
+
+Equal sets are one class throughout.  They share a 64-bit key, the sum of their
+mixed shingle hashes, and a second one from independent hashes of the words;
+where sets of one key differ in the second, each is a class of its own.
+Shingles are 64-bit hashes that mix every byte, so a pair of sets counts a
+shingle wrongly with a probability of |r| * |s| / 2**64.
 """
 
 from __future__ import annotations
@@ -32,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_BYTES, estimated_bytes, stored
+from .shared import BROADCAST_BYTES, estimated_bytes, freed, stored, unused
 from .superkmers import _pack, _unpack
 from .text import BASE, NOT_SPACE, U64, Words, buffers, grams, mix, runs, spans
 
@@ -60,77 +71,138 @@ class Bands:
         return sizes * (d - n) // (d + n)
 
 
-def parts_of(high: np.ndarray) -> np.ndarray:
-    """Parts of a band: more than may differ, with some to spare for parts that are empty."""
-    return (high * 9 + 19) // 20 + 8
+def parts_of(high: np.ndarray, differing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of a band, some more than must agree, and whether each has three sub-parts or one."""
+    split = differing >= 8
+    return np.where(split, ((differing // 2 + 1) * 13 + 9) // 10 + 3, (high * 9 + 19) // 20 + 8), split
+
+
+#: Low bits of a signature that hold its part.
+PART_BITS = 24
 
 
 class Sets:
-    """The distinct shingles of some documents, as sorted hashes."""
+    """The distinct shingles of some documents, as sorted hashes.  With `checked`, a second key from other hashes."""
 
-    def __init__(self, words: Words, k: int):
-        h = words.hashes(fold=True)
+    def __init__(self, words: Words, k: int, checked: bool = False):
         counts = words.counts()
-        g = grams(h, k)
         lengths = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+        full = np.flatnonzero(counts >= k).tolist()
+        short = np.flatnonzero((counts > 0) & (counts < k)).tolist()
         ends = np.cumsum(lengths)
-        x = np.zeros(int(lengths.sum()), U64)
-        full = np.flatnonzero(counts >= k)
-        for d in np.flatnonzero((counts > 0) & (counts < k)).tolist():
-            value = BASE ^ int(counts[d])
-            for w in h[words.docs[d] : words.docs[d + 1]].tolist():
-                value = (value * BASE + w) & (2**64 - 1)
-            x[ends[d] - 1] = value
-        for d in full.tolist():
-            a, n = words.docs[d], lengths[d]
-            own = x[ends[d] - n : ends[d]]
-            own[:] = g[a : a + n]
-            own.sort()
+        x = self._shingles(words, k, counts, lengths, ends, short, 0)
+        if checked:
+            order = np.arange(len(x))
+            for d in full:
+                a, b = ends[d] - lengths[d], ends[d]
+                order[a:b] = a + np.argsort(x[a:b])
+            x = x[order]
+        else:
+            for d in full:
+                x[ends[d] - lengths[d] : ends[d]].sort()
         owner = np.repeat(np.arange(len(counts)), lengths)
         new = np.ones(len(x), bool)
         new[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
         self.hashes, self.owner = x[new], owner[new]
         self.sizes = np.bincount(self.owner, minlength=len(counts))
         self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.keys = self._sum(self.hashes)
+        if checked:
+            self.checks = self._sum(self._shingles(words, k, counts, lengths, ends, short, 1)[order][new])
+
+    @staticmethod
+    def _shingles(words: Words, k: int, counts, lengths, ends, short: list[int], seed: int) -> np.ndarray:
+        """The hashes of all shingles, in order of the text."""
+        h = words.hashes(fold=True, seed=seed)
+        g = grams(h, k)
+        x = np.zeros(int(lengths.sum()), U64)
+        at = np.repeat(words.docs[:-1] - (ends - lengths), lengths) + np.arange(len(x))
+        long = np.repeat(counts >= k, lengths)
+        x[long] = g[at[long]]
+        for d in short:
+            value = BASE ^ int(counts[d])
+            for w in h[words.docs[d] : words.docs[d + 1]].tolist():
+                value = (value * BASE + w) & (2**64 - 1)
+            x[ends[d] - 1] = value
+        return x
+
+    def _sum(self, x: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(self.hashes ^ U64(BASE)), dtype=U64)))
-            self.keys = mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.sizes.astype(U64)).view(np.int64)
+            sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(x ^ U64(BASE)), dtype=U64)))
+            return mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.sizes.astype(U64)).view(np.int64)
 
-    def signatures(self, docs: np.ndarray, band: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signature and document (an index into docs) of each part with elements, for the given documents, bands and numbers of parts."""
+    def signatures(self, docs: np.ndarray, band: np.ndarray, parts: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, document) of each subset with elements, and for each document its parts with elements in one sub-part and in more.
+
+        The documents (indexes into docs) have bands and numbers of parts.
+        """
         size = self.sizes[docs]
         at = np.repeat(self.bounds[docs] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         x, own = self.hashes[at], np.repeat(np.arange(len(docs)), size)
+        none = np.zeros(len(docs), np.int64)
+        if not len(x):
+            return x, own, none, none
         part = ((x >> U64(32)) * parts.astype(U64)[own]) >> U64(32)
         new = np.ones(len(x), bool)
         new[1:] = (part[1:] != part[:-1]) | (own[1:] != own[:-1])
         first = np.flatnonzero(new)
-        if not len(first):
-            return x[:0], own[:0]
+        doc, part = own[first], part[first]
+        sub = ((x & U64(0xFFFFFFFF)) * U64(3) >> U64(32)).astype(np.int8)
+        sub[~split[own]] = 0
+        sigs, docs_of, kinds = [], [], np.zeros(len(first), np.int64)
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mix(x ^ U64(0x5851F42D4C957F2D)), first)
-            sig = mix(sums + mix(part[first] * U64(0x2545F4914F6CDD1D) + band.astype(U64)[own[first]]))
-        return sig, own[first]
-
-
-S1 = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("need_own", pa.int32()), ("need_low", pa.int32())])
-S1_SQL = "bucket int, blob binary, id long, row long, key long, n long, need_own int, need_low int"
-S2 = pa.schema([("shared", pa.bool_()), ("id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("need_own", pa.int32()), ("need_low", pa.int32()), ("sig", pa.int64()), ("role", pa.int32())])
-S2_SQL = "shared boolean, id long, row long, key long, n long, need_own int, need_low int, sig long, role int"
-TYPES = [np.int64, np.uint8, np.uint32, np.uint32, np.uint16]
+            x = mix(x ^ U64(0x5851F42D4C957F2D))
+            total, n = np.add.reduceat(x, first), np.diff(np.append(first, len(x)))
+            place = mix(part * U64(0x2545F4914F6CDD1D) + band.astype(U64)[doc])
+            for j in range(3):  # without sub-part j
+                inside = sub == j
+                here = np.add.reduceat(inside.astype(np.int64), first)
+                kinds += here > 0
+                some = (n > here) & split[doc]
+                rest = total - np.add.reduceat(np.where(inside, x, U64(0)), first)
+                sigs.append(mix(rest[some] + place[some] + U64(j + 1)))
+                docs_of.append(np.flatnonzero(some))
+            whole = np.flatnonzero(~split[doc])
+            sigs.append(mix(total[whole] + place[whole]))
+            docs_of.append(whole)
+        of = np.concatenate(docs_of)
+        low = U64((1 << PART_BITS) - 1)
+        sig = np.concatenate(sigs) & ~low | part[of] & low
+        return sig, doc[of], np.bincount(doc[kinds == 1], minlength=len(docs)), np.bincount(doc[kinds > 1], minlength=len(docs))
+
+
+S1 = pa.schema([("bucket", pa.int32()), ("met", pa.bool_()), ("blob", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("need_own", pa.int32()), ("need_low", pa.int32())])
+S1_SQL = "bucket int, met boolean, blob binary, id long, row long, key long, check long, n long, need_own int, need_low int"
+MEMBER = ("id", "row", "key", "check", "n", "need_own", "need_low")
+S2 = pa.schema([("shared", pa.bool_()), *(S1.field(c) for c in MEMBER), ("sig", pa.int64()), ("role", pa.int32())])
+S2_SQL = "shared boolean, id long, row long, key long, check long, n long, need_own int, need_low int, sig long, role int"
+#: Sent to a bucket: for each set key, role and number of signatures; low and high half of each signature.  Already met: key, role and signature.
+SENT, MET = [np.int64, np.uint8, np.uint32, np.uint32, np.uint32], [np.int64, np.uint8, np.uint64]
 
 
 class _Held:
     def __init__(self):
         self.keys: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.seen: set[int] = set()
+        self.seen: set[tuple[int, int]] = set()
         self.docs = self.size = 0
 
-    def flush(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+    def flush(self, buckets: int) -> Iterator[tuple[int, bool, bytes]]:
+        """(bucket, whether its sets have met, packed signatures)."""
         if self.parts:
             keys = np.concatenate(self.keys)
             sig, own = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.lexsort((own & 1, sig))
+            sig, own = sig[order], own[order]
+            b = runs(sig)
+            many = np.repeat(np.diff(b) > 1, np.diff(b))
+            met = np.flatnonzero(many)
+            for n, lo in enumerate(range(0, len(met), 1 << 16)):
+                own_, sig_ = own[met[lo : lo + (1 << 16)]], sig[met[lo : lo + (1 << 16)]]
+                yield (int(sig_[0] & U64(0xFFFF)) + n) % buckets, True, _pack(keys[own_ >> 1], (own_ & 1).astype(np.uint8), sig_)
+            stay = ~many
+            stay[b[:-1]] = True  # one set stands for those that met, of the band itself if any is
+            sig, own = sig[stay], own[stay]
             bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
             order = np.argsort((bucket << U64(32)) | own.astype(U64), kind="stable")
             sig, own, bucket = sig[order], own[order], bucket[order]
@@ -139,28 +211,31 @@ class _Held:
                 r = runs(own[lo:hi])
                 s = sig[lo:hi]
                 who = own[lo:hi][r[:-1]]
-                yield int(bucket[lo]), _pack(keys[who >> 1], (who & 1).astype(np.uint8), np.diff(r).astype(np.uint32), s.astype(np.uint32), (s >> U64(32)).astype(np.uint16))
+                yield int(bucket[lo]), False, _pack(keys[who >> 1], (who & 1).astype(np.uint8), np.diff(r).astype(np.uint32), s.astype(np.uint32), (s >> U64(32)).astype(np.uint32))
         self.__init__()
 
 
 def sign(sets: Sets, bands: Bands, docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-    """(signature, index into docs, role) of the documents, and what each must share in its own band and as the smaller partner in the next."""
+    """(signature, index into docs, role) of the documents, and in how many parts each must share one in its own band and as the smaller partner in the next."""
     size = sets.sizes[docs]
     low, high = bands.upto(int(size.max(initial=1) / bands.t) + 1)
+    parts, split = parts_of(high, bands.differing(2 * high))
     band = np.searchsorted(high, size)
     out, needs = [], []
     for role in (0, 1):
         b = band + role
         near = np.ones(len(docs), bool) if role == 0 else (size / float(bands.t) + 1e-9).astype(np.int64) >= low[b]
         own = np.flatnonzero(near)
-        sig, of = sets.signatures(docs[own], b[own], parts_of(high[b[own]]))
+        sig, of, one, more = sets.signatures(docs[own], b[own], parts[b[own]], split[b[own]])
         of = own[of]
+        d = bands.differing(size + high[b])[own]
         need = np.full(len(docs), -1)
-        need[own] = (np.bincount(of, minlength=len(docs)) - bands.differing(size + high[b]))[own]
+        need[own] = np.where(d <= one, one - d + more, more - (d - one) // 2)
+        need[own] = np.where(parts[b[own]] >> PART_BITS > 0, np.minimum(need[own], 1), need[own])
         # With nothing that must agree, all such sets of a band meet under one more signature.
         weak = own[need[own] <= 0]
         if len(weak):
-            sig = np.concatenate((sig, mix(b[weak].astype(U64) ^ U64(0xABCDEF))))
+            sig = np.concatenate((sig, mix(b[weak].astype(U64) ^ U64(0xABCDEF)) | U64((1 << PART_BITS) - 1)))
             of = np.concatenate((of, weak))
             need[weak] = 1
         out.append((sig, of, np.full(len(sig), role)))
@@ -168,35 +243,37 @@ def sign(sets: Sets, bands: Bands, docs: np.ndarray) -> tuple[tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out)), needs[0], needs[1]
 
 
-def _sign(buckets: int, k: int, threshold: Fraction):
+def _sign(buckets: int, k: int, threshold: Fraction, key_bits: int):
     def blobs(held: _Held) -> Iterator[pa.RecordBatch]:
-        for b, blob in held.flush(buckets):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, f.type) for f in list(S1)[2:])], schema=S1)
+        for b, met, blob in held.flush(buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([met]), pa.array([blob], pa.binary()), *(pa.nulls(1, f.type) for f in list(S1)[3:])], schema=S1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, held = Bands(threshold), _Held()
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for i, j in spans(offsets, CHUNK):
-                sets = Sets(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE), k)
+                sets = Sets(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE), k, True)
+                keys = sets.keys >> (64 - key_bits)
                 docs = np.arange(j - i)
                 mine = docs[sets.sizes > 0]
                 need_own, need_low = np.zeros(j - i, np.int32), np.zeros(j - i, np.int32)
                 (sig, of, role), a, b = sign(sets, bands, mine)
                 need_own[mine], need_low[mine] = a, b
                 fresh = np.zeros(len(mine), bool)  # a set that this task has signed since the last flush is not signed again
-                for x, key in enumerate(sets.keys[mine].tolist()):
+                for x, key in enumerate(zip(keys[mine].tolist(), sets.checks[mine].tolist())):
                     if key not in held.seen:
                         held.seen.add(key)
                         fresh[x] = True
                 take = fresh[of]
                 number = held.docs + np.cumsum(fresh) - 1
                 held.parts.append((sig[take], number[of[take]] * 2 + role[take]))
-                held.keys.append(sets.keys[mine][fresh])
+                held.keys.append(keys[mine][fresh])
                 held.docs += int(fresh.sum())
                 held.size += int(take.sum())
+                n = j - i
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.arange(i, j) * 7919 % buckets).astype(np.int32)), pa.nulls(j - i, pa.binary()), batch.column("id").slice(i, j - i), batch.column("row").slice(i, j - i), pa.array(sets.keys), pa.array(sets.sizes, pa.int64()), pa.array(need_own), pa.array(need_low)],
+                    [pa.array((np.arange(i, j) * 7919 % buckets).astype(np.int32)), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), batch.column("id").slice(i, n), batch.column("row").slice(i, n), pa.array(keys), pa.array(sets.checks), pa.array(sets.sizes, pa.int64()), pa.array(need_own), pa.array(need_low)],
                     schema=S1,
                 )
                 if held.size >= FLUSH:
@@ -210,7 +287,7 @@ def _meet(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, signature, role) of the bucket's signatures that a set shares with a possible partner."""
     keys, roles, sigs = [], [], []
     for blob in blobs:
-        key, role, count, lo, hi = _unpack(blob, TYPES)
+        key, role, count, lo, hi = _unpack(blob, SENT)
         keys.append(np.repeat(key, count))
         roles.append(np.repeat(role, count))
         sigs.append(lo.astype(U64) | hi.astype(U64) << U64(32))
@@ -230,17 +307,15 @@ def _meet(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whole = np.add.reduceat((role == 0).astype(np.int64), b[:-1])
         keep = np.repeat((sizes > 1) & (whole > 0), sizes)  # two smaller partners meet in their own band
         sig, key, role = sig[keep], key[keep], role[keep]
-    return key, sig.view(np.int64), role
+    return key, sig, role
 
 
 def _share():
-    def done(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if blobs:
-            key, sig, role = _meet(blobs)
-            for i in range(0, len(key), 100_000):
-                n = len(key[i : i + 100_000])
-                none = [pa.nulls(n, f.type) for f in S2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), none[1], none[2], pa.array(key[i : i + n]), *none[4:7], pa.array(sig[i : i + n]), pa.array(role[i : i + n], pa.int32())], schema=S2)
+    def shown(key: np.ndarray, sig: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(key), 100_000):
+            n = len(key[i : i + 100_000])
+            rows = {f.name: pa.nulls(n, f.type) for f in S2} | {"shared": pa.array(np.ones(n, bool)), "key": pa.array(key[i : i + n]), "sig": pa.array(sig[i : i + n].view(np.int64)), "role": pa.array(role[i : i + n], pa.int32())}
+            yield pa.RecordBatch.from_arrays(list(rows.values()), schema=S2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -248,35 +323,24 @@ def _share():
             plain = batch.filter(batch.column("blob").is_null())
             n = plain.num_rows
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), *(plain.column(c) for c in ("id", "row", "key", "n", "need_own", "need_low")), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=S2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), *(plain.column(c) for c in MEMBER), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=S2)
             sent = batch.filter(batch.column("blob").is_valid())
-            for b, blob in zip(sent.column("bucket").to_pylist(), sent.column("blob").to_pylist()):
+            for b, met, blob in zip(sent.column("bucket").to_pylist(), sent.column("met").to_pylist(), sent.column("blob").to_pylist()):
+                if met:
+                    key, role, sig = _unpack(blob, MET)
+                    yield from shown(key, sig, role)
+                    continue
                 if b != now:
-                    yield from done(held)
+                    if held:
+                        yield from shown(*_meet(held))
                     held, now = [], b
                 held.append(blob)
-        yield from done(held)
+        if held:
+            yield from shown(*_meet(held))
 
     return run
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by signature: an edge from each signature's first key to its others."""
-    last = first = None
-    for batch in batches:
-        sig, key = batch.column("sig").to_numpy(), batch.column("key").to_numpy()
-        if not len(sig):
-            continue
-        b = runs(sig)
-        heads = key[b[:-1]].copy()
-        if sig[0] == last:
-            heads[0] = first
-        last, first = sig[-1], heads[-1]
-        a = np.repeat(heads, np.diff(b))
-        pairs = np.unique(np.stack((a, key))[:, a != key], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
 def _sets(k: int):
     out = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary())])
 
@@ -284,11 +348,12 @@ def _sets(k: int):
         seen: set[int] = set()  # a task gives a set once
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
+            names = batch.column("key").to_numpy()
             for i, j in spans(offsets, CHUNK):
                 sets = Sets(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE), k)
-                fresh = np.array([x for x, key in enumerate(sets.keys.tolist()) if key not in seen and not seen.add(key)], np.int64)
+                fresh = np.array([x for x, key in enumerate(names[i:j].tolist()) if key not in seen and not seen.add(key)], np.int64)
                 raw = [sets.hashes[a:b].tobytes() for a, b in zip(sets.bounds[fresh].tolist(), sets.bounds[fresh + 1].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("component").slice(i, j - i).take(pa.array(fresh)), pa.array(sets.keys[fresh]), pa.array(raw, pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([batch.column("component").slice(i, j - i).take(pa.array(fresh)), pa.array(names[i:j][fresh]), pa.array(raw, pa.binary())], schema=out)
 
     return run
 
@@ -414,6 +479,34 @@ def _compare(asked, threshold: Fraction):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = batch.column("shingles")
+        size = pa.compute.binary_length(raw).to_numpy() // 8
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in raw]) if len(raw) else np.zeros(0, np.int64)
+        for i in range(0, len(flat), 1 << 16):
+            of = np.searchsorted(np.cumsum(size), np.arange(i, min(len(flat), i + (1 << 16))), "right")
+            yield pa.RecordBatch.from_arrays([batch.column("component").take(pa.array(of)), pa.array(flat[i : i + (1 << 16)]), batch.column("key").take(pa.array(of))], names=["component", "element", "key"])
+
+
+def _thinned(sets: DataFrame, threshold: Fraction, rounds: int = 3) -> DataFrame:
+    """`sets` without those of which so many elements are in no other set of the component that nothing can be linked with them.
+
+    A passage that many sets share, and little else, does not hold a component
+    together after this.  Any number of rounds is exact.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    for _ in range(rounds):
+        alone = sets.mapInArrow(_elements, "component long, element long, key long").groupBy("component", "element").agg(F.min("key").alias("key"), F.max("key").alias("other"))
+        lonely = stored(alone.where("key = other").groupBy("component", "key").agg(F.count("*").alias("alone")), "alone")
+        with_alone = sets.join(lonely, ["component", "key"], "left").withColumn("n", F.length("shingles") / 8)
+        kept = stored(with_alone.where((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("n") * num).select("component", "key", "shingles"), "thinned")
+        if kept.count() == sets.count():
+            return kept
+        sets = kept
+    return sets
+
+
 #: Bytes of sets that are broadcast at once.
 ASKED_BYTES = 16 << 20
 
@@ -426,7 +519,8 @@ def _large_links(sets: DataFrame, threshold: Fraction, task_shingles: int) -> Da
     have cut.  Every link that is still missing has an end outside the
     component's most frequent label; the sets there meet all others as well.
     """
-    big = stored(sets.repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
+    big = _thinned(stored(sets, "sets"), threshold)
+    big = stored(big.repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
     inside = connected_components(big.mapInArrow(_link_blocks(threshold, task_shingles), "a long, b long"))
     labelled = stored(big.join(inside.toDF("key", "named"), "key", "left").select("component", "key", F.coalesce("named", "key").alias("label"), "shingles"), "labelled")
     many = stored(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).select("component", F.col("label").alias("key")), "many")
@@ -459,7 +553,7 @@ def _joined(labelled: DataFrame, asking: DataFrame, threshold: Fraction) -> Data
     return stored(labelled.join(joined, "label", "left").select("component", "key", F.coalesce("to", "label").alias("label"), "shingles"), "joined")
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 1_000_000, task_shingles: int = 1 << 18) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 1_000_000, task_shingles: int = 1 << 18, key_bits: int = 64) -> DataFrame:
     """One row (id, n_shingles, component, row, group) for each row of `documents`.
 
     Words are A-Z lower-cased; a text of fewer than `k` words is one shingle.
@@ -468,42 +562,61 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     that repeat an id are rows of their own; a null id is never the smallest
     (component is null only where all ids are).  bucket_signatures bounds the
     signatures, task_shingles the shingles of linked sets that a task holds;
-    larger groups are split over tasks.  row is a hash of the text that
+    larger groups are split over tasks.  key_bits: how many of the first key's
+    bits are used (fewer are for tests: the result is the same).  row is a hash of the text that
     tells rows of one id apart, group a number for all linked rows (null
     without shingles).  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
     buckets = max(32, estimated_bytes(documents, text_col) // 4 // bucket_signatures)
-    sent = docs.mapInArrow(_sign(buckets, k, threshold), S1_SQL)
+    sent = docs.mapInArrow(_sign(buckets, k, threshold, key_bits), S1_SQL)
     met = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share(), S2_SQL), "signatures")
-    members = met.where("not shared").select("id", "row", "key", "n", "need_own", "need_low")
-    classes = stored(members.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("head"), F.min("id").alias("low"), F.max("n").alias("n"), F.max("need_own").alias("need_own"), F.max("need_low").alias("need_low")), "classes")
+    del sent
+    freed(documents.sparkSession)
+    members = met.where("not shared").select(*MEMBER)
+    head = F.min(F.struct("id", "row")).alias("head"), F.min("id").alias("low"), F.max("n").alias("n")
+    keys = members.where("n > 0").groupBy("key").agg(*head, F.min("need_own").alias("need_own"), F.min("need_low").alias("need_low"), F.min("check").alias("a"), F.max("check").alias("b"))
+    keys = stored(keys, "classes")
+    clash = keys.where("a <> b").select("key")
+    clashes = not clash.isEmpty()
+    if clashes:  # sets of one key that the second key tells apart
+        split = members.join(clash.withColumn("apart", F.lit(True)), "key", "left")
+        members = split.withColumn("class", F.when(F.col("apart"), F.xxhash64("key", "check")).otherwise(F.col("key")))
+        classes = stored(members.where("n > 0").groupBy("key", "class").agg(*head), "classes")
+    else:
+        members = members.withColumn("class", F.col("key"))
+        classes = keys.select("key", F.col("key").alias("class"), "head", "low", "n")
+
+    # Sets that share signatures in enough parts, and groups of them.
     shared = met.where("shared").select("key", "sig", "role")
-    counts = stored(shared.groupBy("key").agg(F.count(F.when(F.col("role") == 0, 1)).alias("own"), F.count(F.when(F.col("role") == 1, 1)).alias("small")), "counts")
-    left = counts.join(classes, "key").select("key", (F.col("own") >= F.col("need_own")).alias("as_own"), ((F.col("need_low") > 0) & (F.col("small") >= F.col("need_low"))).alias("as_small")).where("as_own or as_small")
+    part = F.col("sig").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    counts = shared.select("key", "role", part.alias("part")).distinct().groupBy("key").agg(F.count(F.when(F.col("role") == 0, 1)).alias("own"), F.count(F.when(F.col("role") == 1, 1)).alias("small"))
+    left = counts.join(keys, "key").select("key", (F.col("own") >= F.col("need_own")).alias("as_own"), ((F.col("need_low") > 0) & (F.col("small") >= F.col("need_low"))).alias("as_small")).where("as_own or as_small")
     left = stored(left, "left")
-    kept = shared.join(left, "key").where("(role = 0 and as_own) or (role = 1 and as_small)").select("sig", "key")
-    edges = kept.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_star, "a long, b long")
-    groups = connected_components(edges)
-    asked = stored(groups.toDF("key", "component").join(classes, "key").select("component", F.col("head.id").alias("id"), F.col("head.row").alias("row"), "n"), "asked")
+    kept = stored(shared.join(left, "key").where("(role = 0 and as_own) or (role = 1 and as_small)").select("sig", "key", "role"), "kept")
+    stars = kept.groupBy("sig").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("role").alias("least")).where("first <> last and least = 0").select("sig", "first")
+    groups = connected_components(kept.join(stars, "sig").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()).toDF("key", "component")
+    if clashes:
+        groups = groups.unionByName(clash.join(groups, "key", "left_anti").select("key", F.col("key").alias("component")))
+    asked = stored(groups.join(classes, "key").select("component", "class", F.col("head.id").alias("id"), F.col("head.row").alias("row"), "n"), "asked")
     large = stored(asked.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > task_shingles).select("component"), "large")
 
     def sets_of(some: DataFrame) -> DataFrame:
         if some.count() * 64 <= BROADCAST_BYTES:
             some = F.broadcast(some)
-        found = docs.alias("d").join(some.alias("a"), F.expr("d.row = a.row and d.id <=> a.id")).select("component", "text")
+        found = docs.alias("d").join(some.alias("a"), F.expr("d.row = a.row and d.id <=> a.id")).select("component", F.col("class").alias("key"), "text")
         return found.mapInArrow(_sets(k), "component long, key long, shingles binary")
 
     small = sets_of(stored(asked.join(large, "component", "left_anti"), "small"))
     links = stored(small.repartition("component").sortWithinPartitions("component").mapInArrow(_link(threshold), "key long, label long"), "links")
     if not large.isEmpty():
         links = links.unionByName(_large_links(sets_of(stored(asked.join(large, "component", "left_semi"), "large")), threshold, task_shingles))
-    named = classes.select("key", "low").join(links, "key", "left").select("key", "low", F.coalesce("label", "key").alias("label"))
+    named = classes.join(links.withColumnRenamed("key", "class"), "class", "left").select("class", "low", F.coalesce("label", "class").alias("label"))
     lows = stored(named.groupBy("label").agg(F.min("low").alias("component")), "lows")
-    named = stored(named.join(lows, "label").select("key", "component", F.col("label").alias("group")), "named")
+    named = stored(named.join(lows, "label").select("class", "component", F.col("label").alias("group")), "named")
     alone = F.when(F.col("n") == 0, F.col("id"))
-    return members.join(named, "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce(alone, "component").alias("component"), "row", "group")
+    return members.join(named, "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce(alone, "component").alias("component"), "row", "group")
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -514,15 +627,16 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     rows = stored(near_duplicates(documents, id_col=id_col, text_col=text_col, **options), "groups")
     first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("r")).select("r.id", "r.row")
-    stay = first.unionByName(rows.where("group is null").select("id", "row").distinct()).toDF("__id", "__row")
+    stay = first.unionByName(rows.where("group is null").select("id", "row").distinct()).alias("stay")
+    row = unused(documents, "row_")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = documents.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left_semi")
-    if rows.where("group is not null").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    # Rows that repeat: one of each, by the same key.
-    once = kept.withColumn("__row", F.xxhash64(text))
-    blank = once.where(F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")) == 0)
-    return once.where(F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")) > 0).dropDuplicates([id_col, "__row"]).unionByName(blank).drop("__row")
+    kept = documents.withColumn(row, F.xxhash64(text)).alias("all")
+    kept = kept.join(stay, F.col(f"all.{id_col}").cast("long").eqNullSafe(F.col("stay.id")) & (F.col(f"all.{row}") == F.col("stay.row")), "left_semi")
+    if not rows.where("group is not null").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # Rows that repeat: one of each, by the same key.
+        blank = F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")) == 0
+        kept = kept.where(~blank).dropDuplicates([id_col, row]).unionByName(kept.where(blank))
+    return kept.drop(row)
 
 
 def near_duplicates_report(documents: DataFrame, **options) -> DataFrame:

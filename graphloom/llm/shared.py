@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -41,6 +42,20 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Have the driver's JVM notice which shuffles no plan can read any more, so that their files are deleted now and not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Estimates beyond this are measured instead: without file sizes Catalyst assumes the worst.
 DOUBTFUL = 1 << 44
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import estimated_bytes, stored
+from .shared import estimated_bytes, freed, stored
 from .text import NOT_SPACE, U64, Words, _powers, buffers, equal_ranges, gather, grams, mix, runs, sliding_min, spans, union_of
 
 CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
@@ -318,6 +318,8 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     sent = docs.select("id", "row", "text").mapInArrow(_cut(buckets, k, m, frequent), "bucket int, blob binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "id long, row long, s long, e long")
     ranges = stored(found.groupBy("id", "row").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "repeats")
+    del sent, found
+    freed(documents.sparkSession)
     joined = docs.join(ranges, ["id", "row"], "left").select(F.col("true_id").alias("id"), "text", "ranges")
     return joined.mapInArrow(_cover(), "id long, n_words long, n_removed long, kept_text string")
 

@@ -427,6 +427,56 @@ def test_jaccard_join_joins_what_blocks_cut(spark):
     assert bag(partenum.near_duplicates_report(docs, task_shingles=300)) == want
 
 
+def test_structured_words_and_weak_keys_link_nothing_falsely(spark, rows):
+    """Words that polynomial hashes take for one another; and keys of 3 bits, under which most sets meet."""
+    texts = [thue_morse(1024), thue_morse(1024, "b", "a"), thue_morse(1024) + " x", "p q r s " + thue_morse(2048), "p q r s " + thue_morse(2048, "b", "a")]
+    data = list(enumerate(texts))
+    assert bag(partenum.near_duplicates_report(spark.createDataFrame(data, "doc_id long, text string"))) == brute_links(data)
+    r = random.Random(3)
+    data = [(x["doc_id"], x["text"]) for x in rows.collect()]
+    for base in range(25):
+        w = words(base + 40, r.choice([3, 8, 30, 90]))
+        data += [(100 + len(data) + i, " ".join(w[:x] + w[x + 1 :])) for i, x in enumerate(r.sample(range(len(w)), 2))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    want = brute_links(data)
+    assert bag(partenum.near_duplicates_report(docs)) == want == bag(partenum.near_duplicates_report(docs, key_bits=3))
+
+
+def test_a_passage_in_most_documents_holds_no_group_together(spark):
+    """Documents that are half one passage, split over tasks by a small limit; few of them are near copies."""
+    passage, data = words(7, 30), []
+    for i in range(80):
+        own = words(300 + i // 2 if i % 8 == 0 else 400 + i, 30)
+        data.append((i, " ".join(own[:15] + passage + own[15:])))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = brute_links(data)
+    assert bag(partenum.near_duplicates_report(docs)) == want
+    assert bag(partenum.near_duplicates_report(docs, task_shingles=500, bucket_signatures=100)) == want
+
+
+def test_signatures_of_similar_sets_meet():
+    """Any two sets of the threshold's similarity share one in as many parts as each needs, in the larger one's band."""
+    bands, r = partenum.Bands(Fraction(3, 4)), np.random.default_rng(5)
+    for n in [1, 2, 3, 4, 7, 9, 13, 20, 27, 28, 34, 50, 90, 150, 400, 1000]:
+        for _ in range(30):
+            both = int(np.ceil(0.75 * n))
+            a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+            extra = int(r.integers(0, max(0, int(both / 0.75) - n) + 1))
+            b = np.unique(np.concatenate((r.choice(a, both + (n - both) * (extra == 0 and r.random() < 0.5), replace=False), r.integers(0, 2**64, extra, dtype=np.uint64))))
+            if 4 * len(np.intersect1d(a, b)) < 3 * len(np.union1d(a, b)):
+                continue
+            sets = partenum.Sets.__new__(partenum.Sets)
+            sets.hashes, sets.sizes = np.concatenate((a, b)), np.array([len(a), len(b)])
+            sets.bounds = np.array([0, len(a), len(a) + len(b)])
+            (sig, of, role), own, low = partenum.sign(sets, bands, np.arange(2))
+            got = {(d, x): set(sig[(of == d) & (role == x)].tolist()) for d in (0, 1) for x in (0, 1)}
+            small, large = (0, 1) if len(a) <= len(b) else (1, 0)
+            _, high = bands.upto(2000)
+            x = int(np.searchsorted(high, len((a, b)[large])) - np.searchsorted(high, len((a, b)[small])))
+            parts = {s & ((1 << partenum.PART_BITS) - 1) for s in got[small, x] & got[large, 0]}
+            assert x in (0, 1) and len(parts) >= max(own[large], (own, low)[x][small], 1), (n, len(a), len(b))
+
+
 # 9. Packing.
 
 
