@@ -60,6 +60,13 @@ _HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 _BLOCKS = 16
 
 
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each range of bytes: its length, then each block of 8 bytes, mixed one after the other.
 
@@ -67,9 +74,7 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     in one block only never agree, and no structure of longer ones cancels out.
     """
     size = ends - starts
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    blocks = _blocks(data)
     with np.errstate(over="ignore"):
         h = mix(size.astype(U64) * U64(BASE) + U64(seed * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
         h = mix(h ^ blocks[starts] & _HEAD[np.minimum(size, 8)])
@@ -87,16 +92,17 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
     """Whether the ranges of `length` bytes (over 0) at a and, in `other` or else in the same data, at b hold the same bytes."""
     other = data if other is None else other
-    out = np.empty(len(a), bool)
-    step = 1 << 22
-    ends = np.cumsum(length)
-    lo = 0
-    while lo < len(a):
-        base = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, base + step, "right")))
-        same = gather(data, a[lo:hi], length[lo:hi]) == gather(other, b[lo:hi], length[lo:hi])
-        out[lo:hi] = np.logical_and.reduceat(same, np.cumsum(length[lo:hi]) - length[lo:hi])
-        lo = hi
+    here, there = _blocks(data), _blocks(other)
+    out = np.ones(len(a), bool)
+    at, j = np.arange(len(a)), 0
+    while len(at) and j < 8 * _BLOCKS:
+        some = _HEAD[np.minimum(length[at] - j, 8)]
+        same = here[a[at] + j] & some == there[b[at] + j] & some
+        out[at[~same]] = False
+        j += 8
+        at = at[same & (length[at] > j)]
+    for i in at.tolist():
+        out[i] = data[a[i] + j : a[i] + length[i]].tobytes() == other[b[i] + j : b[i] + length[i]].tobytes()
     return out
 
 
