@@ -11,17 +11,18 @@ parts of one sub-part, and more than d of them.)  Each set signs in the band of
 its own size, and in the next band where it can be the smaller partner; empty
 subsets give no signature.
 
-There are a few more parts than that, so similar sets agree in several: in all
-parts but those that d differences can spoil, two for a part with elements in
-two sub-parts or more, one for any other.  A set that shares signatures in fewer
-parts than that with anything is out (exact, and it needs no pairs); this clears
-passages that many otherwise different documents share.  The sets left are
-grouped by the signatures that they share (a star per signature, never its
-pairs), and inside a group the Jaccard similarity itself decides, on whole sets.
-
-A signature that several sets of a map task have is known to be shared there
-and then: one of these sets stands for it in its bucket, so that no bucket grows
-with the copies of a passage.
+There are a few more parts than that, so similar sets share many signatures: all
+but those that d differences can spoil, two with the first in a part and one
+with the next.  A set that shares fewer than that with anything is out, and so
+is one of which too few elements are in any other set that is left (both exact,
+and without pairs); this clears passages that many otherwise different documents
+share.  The sets left are grouped by the signatures that they share (a star per
+signature, never its pairs), and inside a group the Jaccard similarity itself
+decides, on whole sets.
+
+A signature or element that several sets of a map task have is known to be
+shared there and then: one of these sets stands for it in its bucket, so that no
+bucket grows with the copies of a passage.
 
 Equal sets are one class throughout.  They share a 64-bit key, the sum of their
 mixed shingle hashes, and a second one from independent hashes of the words;
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_BYTES, estimated_bytes, freed, stored, unused
+from .shared import BROADCAST_BYTES, estimated_bytes, stored, unused
 from .superkmers import _pack, _unpack
 from .text import BASE, NOT_SPACE, U64, Words, buffers, grams, mix, runs, spans
 
@@ -74,11 +75,7 @@ class Bands:
 def parts_of(high: np.ndarray, differing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parts of a band, some more than must agree, and whether each has three sub-parts or one."""
     split = differing >= 8
-    return np.where(split, ((differing // 2 + 1) * 13 + 9) // 10 + 3, (high * 9 + 19) // 20 + 8), split
-
-
-#: Low bits of a signature that hold its part.
-PART_BITS = 24
+    return np.where(split, ((differing // 2 + 1) * 23 + 19) // 20 + 3, (high * 9 + 19) // 20 + 8), split
 
 
 class Sets:
@@ -132,7 +129,7 @@ class Sets:
             return mix(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.sizes.astype(U64)).view(np.int64)
 
     def signatures(self, docs: np.ndarray, band: np.ndarray, parts: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(signature, document) of each subset with elements, and for each document its parts with elements in one sub-part and in more.
+        """(signature, document) of each subset with elements, and for each document its parts with elements in one sub-part only, and in more (or in the only one).
 
         The documents (indexes into docs) have bands and numbers of parts.
         """
@@ -165,10 +162,7 @@ class Sets:
             whole = np.flatnonzero(~split[doc])
             sigs.append(mix(total[whole] + place[whole]))
             docs_of.append(whole)
-        of = np.concatenate(docs_of)
-        low = U64((1 << PART_BITS) - 1)
-        sig = np.concatenate(sigs) & ~low | part[of] & low
-        return sig, doc[of], np.bincount(doc[kinds == 1], minlength=len(docs)), np.bincount(doc[kinds > 1], minlength=len(docs))
+        return np.concatenate(sigs), doc[np.concatenate(docs_of)], np.bincount(doc[(kinds == 1) & split[doc]], minlength=len(docs)), np.bincount(doc[(kinds > 1) | ~split[doc]], minlength=len(docs))
 
 
 S1 = pa.schema([("bucket", pa.int32()), ("met", pa.bool_()), ("blob", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("need_own", pa.int32()), ("need_low", pa.int32())])
@@ -176,8 +170,13 @@ S1_SQL = "bucket int, met boolean, blob binary, id long, row long, key long, che
 MEMBER = ("id", "row", "key", "check", "n", "need_own", "need_low")
 S2 = pa.schema([("shared", pa.bool_()), *(S1.field(c) for c in MEMBER), ("sig", pa.int64()), ("role", pa.int32())])
 S2_SQL = "shared boolean, id long, row long, key long, check long, n long, need_own int, need_low int, sig long, role int"
-#: Sent to a bucket: for each set key, role and number of signatures; low and high half of each signature.  Already met: key, role and signature.
-SENT, MET = [np.int64, np.uint8, np.uint32, np.uint32, np.uint32], [np.int64, np.uint8, np.uint64]
+#: Sent to a bucket: for each set key, role and number of signatures; 32 and 8 bits of each signature, and whether other sets of the task have it.  Already met: key, role and signature.
+SENT, MET = [np.int64, np.uint8, np.uint32, np.uint32, np.uint8, np.uint8], [np.int64, np.uint8, np.uint64]
+
+
+def _short(hashes: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """What is sent of a hash, 40 bits, with its bucket above them: the same from all tasks."""
+    return hashes & U64((1 << 40) - 1) | bucket.astype(U64) << U64(40)
 
 
 class _Held:
@@ -192,31 +191,32 @@ class _Held:
         if self.parts:
             keys = np.concatenate(self.keys)
             sig, own = (np.concatenate(x) for x in zip(*self.parts))
+            bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
+            sig = _short(sig, bucket)
             order = np.lexsort((own & 1, sig))
-            sig, own = sig[order], own[order]
+            sig, own, bucket = sig[order], own[order], bucket[order]
             b = runs(sig)
             many = np.repeat(np.diff(b) > 1, np.diff(b))
-            met = np.flatnonzero(many)
+            first = np.zeros(len(sig), bool)
+            first[b[:-1]] = True  # one set stands for those that met, of the band itself if any is
+            met = np.flatnonzero(many & ~first)
             for n, lo in enumerate(range(0, len(met), 1 << 16)):
-                own_, sig_ = own[met[lo : lo + (1 << 16)]], sig[met[lo : lo + (1 << 16)]]
-                yield (int(sig_[0] & U64(0xFFFF)) + n) % buckets, True, _pack(keys[own_ >> 1], (own_ & 1).astype(np.uint8), sig_)
-            stay = ~many
-            stay[b[:-1]] = True  # one set stands for those that met, of the band itself if any is
-            sig, own = sig[stay], own[stay]
-            bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
+                part = met[lo : lo + (1 << 16)]
+                yield (int(sig[part[0]] & U64(0xFFFF)) + n) % buckets, True, _pack(keys[own[part] >> 1], (own[part] & 1).astype(np.uint8), sig[part])
+            sig, own, bucket, many = sig[first], own[first], bucket[first], many[first]
             order = np.argsort((bucket << U64(32)) | own.astype(U64), kind="stable")
-            sig, own, bucket = sig[order], own[order], bucket[order]
+            sig, own, bucket, many = sig[order], own[order], bucket[order], many[order]
             b = runs(bucket)
             for lo, hi in zip(b[:-1].tolist(), b[1:].tolist()):
                 r = runs(own[lo:hi])
                 s = sig[lo:hi]
                 who = own[lo:hi][r[:-1]]
-                yield int(bucket[lo]), False, _pack(keys[who >> 1], (who & 1).astype(np.uint8), np.diff(r).astype(np.uint32), s.astype(np.uint32), (s >> U64(32)).astype(np.uint32))
+                yield int(bucket[lo]), False, _pack(keys[who >> 1], (who & 1).astype(np.uint8), np.diff(r).astype(np.uint32), s.astype(np.uint32), (s >> U64(32)).astype(np.uint8), many[lo:hi].view(np.uint8))
         self.__init__()
 
 
 def sign(sets: Sets, bands: Bands, docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-    """(signature, index into docs, role) of the documents, and in how many parts each must share one in its own band and as the smaller partner in the next."""
+    """(signature, index into docs, role) of the documents, and how many each must share in its own band and as the smaller partner in the next."""
     size = sets.sizes[docs]
     low, high = bands.upto(int(size.max(initial=1) / bands.t) + 1)
     parts, split = parts_of(high, bands.differing(2 * high))
@@ -230,12 +230,13 @@ def sign(sets: Sets, bands: Bands, docs: np.ndarray) -> tuple[tuple[np.ndarray,
         of = own[of]
         d = bands.differing(size + high[b])[own]
         need = np.full(len(docs), -1)
-        need[own] = np.where(d <= one, one - d + more, more - (d - one) // 2)
-        need[own] = np.where(parts[b[own]] >> PART_BITS > 0, np.minimum(need[own], 1), need[own])
+        # The first difference in a part spoils two of its signatures, the next the third.
+        shared = np.where(d <= one + more, 2 * one + 3 * more - 2 * d, one + 2 * more - d)
+        need[own] = np.where(split[b[own]], shared, more - d)
         # With nothing that must agree, all such sets of a band meet under one more signature.
         weak = own[need[own] <= 0]
         if len(weak):
-            sig = np.concatenate((sig, mix(b[weak].astype(U64) ^ U64(0xABCDEF)) | U64((1 << PART_BITS) - 1)))
+            sig = np.concatenate((sig, mix(b[weak].astype(U64) ^ U64(0xABCDEF))))
             of = np.concatenate((of, weak))
             need[weak] = 1
         out.append((sig, of, np.full(len(sig), role)))
@@ -283,31 +284,35 @@ def _sign(buckets: int, k: int, threshold: Fraction, key_bits: int):
     return run
 
 
-def _meet(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meet(blobs: list[bytes], bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, signature, role) of the bucket's signatures that a set shares with a possible partner."""
-    keys, roles, sigs = [], [], []
+    keys, roles, sigs, known = [], [], [], []
     for blob in blobs:
-        key, role, count, lo, hi = _unpack(blob, SENT)
+        key, role, count, lo, hi, many = _unpack(blob, SENT)
         keys.append(np.repeat(key, count))
         roles.append(np.repeat(role, count))
         sigs.append(lo.astype(U64) | hi.astype(U64) << U64(32))
-    sig, key, role = np.concatenate(sigs), np.concatenate(keys), np.concatenate(roles)
-    del sigs, keys, roles
+        known.append(many.view(bool))
+    sig, key, role, many = np.concatenate(sigs), np.concatenate(keys), np.concatenate(roles), np.concatenate(known)
+    del sigs, keys, roles, known
     order = np.argsort(sig)
     b = runs(sig[order])
-    order = order[np.repeat(np.diff(b) > 1, np.diff(b))]
+    order = order[np.repeat((np.diff(b) > 1) | np.logical_or.reduceat(many[order], b[:-1]) if len(sig) else np.zeros(0, bool), np.diff(b))]
     order = order[np.lexsort((role[order], key[order], sig[order]))]
-    sig, key, role = sig[order], key[order], role[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key, role = sig[new], key[new], role[new]
-    b = runs(sig)
+    sig, key, role, many = sig[order], key[order], role[order], many[order]
     if len(sig):
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        at = np.flatnonzero(new)
+        many = np.logical_or.reduceat(many, at)
+        sig, key, role = sig[at], key[at], role[at]
+        b = runs(sig)
         sizes = np.diff(b)
+        met = np.logical_or.reduceat(many, b[:-1])
         whole = np.add.reduceat((role == 0).astype(np.int64), b[:-1])
-        keep = np.repeat((sizes > 1) & (whole > 0), sizes)  # two smaller partners meet in their own band
+        keep = np.repeat(((sizes > 1) | met) & (whole > 0), sizes)  # two smaller partners meet in their own band
         sig, key, role = sig[keep], key[keep], role[keep]
-    return key, sig, role
+    return key, _short(sig, np.full(len(sig), bucket)), role
 
 
 def _share():
@@ -332,32 +337,111 @@ def _share():
                     continue
                 if b != now:
                     if held:
-                        yield from shown(*_meet(held))
+                        yield from shown(*_meet(held, now))
                     held, now = [], b
                 held.append(blob)
         if held:
-            yield from shown(*_meet(held))
+            yield from shown(*_meet(held, now))
 
     return run
 
 
-def _sets(k: int):
-    out = pa.schema([("component", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary())])
+SETS = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+SETS_SQL = "key long, class long, n long, shingles binary"
+
 
+def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task gives a set once
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            names = batch.column("key").to_numpy()
+            keys, names = batch.column("key").to_numpy(), batch.column("class").to_numpy()
             for i, j in spans(offsets, CHUNK):
                 sets = Sets(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE), k)
                 fresh = np.array([x for x, key in enumerate(names[i:j].tolist()) if key not in seen and not seen.add(key)], np.int64)
                 raw = [sets.hashes[a:b].tobytes() for a, b in zip(sets.bounds[fresh].tolist(), sets.bounds[fresh + 1].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("component").slice(i, j - i).take(pa.array(fresh)), pa.array(names[i:j][fresh]), pa.array(raw, pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][fresh]), pa.array(names[i:j][fresh]), pa.array(sets.sizes[fresh], pa.int64()), pa.array(raw, pa.binary())], schema=SETS)
 
     return run
 
 
+SCATTERED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("class", pa.int64()), ("shared", pa.int64())])
+COUNTED = pa.schema([("class", pa.int64()), ("shared", pa.int64())])
+
+
+def _scatter(buckets: int):
+    """The elements of sets, packed by bucket; of those that several sets of a flush have, how many each set has, and one to stand for each."""
+
+    def flush(keys: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        name = np.concatenate(keys)
+        x, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(x, kind="stable")
+        x, own = x[order], own[order]
+        b = runs(x)
+        many = np.repeat(np.diff(b) > 1, np.diff(b))
+        local = np.bincount(own[many], minlength=len(sets))
+        some = np.flatnonzero(local)
+        yield pa.RecordBatch.from_arrays([pa.array((some * 7919 % buckets).astype(np.int32)), pa.nulls(len(some), pa.binary()), pa.array(name[some]), pa.array(local[some])], schema=SCATTERED)
+        at = b[:-1]
+        x, own, many = x[at], own[at], many[at]
+        bucket = (x >> U64(32)) * U64(buckets) >> U64(32)
+        order = np.argsort((bucket << U64(32)) | own.astype(U64), kind="stable")
+        x, own, many, bucket = x[order], own[order], many[order], bucket[order]
+        b = runs(bucket)
+        for lo, hi in zip(b[:-1].tolist(), b[1:].tolist()):
+            r = runs(own[lo:hi])
+            blob = _pack(name[own[lo:hi][r[:-1]]], np.diff(r).astype(np.uint32), x[lo:hi].astype(np.uint32), (x[lo:hi] >> U64(32)).astype(np.uint8), many[lo:hi].view(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[lo])], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=SCATTERED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sets, size = [], [], 0
+        for batch in batches:
+            for name, raw in zip(batch.column("class").to_pylist(), batch.column("shingles")):
+                keys.append(np.array([name], np.int64))
+                sets.append(np.frombuffer(raw.as_buffer(), U64))
+                size += len(sets[-1])
+                if size >= FLUSH:
+                    yield from flush(keys, sets)
+                    keys, sets, size = [], [], 0
+        if sets:
+            yield from flush(keys, sets)
+
+    return run
+
+
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of its elements in the bucket each set shares, but for those that its task has counted."""
+
+    def done(blobs: list[bytes]) -> pa.RecordBatch:
+        keys, elements, known = [], [], []
+        for blob in blobs:
+            key, count, lo, hi, many = _unpack(blob, [np.int64, np.uint32, np.uint32, np.uint8, np.uint8])
+            keys.append(np.repeat(key, count))
+            elements.append(lo.astype(U64) | hi.astype(U64) << U64(32))
+            known.append(many.view(bool))
+        key, x, many = np.concatenate(keys), np.concatenate(elements), np.concatenate(known)
+        order = np.lexsort((key, x))
+        key, x, many = key[order], x[order], many[order]
+        b = runs(x)
+        met = np.logical_or.reduceat(many, b[:-1]) | (key[b[:-1]] != key[b[1:] - 1])
+        name, n = np.unique(key[np.repeat(met, np.diff(b)) & ~many], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(n)], schema=COUNTED)
+
+    held, now = [], None
+    for batch in batches:
+        plain = batch.filter(batch.column("blob").is_null())
+        yield pa.RecordBatch.from_arrays([plain.column("class"), plain.column("shared")], schema=COUNTED)
+        sent = batch.filter(batch.column("blob").is_valid())
+        for b, blob in zip(sent.column("bucket").to_pylist(), sent.column("blob").to_pylist()):
+            if b != now:
+                if held:
+                    yield done(held)
+                held, now = [], b
+            held.append(blob)
+    if held:
+        yield done(held)
+
+
 def link(keys: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
     """For each set, the smallest key that is reachable over pairs of at least the threshold's Jaccard similarity."""
     num, den = threshold.numerator, threshold.denominator
@@ -479,34 +563,6 @@ def _compare(asked, threshold: Fraction):
     return run
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = batch.column("shingles")
-        size = pa.compute.binary_length(raw).to_numpy() // 8
-        flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in raw]) if len(raw) else np.zeros(0, np.int64)
-        for i in range(0, len(flat), 1 << 16):
-            of = np.searchsorted(np.cumsum(size), np.arange(i, min(len(flat), i + (1 << 16))), "right")
-            yield pa.RecordBatch.from_arrays([batch.column("component").take(pa.array(of)), pa.array(flat[i : i + (1 << 16)]), batch.column("key").take(pa.array(of))], names=["component", "element", "key"])
-
-
-def _thinned(sets: DataFrame, threshold: Fraction, rounds: int = 3) -> DataFrame:
-    """`sets` without those of which so many elements are in no other set of the component that nothing can be linked with them.
-
-    A passage that many sets share, and little else, does not hold a component
-    together after this.  Any number of rounds is exact.
-    """
-    num, den = threshold.numerator, threshold.denominator
-    for _ in range(rounds):
-        alone = sets.mapInArrow(_elements, "component long, element long, key long").groupBy("component", "element").agg(F.min("key").alias("key"), F.max("key").alias("other"))
-        lonely = stored(alone.where("key = other").groupBy("component", "key").agg(F.count("*").alias("alone")), "alone")
-        with_alone = sets.join(lonely, ["component", "key"], "left").withColumn("n", F.length("shingles") / 8)
-        kept = stored(with_alone.where((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("n") * num).select("component", "key", "shingles"), "thinned")
-        if kept.count() == sets.count():
-            return kept
-        sets = kept
-    return sets
-
-
 #: Bytes of sets that are broadcast at once.
 ASKED_BYTES = 16 << 20
 
@@ -519,8 +575,7 @@ def _large_links(sets: DataFrame, threshold: Fraction, task_shingles: int) -> Da
     have cut.  Every link that is still missing has an end outside the
     component's most frequent label; the sets there meet all others as well.
     """
-    big = _thinned(stored(sets, "sets"), threshold)
-    big = stored(big.repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
+    big = stored(sets.repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
     inside = connected_components(big.mapInArrow(_link_blocks(threshold, task_shingles), "a long, b long"))
     labelled = stored(big.join(inside.toDF("key", "named"), "key", "left").select("component", "key", F.coalesce("named", "key").alias("label"), "shingles"), "labelled")
     many = stored(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).select("component", F.col("label").alias("key")), "many")
@@ -572,8 +627,6 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     buckets = max(32, estimated_bytes(documents, text_col) // 4 // bucket_signatures)
     sent = docs.mapInArrow(_sign(buckets, k, threshold, key_bits), S1_SQL)
     met = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share(), S2_SQL), "signatures")
-    del sent
-    freed(documents.sparkSession)
     members = met.where("not shared").select(*MEMBER)
     head = F.min(F.struct("id", "row")).alias("head"), F.min("id").alias("low"), F.max("n").alias("n")
     keys = members.where("n > 0").groupBy("key").agg(*head, F.min("need_own").alias("need_own"), F.min("need_low").alias("need_low"), F.min("check").alias("a"), F.max("check").alias("b"))
@@ -588,30 +641,42 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         members = members.withColumn("class", F.col("key"))
         classes = keys.select("key", F.col("key").alias("class"), "head", "low", "n")
 
-    # Sets that share signatures in enough parts, and groups of them.
+    # Sets that share enough signatures, and enough elements with one another.
     shared = met.where("shared").select("key", "sig", "role")
-    part = F.col("sig").bitwiseAND(F.lit((1 << PART_BITS) - 1))
-    counts = shared.select("key", "role", part.alias("part")).distinct().groupBy("key").agg(F.count(F.when(F.col("role") == 0, 1)).alias("own"), F.count(F.when(F.col("role") == 1, 1)).alias("small"))
-    left = counts.join(keys, "key").select("key", (F.col("own") >= F.col("need_own")).alias("as_own"), ((F.col("need_low") > 0) & (F.col("small") >= F.col("need_low"))).alias("as_small")).where("as_own or as_small")
+    counts = shared.groupBy("key").agg(F.count(F.when(F.col("role") == 0, 1)).alias("own"), F.count(F.when(F.col("role") == 1, 1)).alias("small"))
+    enough = (F.col("own") >= F.col("need_own")).alias("as_own"), ((F.col("need_low") > 0) & (F.col("small") >= F.col("need_low"))).alias("as_small")
+    left = counts.join(keys, "key").select("key", *enough).where("as_own or as_small")
+    if clashes:  # equal keys are candidates of themselves
+        left = left.unionByName(clash.join(left, "key", "left_anti").select("key", F.lit(False).alias("as_own"), F.lit(False).alias("as_small")))
     left = stored(left, "left")
-    kept = stored(shared.join(left, "key").where("(role = 0 and as_own) or (role = 1 and as_small)").select("sig", "key", "role"), "kept")
+    asked = stored(left.join(classes, "key").select("key", "class", F.col("head.id").alias("id"), F.col("head.row").alias("row")), "asked")
+    if asked.count() * 64 <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
+    sets = docs.alias("d").join(asked.alias("a"), F.expr("d.row = a.row and d.id <=> a.id")).select("key", "class", "text")
+    sets = stored(sets.mapInArrow(_sets(k), SETS_SQL), "sets")
+    spread = max(32, (sets.agg(F.sum("n")).first()[0] or 0) // bucket_signatures)
+    found = sets.mapInArrow(_scatter(spread), "bucket int, blob binary, class long, shared long").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, "class long, shared long")
+    found = stored(found.groupBy("class").agg(F.sum("shared").alias("shared")), "shared")
+    live = sets.join(found, "class").where(F.col("shared") * threshold.denominator >= F.col("n") * threshold.numerator)
+    live = stored(live.select("key", "class", "n"), "live")
+
+    # Groups of the sets that are left.
+    still = left.join(live.select("key").distinct(), "key")
+    kept = stored(shared.join(still, "key").where("(role = 0 and as_own) or (role = 1 and as_small)").select("sig", "key", "role"), "kept")
     stars = kept.groupBy("sig").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("role").alias("least")).where("first <> last and least = 0").select("sig", "first")
     groups = connected_components(kept.join(stars, "sig").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()).toDF("key", "component")
     if clashes:
         groups = groups.unionByName(clash.join(groups, "key", "left_anti").select("key", F.col("key").alias("component")))
-    asked = stored(groups.join(classes, "key").select("component", "class", F.col("head.id").alias("id"), F.col("head.row").alias("row"), "n"), "asked")
-    large = stored(asked.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > task_shingles).select("component"), "large")
+    members_of = stored(live.join(groups, "key").select("class", "component", "n"), "groups")
+    large = stored(members_of.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > task_shingles).select("component"), "large")
 
     def sets_of(some: DataFrame) -> DataFrame:
-        if some.count() * 64 <= BROADCAST_BYTES:
-            some = F.broadcast(some)
-        found = docs.alias("d").join(some.alias("a"), F.expr("d.row = a.row and d.id <=> a.id")).select("component", F.col("class").alias("key"), "text")
-        return found.mapInArrow(_sets(k), "component long, key long, shingles binary")
+        return sets.join(some.select("class", "component"), "class").select("component", F.col("class").alias("key"), "shingles")
 
-    small = sets_of(stored(asked.join(large, "component", "left_anti"), "small"))
+    small = sets_of(members_of.join(large, "component", "left_anti"))
     links = stored(small.repartition("component").sortWithinPartitions("component").mapInArrow(_link(threshold), "key long, label long"), "links")
     if not large.isEmpty():
-        links = links.unionByName(_large_links(sets_of(stored(asked.join(large, "component", "left_semi"), "large")), threshold, task_shingles))
+        links = links.unionByName(_large_links(sets_of(members_of.join(large, "component", "left_semi")), threshold, task_shingles))
     named = classes.join(links.withColumnRenamed("key", "class"), "class", "left").select("class", "low", F.coalesce("label", "class").alias("label"))
     lows = stored(named.groupBy("label").agg(F.min("low").alias("component")), "lows")
     named = stored(named.join(lows, "label").select("class", "component", F.col("label").alias("group")), "named")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir names a folder that the driver and all executors share")
         where = _LOCAL.get("dir")
         if where is None:
             where = _LOCAL["dir"] = tempfile.mkdtemp(prefix="graphloom-")
@@ -31,23 +34,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
+#: Deletes the shuffle files of a plan when it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: lineage is cut, any executor may be lost.
 
+    Its shuffle files go when it is written: nothing reads them again.
+
     options: Parquet's own, for the writer.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with _cleaned(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def freed(spark: SparkSession) -> None:
-    """Have the driver's JVM notice which shuffles no plan can read any more, so that their files are deleted now and not at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name like the given one that df does not have."""
     taken = {c.lower() for c in df.columns}
