@@ -6,9 +6,13 @@ share the fingerprint of that window.  Training fingerprints are matched with
 those of the benchmark; each match is then extended to the full window and
 compared word by word, so that no hash decides alone.
 
-The benchmark is a stated query set: it is taken in blocks of at most
-`block_bytes` of text.  Each block is broadcast and met by all documents in one
-pass without a shuffle; the passes' ranges meet per row, by a number of its own.
+The benchmark is a stated query set.  If its texts take no more than
+`block_bytes`, its fingerprints and windows are broadcast and all documents meet
+them in one pass without a shuffle.  Beyond that, the distinct fingerprints of
+each document are joined with those of the benchmark; a bitmap of fixed size
+clears most of them before they travel.  Documents with a common fingerprint
+show the windows that have it, and these are joined with the benchmark's by
+their words.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .exact_dedup import BLOCK
+from .shared import stored, unused
 from .text import ALNUM, FOLD, Words, buffers, grams, sliding_min, spans, union_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -148,18 +153,138 @@ def _scan(block, k: int, window: int, keys: tuple[str, ...] = ("key",)):
 OUT = "key long, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    held, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    for r in rows.toLocalIterator():
-        r: Row
-        held.append((r.i, r.t))
-        size += len(r.t)
-        if size >= block_bytes:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _texts_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+
+
+def small_block(items: DataFrame, k: int, window: int, block_bytes: int) -> Block | None:
+    """All of the benchmark, if its measured texts are no more than block_bytes."""
+    if (items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0) > block_bytes:
+        return None
+    return Block([(r["item"], r["text"]) for r in items.collect()], k, window)
+
+
+#: Bits of the bitmap of the benchmark's fingerprints: 16 MB, however large the benchmark is.
+BITMAP_BITS = 27
+
+
+def fingerprints(hashes: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The smallest k-gram hash of each window of n words; of shorter ones, their own."""
+    return sliding_min(grams(hashes, k), n - k + 1) if n >= k else grams(hashes, n)
+
+
+def _shown(words: Words, low: np.ndarray, at: np.ndarray, n: int) -> list[str]:
+    """The words of the windows that start at `at`, joined by blanks; low: the texts' bytes, lower-cased."""
+    s, e = words.starts, words.ends
+    return [b" ".join(low[a:b].tobytes() for a, b in zip(s[i : i + n].tolist(), e[i : i + n].tolist())).decode() for i in at.tolist()]
+
+
+def _windows(k: int, window: int):
+    """The windows of benchmark items."""
+    out = pa.schema([("n", pa.int32()), ("print", pa.int64()), ("words", pa.string()), ("item", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for i, j in spans(offsets, CHUNK):
+                low = FOLD[data[offsets[i] : offsets[j]]]
+                words = Words(low, offsets[i : j + 1] - offsets[i], ALNUM)
+                h, counts = words.hashes(), words.counts()
+                for d in range(j - i):
+                    n = int(min(window, counts[d]))
+                    if not n:
+                        continue
+                    own = fingerprints(h[words.docs[d] : words.docs[d + 1]], n, k).view(np.int64)
+                    for a in range(0, len(own), 1 << 14):
+                        p = own[a : a + (1 << 14)]
+                        shown = _shown(words, low, words.docs[d] + np.arange(a, a + len(p)), n)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), n, np.int32)), pa.array(p), pa.array(shown), pa.array([batch.column("item")[i + d].as_py()] * len(p), pa.string())], schema=out)
+
+    return run
+
+
+def _prints(k: int, lengths: list[int], bitmap):
+    """For each document its number of words (n is null), and its distinct fingerprints that the bitmap knows."""
+    out = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("print", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(bitmap.value, bitorder="little").view(bool)
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            rows = batch.column("row").to_numpy()
+            for i, j in spans(offsets, CHUNK):
+                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
+                h, doc = words.hashes(fold=True), words.doc_of()
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i:j]), pa.nulls(j - i, pa.int32()), pa.array(words.counts().astype(np.int64))], schema=out)
+                for n in lengths:
+                    f = fingerprints(h, n, k)
+                    if not len(f):
+                        continue
+                    at = np.flatnonzero(bits[(f & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)])
+                    at = at[doc[at] == doc[at + n - 1]]
+                    order = np.lexsort((f[at], doc[at]))
+                    f, d = f[at][order], doc[at][order]
+                    new = np.ones(len(f), bool)
+                    new[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[i:j][d[new]]), pa.array(np.full(int(new.sum()), n, np.int32)), pa.array(f[new].view(np.int64))], schema=out)
+
+    return run
+
+
+def _extend(k: int):
+    """The windows of each document that have one of its matched fingerprints."""
+    out = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("words", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            rows, matched = batch.column("row").to_numpy(), batch.column("matched").to_pylist()
+            for d in range(batch.num_rows):
+                low = FOLD[data[offsets[d] : offsets[d + 1]]]
+                words = Words(low, np.array([0, len(low)]), ALNUM)
+                h = words.hashes()
+                for n in sorted({m["n"] for m in matched[d]}):
+                    f = fingerprints(h, n, k)
+                    at = np.flatnonzero(np.isin(f, np.array([m["print"] for m in matched[d] if m["n"] == n], np.int64).view(np.uint64)))
+                    for a in range(0, len(at), 1 << 14):
+                        part = at[a : a + (1 << 14)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rows[d])), pa.array(np.full(len(part), n, np.int32)), pa.array(part), pa.array(_shown(words, low, part, n), pa.string())], schema=out)
+
+    return run
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Disjoint, ordered ranges of each row's windows."""
+    for batch in batches:
+        starts, ends = [], []
+        for windows in batch.column("windows").to_pylist():
+            w = np.array([(x["start"], x["start"] + x["n"]) for x in windows], np.int64)
+            w = w[np.argsort(w[:, 0], kind="stable")]
+            s, e = union_of(w[:, 0], w[:, 1])
+            starts.append(s.tolist())
+            ends.append(e.tolist())
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(starts, kind), pa.array(ends, kind)], names=["row", "starts", "ends"])
+
+
+def _joined(docs: DataFrame, items: DataFrame, k: int, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, n_words), (row, starts, ends) and (row, items) of written documents (row, key, text), by a join of fingerprints; the latter two of contaminated rows alone."""
+    spark = docs.sparkSession
+    windows = stored(items.mapInArrow(_windows(k, window), "n int, print long, words string, item string").distinct(), "windows")
+    prints = windows.select("n", "print").distinct()
+    place = F.col("print").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    bitmap = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
+    blocks = windows.select(F.floor(place / BLOCK).alias("block"), (place % BLOCK).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    for r in blocks.toLocalIterator():
+        bitmap[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
+    found = stored(docs.select("row", "text").mapInArrow(_prints(k, lengths, spark.sparkContext.broadcast(bitmap)), "row long, n int, print long"), "prints")
+    matched = found.where("n is not null").join(prints, ["n", "print"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("n", "print")).alias("matched"))
+    shown = stored(docs.select("row", "text").join(matched, "row").mapInArrow(_extend(k), "row long, n int, start long, words string"), "shown")
+    hits = shown.join(windows.select("words").distinct(), "words", "left_semi")
+    ranges = hits.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("windows")).mapInArrow(_unite, "row long, starts array<long>, ends array<long>")
+    names = shown.select("row", "words").distinct().join(windows.select("words", "item"), "words").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found.where("n is null").select("row", F.col("print").alias("n_words")), ranges, names
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = 5, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
@@ -171,30 +296,21 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: st
     or text, or without words, matches nothing; an empty benchmark leaves all
     documents clean.  Equal benchmark rows count once, by their id.  Rows of
     `documents` that repeat an id, or have none, are reported each on their
-    own.  If the benchmark is more than one block, ids and texts are written
-    once with a number for each row.  Other columns are not read.
+    own.  A benchmark of more than block_bytes is joined, not broadcast, with
+    the same result; ids and texts are then written once with a number for
+    each row.  Other columns are not read.
     """
     if not 1 <= k <= window:
         raise ValueError("k lies between 1 and window")
-    sc = documents.sparkSession.sparkContext
     docs = documents.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    blocks = [sc.broadcast(Block(items, k, window)) for items in blocks_of(benchmark, item_col, text_col, block_bytes)]
-    if len(blocks) <= 1:
-        return docs.mapInArrow(_scan(blocks[0] if blocks else sc.broadcast(Block([], k, window)), k, window), OUT)
+    items = _texts_of(benchmark, item_col, "text")
+    if (block := small_block(items, k, window, block_bytes)) is not None:
+        return docs.mapInArrow(_scan(documents.sparkSession.sparkContext.broadcast(block), k, window), OUT)
     docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
-    parts = [docs.mapInArrow(_scan(b, k, window, ("row", "key")), "row long, " + OUT) for b in blocks]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    ranges = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
-    merged = F.aggregate(
-        ranges,
-        F.lit(None).cast("array<struct<starts:bigint,ends:bigint>>"),
-        lambda a, x: F.when(a.isNull(), F.array(x)).when(F.element_at(a, -1)["ends"] >= x["starts"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["starts"].alias("starts"), F.greatest(F.element_at(a, -1)["ends"], x["ends"]).alias("ends"))))).otherwise(F.array_append(a, x)),
-    )
-    merged = F.coalesce(merged, F.array().cast("array<struct<starts:bigint,ends:bigint>>"))
-    out = both.groupBy("row").agg(F.max("key").alias("key"), F.max("n_words").alias("n_words"), merged.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.select("key", "n_words", F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"), "items")
+    words, ranges, names = _joined(docs, items, k, window)
+    out = docs.select("row", "key").join(words, "row").join(ranges, "row", "left").join(names, "row", "left")
+    none = F.array().cast("array<long>")
+    return out.select("key", "n_words", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -211,14 +327,20 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, **options)
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`documents` without the rows that hold a benchmark window; columns unchanged.  A null id is judged like any other."""
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", k: int = 5, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """`documents` without the rows that hold a benchmark window; columns unchanged.
+
+    Ids are not read: each row, repeated or without an id, is judged by its own
+    text.  A null or empty text holds no window and stays.
+    """
     sc = documents.sparkSession.sparkContext
-    blocks = list(blocks_of(benchmark, options.get("item_col", "item_id"), text_col, options.get("block_bytes", 8 << 20)))
-    kept = documents
-    for items in blocks:
-        kept = kept.mapInArrow(_clean(sc.broadcast(Block(items, options.get("k", 5), options.get("window", 10))), text_col), documents.schema)
-    return kept
+    items = _texts_of(benchmark, item_col, "text")
+    if (block := small_block(items, k, window, block_bytes)) is not None:
+        return documents.mapInArrow(_clean(sc.broadcast(block), text_col), documents.schema)
+    row = unused(documents, "row")
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "documents")
+    _, ranges, _ = _joined(numbered.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")), items, k, window)
+    return numbered.join(ranges.select(F.col("row").alias(row)), row, "left_anti").select(*documents.columns)
 
 
 def _clean(block, text_col: str):
