@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, stored
+from .shared import BROADCAST_BYTES, stored, unused
 
 #: Bits of the hash: the first 15 hex digits of MD5.
 BITS = 60
@@ -108,13 +108,20 @@ def shard(documents: DataFrame, *, key_col: str = "doc_id", text_col: str = "tex
 
 
 def write_shards(documents: DataFrame, path: str, *, key_col: str = "doc_id", text_col: str = "text", limit_bytes: int = 64 << 20) -> DataFrame:
-    """Write `documents` under path, one folder `shard=...` for each shard, and return what was written.  Keys may repeat."""
-    numbered = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = stored(numbered.select(F.col(key_col).alias("key"), F.col("__row").alias("row"), _bytes_of(text_col).alias("bytes")), "keys")
-    of = _assign(rows, limit_bytes).select(F.col("row").alias("__row"), F.concat(F.lit("s"), "shard").alias("shard"))
-    joined = numbered.drop("shard").join(of, "__row").drop("__row")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
-    return documents.sparkSession.read.parquet(path)
+    """Write `documents` under path, one folder `shard=s...` for each shard, and return what was written.
+
+    Every row is written once, also if its key is null or repeats or its text
+    is null; without rows the folder holds an empty table.  If `documents` has
+    a column shard, the folders' column is shard_ (with more underscores if
+    need be) and the table keeps its own.
+    """
+    number, folder = unused(documents, "row_"), unused(documents, "shard")
+    numbered = stored(documents.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = stored(numbered.select(F.col(key_col).alias("key"), F.col(number).alias("row"), _bytes_of(text_col).alias("bytes")), "keys")
+    of = _assign(rows, limit_bytes).select(F.col("row").alias(number), F.concat(F.lit("s"), "shard").alias(folder))
+    out = numbered.join(of, number).drop(number)
+    out.repartition(folder).write.partitionBy(folder).parquet(path)
+    return documents.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def shard_report(documents: DataFrame, **options) -> DataFrame:
@@ -122,12 +129,13 @@ def shard_report(documents: DataFrame, **options) -> DataFrame:
     return shard(documents, **options).withColumnRenamed("key", "doc_id")
 
 
-#: The same for DuckDB, to 24 bits.
-SQL = r"""
+#: The same for DuckDB, to 24 bits, with any limit.
+LIMITED_SQL = r"""
 WITH r AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0)::BIGINT AS b FROM documents),
 d AS (SELECT unnest(range(0, 25)) AS depth),
 s AS (SELECT depth, h >> (60 - depth)::INTEGER AS prefix, sum(b)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM r, d GROUP BY ALL),
-f AS (SELECT doc_id, h, min(depth) AS depth FROM r, d JOIN s USING (depth) WHERE s.prefix = h >> (60 - depth)::INTEGER AND shard_bytes <= 67108864 GROUP BY ALL)
+f AS (SELECT doc_id, h, min(depth) AS depth FROM r, d JOIN s USING (depth) WHERE s.prefix = h >> (60 - depth)::INTEGER AND shard_bytes <= @LIMIT GROUP BY ALL)
 SELECT f.doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(s.prefix), depth::INTEGER, '0') END AS shard, shard_bytes, shard_rows
 FROM f JOIN s USING (depth) WHERE s.prefix = f.h >> (60 - depth)::INTEGER
 """
+SQL = LIMITED_SQL.replace("@LIMIT", str(64 << 20))

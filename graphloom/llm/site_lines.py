@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, stored
+from .shared import BROADCAST_BYTES, stored, unused
 
 #: White space at a line's ends does not tell lines apart.
 BLANKS = " \t\r\f\v"
@@ -45,20 +45,21 @@ def drop_boilerplate(pages: DataFrame, *, host_col: str = "source", text_col: st
     lines never go.  A null text stays null and contains no line but counts as
     a page; a text that loses all lines is empty.  With `counts`, n_lines and
     n_dropped follow the columns of `pages` (columns of those names are
-    replaced).
+    replaced); all other columns stay, whatever their names.
     """
-    over = stored(boilerplate_lines(pages, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages).toDF("__host", "__lines"), "boilerplate")
-    size = over.agg(F.sum(60 + 24 * F.size("__lines"))).first()[0] or 0
+    host, gone = unused(pages, "host_"), unused(pages, "lines_")
+    over = stored(boilerplate_lines(pages, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages).toDF(host, gone), "boilerplate")
+    size = over.agg(F.sum(60 + 24 * F.size(gone))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         over = F.broadcast(over)
-    joined = pages.join(over, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left")
+    joined = pages.join(over, F.col(host_col).cast("string").eqNullSafe(F.col(host)), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    kept = F.filter(lines, lambda x: (F.trim(x, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("__lines"), _line_hash(F.trim(x, F.lit(BLANKS)))))
-    text = F.when(F.col("__lines").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x: (F.trim(x, F.lit(BLANKS)) == "") | ~F.array_contains(F.col(gone), _line_hash(F.trim(x, F.lit(BLANKS)))))
+    text = F.when(F.col(gone).isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(kept, "\n"))
     out = [text.alias(c) if c == text_col else F.col(c) for c in pages.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:
         n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        left = F.when(F.col("__lines").isNull() | F.col(text_col).isNull(), n).otherwise(F.size(kept).cast("long"))
+        left = F.when(F.col(gone).isNull() | F.col(text_col).isNull(), n).otherwise(F.size(kept).cast("long"))
         out += [F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"), F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n - left).cast("long").alias("n_dropped")]
     return joined.select(*out)
 
