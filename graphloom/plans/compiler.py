@@ -31,9 +31,9 @@ class Rows:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, graph: Graph, params: Mapping[str, object] | None = None):
+    def __init__(self, spark: SparkSession, graph: Graph, params: Mapping[str, object] | None = None, strict: bool = False):
         self.spark, self.graph = spark, graph
-        self.x = Expressions(params or {}, graph)
+        self.x = Expressions(params or {}, graph, strict)
 
     # Queries.
 
@@ -261,7 +261,7 @@ class Compiler:
         if r.high == 0 and r.low == 0:
             tables = []
         whole = p.path in self.whole
-        df, path, node, rel = shortest_paths(self.spark, self.graph, tables, r.types, r.direction, rows.df, a.id, self._known(a), b.id, r.low, r.high, p.shortest == "all", whole)
+        df, path, node, rel = shortest_paths(self.spark, self.graph, tables, r.types, r.direction, rows.df, a.id, self._known(a), b.id, self._known(b), r.low, r.high, p.shortest == "all", whole)
         nodes = node.value().type if whole else Type("map", fields=(("id", INT),))
         if p.path:
             scope[p.path] = Plain(path, Type("path", fields=(("nodes", nodes), ("rels", rel.value().type))))
@@ -340,8 +340,8 @@ class Compiler:
                 if isinstance(x, S.Call) and x.name.lower() in ("startnode", "endnode") and len(x.args) == 1 and isinstance(x.args[0], S.Var):
                     rel, name = rows.scope.get(x.args[0].name), self._end_name(x)
                     if isinstance(rel, Rel) and name not in rows.scope:
-                        nodes, b = scan_nodes(self.spark, self.graph, ())
-                        end = rel.src if x.name.lower() == "startnode" else rel.dst
+                        end, among = (rel.src, rel.src_labels) if x.name.lower() == "startnode" else (rel.dst, rel.dst_labels)
+                        nodes, b = scan_nodes(self.spark, self.graph, (), among)
                         rows = replace(rows, df=rows.df.join(nodes, F.col(end) == F.col(b.id), "left"), scope={**rows.scope, name: b})
         return rows
 
@@ -496,9 +496,8 @@ class Compiler:
                 none = F.array().cast(spark_type(t))
                 return F.coalesce(F.first(none), none), t
             if order is None:
-                got = F.collect_list(v.col)
-            else:
-                got = F.transform(F.array_sort(F.collect_list(F.when(v.col.isNotNull(), F.struct(F.col(order).alias("o"), v.col.alias("v"))))), lambda x: x["v"])
+                return (F.collect_set(v.col) if call.distinct else F.collect_list(v.col)), t
+            got = F.transform(F.array_sort(F.collect_list(F.when(v.col.isNotNull(), F.struct(F.col(order).alias("o"), v.col.alias("v"))))), lambda x: x["v"])
             return (F.array_distinct(got) if call.distinct else got), t
         if name in ("min", "max"):
             if v.type.entity or v.type.kind in ("list", "map", "path"):

@@ -17,8 +17,8 @@ from .scope import Binding, Bound, Node, Rel
 class Expressions:
     """Compiles expressions over a scope.  given: values that stand for whole expressions (grouping keys, aggregates)."""
 
-    def __init__(self, params: Mapping[str, object], graph=None):
-        self.params, self.graph = params, graph
+    def __init__(self, params: Mapping[str, object], graph=None, strict: bool = False):
+        self.params, self.graph, self.strict = params, graph, strict
 
     def constant(self, e: S.Expr) -> int:
         """The integer of SKIP or LIMIT."""
@@ -84,7 +84,7 @@ class Expressions:
                 if op == "NOT":
                     return comparison.negate(v)
                 if op == "-":
-                    return arithmetic.minus(v)
+                    return arithmetic.minus(v, self.strict)
                 if isinstance(of, S.Var) and isinstance(scope.get(of.name), (Node, Rel)) and not (given and of in given):
                     v = Value(F.col(scope[of.name].id), INT)
                 return Value(v.col.isNull() if op == "IS NULL" else v.col.isNotNull(), BOOL)
@@ -113,7 +113,7 @@ class Expressions:
             return comparison.member(x, y)
         if op in ("STARTS WITH", "ENDS WITH", "CONTAINS", "=~"):
             return comparison.text_test(op, x, y)
-        return arithmetic.calculate(op, x, y)
+        return arithmetic.calculate(op, x, y, self.strict)
 
     def _prop(self, of: S.Expr, key: str, scope, given) -> Value:
         if isinstance(of, S.Var) and isinstance(scope.get(of.name), (Node, Rel)) and not (given and of in given):

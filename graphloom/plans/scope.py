@@ -59,6 +59,8 @@ class Rel:
     src: str
     dst: str
     props: tuple[tuple[str, str, Type], ...] = ()
+    src_labels: frozenset[frozenset[str]] | None = None  # what the tables say of all its ends; None if they do not
+    dst_labels: frozenset[frozenset[str]] | None = None
 
     kind = "rel"
 

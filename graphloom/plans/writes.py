@@ -19,7 +19,7 @@ from ..cypher import syntax as S
 from ..errors import NodeHasRelationships, SchemaError
 from ..runtime import cut
 from ..sources.store import Snapshot, Table, check_unique, storable
-from ..types import INT, NULL, STR, CypherTypeError, Value, convert
+from ..types import INT, NULL, STR, CypherTypeError, Value, convert, spark_type
 from .compiler import Compiler, Rows
 from .scope import Binding, Node, Plain, Rel, fresh
 
@@ -41,8 +41,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 class Writer(Compiler):
     """Compiles clauses against a staged snapshot that writes change."""
 
-    def __init__(self, spark: SparkSession, staged: Snapshot, params: Mapping[str, object] | None = None):
-        super().__init__(spark, staged.graph(), params)
+    def __init__(self, spark: SparkSession, staged: Snapshot, params: Mapping[str, object] | None = None, strict: bool = False):
+        super().__init__(spark, staged.graph(), params, strict)
         self.staged = staged
 
     def _stage(self, nodes: Table | None = None, rels: Table | None = None, **more) -> None:
@@ -114,8 +114,8 @@ class Writer(Compiler):
         wide = table.with_props({k: v.type for k, v in values.items()})
         cols = [c.alias(n) for n, c in fixed.items()]
         for k, (c, t) in wide.props.items():
-            cols.append((convert(values[k], t).col if k in values else F.lit(None).cast(wide.df.schema[c].dataType)).alias(c))
-        return Table(wide.df.unionByName(rows.select(*cols)), wide.props)
+            cols.append((convert(values[k], t).col if k in values else F.lit(None).cast(spark_type(t))).alias(c))
+        return wide.added(rows.select(*cols))
 
     def create(self, parts: tuple[S.Part, ...], rows: Rows) -> Rows:
         df, scope = rows.df, dict(rows.scope)
@@ -157,7 +157,8 @@ class Writer(Compiler):
                 a, b = (F.col(e) for e in ends)
                 some = F.when(a.isNotNull() & b.isNotNull(), a).otherwise(F.raise_error(F.lit("a relationship needs two nodes")).cast("long"))
                 rels = self._insert(rels, df, {"id": F.col(c), "type": F.lit(pattern.types[0]), "src": some, "dst": b}, values)
-        self._stage(Table(cut(nodes.df), nodes.props), Table(cut(rels.df), rels.props), next_node=next_node, next_rel=next_rel)
+        made = {x for x, *_ in todo}
+        self._stage(nodes.kept() if True in made else None, rels.kept() if False in made else None, next_node=next_node, next_rel=next_rel)
         for name, (c, is_node) in new.items():
             scope[name] = Node(c, None) if is_node else Rel(c, c, c, c)
         return self._again(replace(rows, df=df, scope={n: b for n, b in scope.items() if n not in {c for c, _ in new.values()}}))
@@ -183,11 +184,10 @@ class Writer(Compiler):
         if i.kind == "labels":
             if not is_node:
                 raise CypherTypeError("a relationship has no labels")
-            ids = picked.select(F.col(b.id).alias("#id")).distinct()
+            ids = cut(picked.select(F.col(b.id).alias("id")).distinct())
             some = F.array(*[F.lit(x) for x in i.labels])
             changed = F.array_except("labels", some) if remove else F.array_union("labels", some)
-            df = table.df.join(ids, F.col("id") == F.col("#id"), "left").withColumn("labels", F.when(F.col("#id").isNotNull(), changed).otherwise(F.col("labels"))).drop("#id")
-            return self._changed(rows, is_node, Table(df, table.props))
+            return self._changed(rows, is_node, table.changed(ids, table.df.join(ids, "id", "left_semi").withColumn("labels", changed)))
         if i.kind == "prop":
             v = Value(F.lit(None), NULL) if remove else self.x.value(i.value, rows.scope)
             values, clear = {i.key: v}, False
@@ -207,18 +207,18 @@ class Writer(Compiler):
         wide = table.with_props(types)
         values = {k: v for k, v in values.items() if k in wide.props}
         cols = {k: fresh("v") for k in values}
-        struct = F.struct(*[(convert(v, wide.props[k][1]).col if v.type.kind != "null" else F.lit(None).cast(wide.df.schema[wide.props[k][0]].dataType)).alias(cols[k]) for k, v in values.items()], F.lit(1).alias("#set"))
-        last = picked.groupBy(F.col(b.id).alias("#id")).agg(F.max_by(struct, self.row).alias("#v"))
-        df = wide.df.join(last, F.col("id") == F.col("#id"), "left")
-        for k, (c, _) in wide.props.items():
+        struct = F.struct(*[(convert(v, wide.props[k][1]).col if v.type.kind != "null" else F.lit(None).cast(spark_type(wide.props[k][1]))).alias(cols[k]) for k, v in values.items()], F.lit(1).alias("#set"))
+        last = cut(picked.groupBy(F.col(b.id).alias("id")).agg(F.max_by(struct, self.row).alias("#v")))
+        df = wide.df.join(last, "id")
+        for k, (c, t) in wide.props.items():
             if k in values:
-                df = df.withColumn(c, F.when(F.col("#id").isNotNull(), F.col("#v")[cols[k]]).otherwise(F.col(c)))
+                df = df.withColumn(c, F.col("#v")[cols[k]])
             elif clear:
-                df = df.withColumn(c, F.when(F.col("#id").isNull(), F.col(c)))
-        return self._changed(rows, is_node, Table(df.drop("#id", "#v"), wide.props))
+                df = df.withColumn(c, F.lit(None).cast(spark_type(t)))
+        return self._changed(rows, is_node, wide.changed(last.select("id"), df.drop("#v")))
 
     def _changed(self, rows: Rows, is_node: bool, table: Table) -> Rows:
-        table = Table(cut(table.df), table.props)
+        table = table.kept()
         self._stage(**{"nodes" if is_node else "rels": table})
         return self._again(rows)
 
@@ -241,19 +241,20 @@ class Writer(Compiler):
                 (nodes if v.type.item.kind == "node" else rels).append(rows.df.select(F.explode(F.transform(v.col, lambda x: x["id"])).alias("x")))
             else:
                 raise CypherTypeError(f"DELETE takes nodes and relationships, not a {v.type.kind}")
-        left = self.staged.rels.df
+        staged_nodes, staged_rels = self.staged.nodes, self.staged.rels
         if rels:
-            left = left.join(reduce(DataFrame.union, rels).distinct(), F.col("id") == F.col("x"), "left_anti")
-        kept = self.staged.nodes.df
+            staged_rels = staged_rels.without(cut(reduce(DataFrame.union, rels).where("x is not null").distinct().toDF("id")))
         if nodes:
             gone = cut(reduce(DataFrame.union, nodes).where("x is not null").distinct())
-            touched = left.join(gone, F.col("src") == F.col("x"), "left_semi").unionByName(left.join(gone, F.col("dst") == F.col("x"), "left_semi"))
+            left = staged_rels.df
+            touched = left.join(gone, F.col("src") == F.col("x"), "left_semi").select("id").union(left.join(gone, F.col("dst") == F.col("x"), "left_semi").select("id"))
             if detach:
-                left = left.join(gone, F.col("src") == F.col("x"), "left_anti").join(gone, F.col("dst") == F.col("x"), "left_anti")
+                staged_rels = staged_rels.without(cut(touched.distinct()))
             elif not touched.limit(1).isEmpty():
                 raise NodeHasRelationships("a node with relationships is only deleted by DETACH DELETE")
-            kept = kept.join(gone, F.col("id") == F.col("x"), "left_anti")
-        self._stage(Table(cut(kept), self.staged.nodes.props), Table(cut(left), self.staged.rels.props))
+            staged_nodes = staged_nodes.without(gone.toDF("id"))
+        if nodes or rels:
+            self._stage(staged_nodes.kept(), staged_rels.kept())
         return rows
 
     # MERGE.

@@ -37,9 +37,12 @@ class ImportResult:
 class GraphSession:
     """Queries on a Graph (views over tables, read only) or on a Store (written by queries)."""
 
-    def __init__(self, spark: SparkSession, source: Graph | Store | str | None = None):
-        """source: a Graph, a Store, the path of one, or None for a new store."""
-        self.spark = spark
+    def __init__(self, spark: SparkSession, source: Graph | Store | str | None = None, *, strict: bool = False):
+        """source: a Graph, a Store, the path of one, or None for a new store.
+
+        strict: arithmetic with null is an error of the query, not null.
+        """
+        self.spark, self.strict = spark, strict
         self.source = source if isinstance(source, (Graph, Store)) else Store(spark, source)
 
     @property
@@ -64,9 +67,9 @@ class GraphSession:
         if q.writes:
             return self.update(lambda tx: tx.query(text, params))
         if isinstance(self.source, Graph):
-            df = Compiler(self.spark, self.source, _params(params)).query(q)
+            df = Compiler(self.spark, self.source, _params(params), self.strict).query(q)
         else:
-            df = _run(Writer(self.spark, self.source.snapshot(), _params(params)), q)
+            df = _run(Writer(self.spark, self.source.snapshot(), _params(params), self.strict), q)
         return limited(df, max_rows)
 
     def explain(self, text: str) -> str:
@@ -108,13 +111,17 @@ class GraphSession:
             self.query(text, {**(params or {}), "rows": rows[i : i + batch]})
         return ImportResult(len(rows), math.ceil(len(rows) / batch))
 
-    def subscribe(self, text: str, params: Mapping[str, object] | None = None, *, max_rows: int = 10_000):
-        """A live query: its result now, and then what is added and removed."""
+    def subscribe(self, text: str, params: Mapping[str, object] | None = None, *, max_rows: int = 10_000, checkpoint: str | None = None):
+        """A live query: its result now, and then what is added and removed.
+
+        checkpoint: a folder for what it keeps; if there is something of the
+        same query, it goes on from there, with what has changed since.
+        """
         from .streaming.live import LiveQuery
 
         q = parse(text)
         analyse(q)
-        return LiveQuery(self, q, _params(params), max_rows)
+        return LiveQuery(self, q, _params(params), max_rows, checkpoint)
 
 
 def limited(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -145,7 +152,7 @@ class Transaction:
         q = self.session._parsed(text)
         if q.writes and not self.writable:
             raise ReadOnlyError("a view only reads")
-        w = Writer(self.session.spark, self.staged, _params(params))
+        w = Writer(self.session.spark, self.staged, _params(params), self.session.strict)
         df = _run(w, q)
         self.staged = w.staged
         return limited(df, max_rows)

@@ -6,7 +6,8 @@ import pytest
 
 from graphloom import cli
 from graphloom.cypher import parse
-from graphloom.errors import StreamQueryError
+from graphloom.errors import ResultLimitError, StreamQueryError
+from graphloom.runtime import Folder
 from graphloom.session import GraphSession
 from graphloom.streaming.footprint import anchored, footprint
 
@@ -63,6 +64,74 @@ def test_random_changes(spark):
             assert kept[i] == bag(g.query(queries[i])), (step, queries[i])
 
 
+def test_a_poll_at_any_moment_of_a_commit_misses_nothing(spark, monkeypatch):
+    """A version is seen with its changes or not at all: polls just before and after the manifest is there."""
+    g = GraphSession(spark)
+    g.query("CREATE (:A {k: 1})")
+    live = g.subscribe("MATCH (a:A) RETURN a.k AS k")
+    live.poll()
+    got = []
+    real = Folder.create
+
+    def create(self, name, text):
+        got.append(live.poll())
+        done = real(self, name, text)
+        got.append(live.poll())
+        return done
+
+    monkeypatch.setattr(Folder, "create", create)
+    g.query("CREATE (:A {k: 2})")
+    monkeypatch.undo()
+    assert got[0] is None and [tuple(r) for r in got[1].added.collect()] == [(2,)] and live.poll() is None
+    g.query("MATCH (a:A {k: 1}) SET a.other = 5")
+    assert live.poll() is None and live.mode == "skipped"
+
+
+@pytest.mark.parametrize("q", ["MATCH (a:A)-[:T]->(b:A) RETURN a.k AS a, b.k AS b", "MATCH (a:A) RETURN count(*) AS n"])
+def test_a_checkpoint_is_gone_on_from(spark, tmp_path, q):
+    g = GraphSession(spark, str(tmp_path / "store"))
+    g.query("CREATE (:A {k: 1})-[:T]->(:A {k: 2})")
+    where = str(tmp_path / "live")
+    first = g.subscribe(q, checkpoint=where)
+    first.poll()
+    g.query("CREATE (:A {k: 3})-[:T]->(:A {k: 4})")
+    first.poll()
+    first.close()
+    with pytest.raises(StreamQueryError):
+        first.poll()
+    before = bag(g.query(q))
+    g.query("MATCH (a:A {k: 3}) DETACH DELETE a")
+    c = GraphSession(spark, str(tmp_path / "store")).subscribe(q, checkpoint=where).poll()
+    left = [*before]
+    for r in bag(c.removed):
+        left.remove(r)
+    assert not c.initial and sorted(left + bag(c.added)) == bag(g.query(q))
+    with pytest.raises(StreamQueryError):
+        g.subscribe("MATCH (a:A) RETURN a.k", checkpoint=where)
+
+
+def test_many_batches_are_merged_and_limits_end_a_query(spark, monkeypatch):
+    from graphloom.streaming import live as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 2)
+    monkeypatch.setattr(module, "MOST_DIRTY", 3)
+    g = GraphSession(spark)
+    g.query("UNWIND range(0, 5) AS i CREATE (:A {k: i})")
+    live = g.subscribe("MATCH (a:A) RETURN a.k AS k", max_rows=7)
+    live.poll()
+    for i in range(3):
+        g.query(f"MATCH (a:A {{k: {i}}}) SET a.k = {i + 10}")
+        c = live.poll()
+        assert (bag(c.added), bag(c.removed), live.mode) == ([f"Row(k={i + 10})"], [f"Row(k={i})"], "anchored")
+        assert len(live._parts) <= 2
+    g.query("MATCH (a:A) SET a.k = a.k + 100")
+    assert live.poll().added.count() == 6 and live.mode == "full"  # more changed nodes than the limit
+    g.query("CREATE (:A {k: 7}), (:A {k: 8})")
+    with pytest.raises(ResultLimitError):
+        live.poll()
+    assert isinstance(live.error, ResultLimitError)
+
+
 def test_background_and_rejections(spark):
     g = GraphSession(spark)
     g.query("CREATE (:P {n: 1})")
@@ -71,7 +140,10 @@ def test_background_and_rejections(spark):
     stream = live.start(lambda c: got.append((sorted(r[0] for r in c.added.collect()), c.initial)), 0.2)
     g.query("CREATE (:P {n: 2})")
     stream.processAllAvailable()
+    ends = []
+    live._on_end = ends.append
     live.close()
+    assert ends == [None]
     assert got == [([1], True), ([2], False)]
     for q in ("CREATE (:X)", "SHOW INDEXES"):
         with pytest.raises(StreamQueryError):

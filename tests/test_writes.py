@@ -5,7 +5,7 @@ import pytest
 from graphloom.errors import ConflictError, ConstraintViolation, NodeHasRelationships, ReadOnlyError, SchemaError, TransactionDone
 from graphloom.session import GraphSession
 from graphloom.sources.store import Store
-from graphloom.types import CypherTypeError
+from graphloom.types import CypherTypeError, plain
 
 
 def rows(session, q, **params):
@@ -92,6 +92,47 @@ def test_conflict_and_persistence(spark, tmp_path):
     assert store.snapshot(old.version).nodes.df.isEmpty()
 
 
+def test_commits_write_what_they_change(spark, tmp_path):
+    """Deltas of any number give what a rewrite gives; a commit of one change writes few rows."""
+    g = GraphSession(spark, str(tmp_path / "store"))
+    g.query("UNWIND range(0, 199) AS i CREATE (:A {k: i})-[:T {w: i}]->(:B {k: i})")
+    want = {i: i for i in range(200)}
+    for i in range(12):
+        g.query(f"MATCH (a:A {{k: {i}}}) SET a.v = {i * 10}")
+        m = g.store._manifest(g.store.latest())
+        assert len(m["nodes"]) <= 9 and sum(s["n"] for s in m["nodes"][1:]) <= 20 and len(m["rels"]) == 1
+        want[i] = i * 10
+    g.query("MATCH (a:A {k: 3})-[r:T]->(b) DELETE r")
+    g.query("MATCH (a:A {k: 4}) DETACH DELETE a")
+    g.query("MATCH (a:A {k: 5}) SET a.v = 'text', a:C")
+    got = rows(g, "MATCH (a:A) WHERE a.k < 12 RETURN a.k, a.v, a:C ORDER BY a.k")
+    assert [(k, plain(v), c) for k, v, c in got] == [(i, "text" if i == 5 else i * 10, i == 5) for i in range(12) if i != 4]
+    assert rows(g, "MATCH (:A)-[r:T]->(:B) RETURN count(*), sum(r.w)") == [(198, 19900 - 7)]
+    assert rows(GraphSession(spark, str(tmp_path / "store")), "MATCH (n) RETURN count(*)") == [(399,)]
+    old = g.store.snapshot(2)
+    assert old.nodes.df.count() == 400 and old.rels.df.count() == 200
+    log = g.store.changed_since(1, g.store.latest())
+    assert log.where("entity = 'node'").count() == 12 + 1 + 1 and log.where("entity = 'rel'").count() == 2
+
+
+def test_limits_and_outcomes(spark, monkeypatch):
+    from graphloom import errors
+    from graphloom.runtime import Folder
+
+    g = GraphSession(spark, Store(spark, max_rows=5))
+    with pytest.raises(errors.TransactionTooLarge):
+        g.query("UNWIND range(0, 9) AS i CREATE (:A {k: i})")
+    g.query("CREATE (:A {k: 1})")
+    monkeypatch.setattr(Folder, "create", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(errors.WriteOutcomeUnknown):
+        g.query("CREATE (:A {k: 2})")
+    monkeypatch.undo()
+    assert rows(g, "MATCH (a:A) RETURN count(*)") == [(1,)]
+    for text, kind in (("9223372036854775807 + a.k", errors.IntegerOverflow), ("a.k / 0", errors.DivisionByZero), ("a.k % 0", errors.DivisionByZero)):
+        with pytest.raises(kind), errors.kinds():
+            g.query(f"MATCH (a:A) RETURN {text} AS x").collect()
+
+
 def test_import(spark):
     g = GraphSession(spark)
     r = g.import_rows("UNWIND $rows AS r CREATE (:N {k: r.k})", [{"k": i} for i in range(25)], batch=20)
