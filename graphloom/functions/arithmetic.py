@@ -8,8 +8,15 @@ from ..types import ANY, FLOAT, INT, NULL, SCALARS, STR, CypherTypeError, Value,
 from .comparison import number_of
 
 
-def calculate(op: str, a: Value, b: Value) -> Value:
+def calculate(op: str, a: Value, b: Value, strict: bool = False) -> Value:
+    """a op b; null where one is null, or an error of the query if `strict`."""
     x, y = a.type, b.type
+    if strict and "list" not in (x.kind, y.kind):
+        if NULL in (x, y):
+            raise CypherTypeError(f"{op} has no meaning for null")
+        v = calculate(op, a, b)
+        wrong = F.raise_error(F.lit(f"{op} has no meaning for null")).cast(spark_type(v.type))
+        return Value(F.when(a.col.isNull() | b.col.isNull(), wrong).otherwise(v.col), v.type)
     if op == "+" and "list" in (x.kind, y.kind):
         if x.kind == y.kind == "list":
             t = common(x, y, "list items")
@@ -50,7 +57,9 @@ def _by_value(op: str, p, q) -> Value:
     return Value(out.otherwise(F.raise_error(F.lit(f"{op} has no meaning for these values")).cast(spark_type(ANY))), ANY)
 
 
-def minus(v: Value) -> Value:
+def minus(v: Value, strict: bool = False) -> Value:
+    if strict:
+        return calculate("-", Value(F.lit(0).cast("long"), INT), v, True)
     if v.type == ANY:
         return _by_value("-", convert(Value(F.lit(0).cast("long"), INT), ANY).col, v.col)
     if v.type == NULL:

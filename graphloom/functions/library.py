@@ -195,8 +195,22 @@ def _string(name: str, f: Callable[[Column], Column]) -> None:
     REGISTRY[name.lower()] = (1, 1, run)
 
 
-_string("toUpper", F.upper)
-_string("toLower", F.lower)
+#: Letters whose capital alone is more than one letter, but that have a title form of one: it stands for the capital.
+_MANY = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1 and len(chr(c).title()) == 1]
+_TITLE = "".join(c.title() for c in _MANY)
+
+
+def _letterwise(f: Callable[[Column], Column], many: str, one: str) -> Callable[[Column], Column]:
+    """f letter by letter, where each stays one: those that f makes more of are looked up, or else stay as they are."""
+
+    def letter(x: Column) -> Column:
+        return F.when(F.char_length(f(x)) == 1, f(x)).otherwise(F.translate(x, many, one))
+
+    return lambda c: F.when(c.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(c, ""), letter), "")).otherwise(f(c))
+
+
+_string("toUpper", _letterwise(F.upper, "".join(_MANY), _TITLE))
+_string("toLower", _letterwise(F.lower, "\u0130", "i"))
 _string("trim", lambda c: F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", ""))
 
 

@@ -39,9 +39,9 @@ def _select(t: NodeTable | RelTable, shape: dict[str, Type], names: dict[str, st
     return out
 
 
-def scan_nodes(spark: SparkSession, graph: Graph, labels: tuple[str, ...]) -> tuple[DataFrame, Node]:
-    """All nodes with all the labels; an unknown label has none."""
-    tables = [t for t in graph.nodes if isinstance(t.labels, str) or set(labels) <= set(t.labels)]
+def scan_nodes(spark: SparkSession, graph: Graph, labels: tuple[str, ...], among: frozenset[frozenset[str]] | None = None) -> tuple[DataFrame, Node]:
+    """All nodes with all the labels; an unknown label has none.  among: only tables of these sets of labels, where tables tell."""
+    tables = [t for t in graph.nodes if isinstance(t.labels, str) or set(labels) <= set(t.labels) and (among is None or frozenset(t.labels) in among)]
     shape = _shape(tables)
     names = {k: fresh("p") for k in shape}
     id_, lab = fresh("n"), fresh("l")
@@ -62,6 +62,12 @@ def scan_nodes(spark: SparkSession, graph: Graph, labels: tuple[str, ...]) -> tu
     return df, Node(id_, one, tuple((k, names[k], t) for k, t in shape.items()))
 
 
+def ends_of(tables: Iterable[RelTable], side: str) -> frozenset[frozenset[str]] | None:
+    """The sets of labels that the relationships' ends (side: src or dst) have; None if a table does not tell."""
+    found = [t.src_labels if side == "src" else t.dst_labels for t in tables]
+    return None if any(f is None for f in found) else frozenset(found)
+
+
 def rel_tables(graph: Graph, types: tuple[str, ...]) -> list[RelTable]:
     return [t for t in graph.rels if not types or t.type in types or t.type.startswith("@")]
 
@@ -87,7 +93,7 @@ def scan_rels(spark: SparkSession, tables: list[RelTable], types: tuple[str, ...
     df = reduce(DataFrame.unionByName, parts)
     out = df.withColumns({start: F.col(src), end: F.col(dst)})
     back = df.withColumns({start: F.col(dst), end: F.col(src)})
-    rel = Rel(id_, type_, src, dst, tuple((k, names[k], t) for k, t in shape.items()))
+    rel = Rel(id_, type_, src, dst, tuple((k, names[k], t) for k, t in shape.items()), ends_of(tables, "src"), ends_of(tables, "dst"))
     if direction == "both":
         out = out.unionByName(back.where(F.col(src) != F.col(dst)))
     return (back if direction == "in" else out), rel, start, end
@@ -109,7 +115,7 @@ def scan_rels_with_end(table: RelTable, direction: str, side: str) -> tuple[Data
     a, b = (table.src, table.dst) if direction == "out" else (table.dst, table.src)
     df = table.df.where(table.src.isNotNull() & table.dst.isNotNull())
     df = df.select(table.id.alias(id_), F.lit(table.type).alias(type_), table.src.alias(src), table.dst.alias(dst), a.alias(start), b.alias(end), *_select(table, shape, names), *_select(node, ends, own))
-    rel = Rel(id_, type_, src, dst, tuple((k, names[k], t) for k, t in shape.items()))
+    rel = Rel(id_, type_, src, dst, tuple((k, names[k], t) for k, t in shape.items()), ends_of([table], "src"), ends_of([table], "dst"))
     return df, rel, start, end, Node(start if side == "from" else end, node.labels, tuple((k, own[k], t) for k, t in ends.items()))
 
 
@@ -145,3 +151,9 @@ def level_tables(tables: list[RelTable], labels: frozenset[str] | None, directio
         out.append(list({id(t): t for t, _ in taken}.values()))
         at = {b for _, b in taken}
     return out
+
+
+def reached(tables: list[list[RelTable]], labels: frozenset[str] | None) -> frozenset[frozenset[str]] | None:
+    """The sets of labels of all nodes on walks that start at known labels and use these tables hop by hop; None if tables do not tell."""
+    ends = [ends_of(level, side) for level in tables for side in ("src", "dst")]
+    return None if labels is None or any(e is None for e in ends) else frozenset([labels]).union(*ends)

@@ -11,87 +11,87 @@ from graphloom.sources.graph import Graph
 
 
 @pytest.fixture(scope="module")
-def social(spark):
-    people = spark.createDataFrame([(1, "Alice", 30, ["a", "b"]), (2, "Bob", 40, None), (3, "Carol", None, [])], "id long, name string, age long, tags array<string>")
-    knows = spark.createDataFrame([(1, 1, 2, 2000), (2, 1, 3, 2001), (3, 2, 3, 2002), (4, 3, 3, 2003)], "id long, a long, b long, since long")
-    g = Graph().add_nodes("Person", people, "id", {"name": "name", "age": "age", "tags": "tags"})
-    return GraphSession(spark, g.add_rels("KNOWS", knows, ("Person", "a"), ("Person", "b"), "id", {"since": "since"}))
+def library(spark):
+    authors = spark.createDataFrame([(1, "Ines", 30, ["a", "b"]), (2, "Otto", 40, None), (3, "Ulla", None, [])], "id long, name string, age long, tags array<string>")
+    cites = spark.createDataFrame([(1, 1, 2, 2000), (2, 1, 3, 2001), (3, 2, 3, 2002), (4, 3, 3, 2003)], "id long, a long, b long, since long")
+    g = Graph().add_nodes("Author", authors, "id", {"name": "name", "age": "age", "tags": "tags"})
+    return GraphSession(spark, g.add_rels("CITES", cites, ("Author", "a"), ("Author", "b"), "id", {"since": "since"}))
 
 
 def rows(session, q, **params):
     return [tuple(r) for r in session.query(q, params).collect()]
 
 
-def test_self_loops_and_directions(social):
-    assert rows(social, "MATCH (a)-[:KNOWS]-(b) RETURN count(*)") == [(7,)]
-    assert rows(social, "MATCH (a)-[:KNOWS]->(a) RETURN a.name") == [("Carol",)]
-    assert rows(social, "MATCH (a {name: 'Carol'})<-[r]-(b) RETURN b.name AS b, r.since AS s ORDER BY s") == [("Alice", 2001), ("Bob", 2002), ("Carol", 2003)]
+def test_self_loops_and_directions(library):
+    assert rows(library, "MATCH (a)-[:CITES]-(b) RETURN count(*)") == [(7,)]
+    assert rows(library, "MATCH (a)-[:CITES]->(a) RETURN a.name") == [("Ulla",)]
+    assert rows(library, "MATCH (a {name: 'Ulla'})<-[r]-(b) RETURN b.name AS b, r.since AS s ORDER BY s") == [("Ines", 2001), ("Otto", 2002), ("Ulla", 2003)]
 
 
-def test_fixed_hops_may_repeat_a_relationship(social):
-    assert rows(social, "MATCH (a {name: 'Bob'})-[:KNOWS]-(b {name: 'Alice'})-[:KNOWS]-(c {name: 'Bob'}) RETURN count(*)") == [(1,)]
+def test_fixed_hops_may_repeat_a_relationship(library):
+    assert rows(library, "MATCH (a {name: 'Otto'})-[:CITES]-(b {name: 'Ines'})-[:CITES]-(c {name: 'Otto'}) RETURN count(*)") == [(1,)]
 
 
-def test_trails(social):
-    got = rows(social, "MATCH (a {name: 'Alice'})-[r:KNOWS*1..3]->(b) RETURN b.name AS b, size(r) AS n, [x IN r | x.since] AS l ORDER BY n, l")
-    assert got == [("Bob", 1, [2000]), ("Carol", 1, [2001]), ("Carol", 2, [2000, 2002]), ("Carol", 2, [2001, 2003]), ("Carol", 3, [2000, 2002, 2003])]
-    assert rows(social, "MATCH (a {name: 'Alice'})-[*]->(b) RETURN count(*)") == [(5,)]
-    assert rows(social, "MATCH (a {name: 'Alice'})-[*0..1]->(b) RETURN b.name AS b ORDER BY b") == [("Alice",), ("Bob",), ("Carol",)]
+def test_trails(library):
+    got = rows(library, "MATCH (a {name: 'Ines'})-[r:CITES*1..3]->(b) RETURN b.name AS b, size(r) AS n, [x IN r | x.since] AS l ORDER BY n, l")
+    assert got == [("Otto", 1, [2000]), ("Ulla", 1, [2001]), ("Ulla", 2, [2000, 2002]), ("Ulla", 2, [2001, 2003]), ("Ulla", 3, [2000, 2002, 2003])]
+    assert rows(library, "MATCH (a {name: 'Ines'})-[*]->(b) RETURN count(*)") == [(5,)]
+    assert rows(library, "MATCH (a {name: 'Ines'})-[*0..1]->(b) RETURN b.name AS b ORDER BY b") == [("Ines",), ("Otto",), ("Ulla",)]
 
 
-def test_optional(social):
-    q = "MATCH (a:Person) OPTIONAL MATCH (a)-[:KNOWS]->(b:Person) WHERE b.age > 35 RETURN a.name AS a, b.name AS b ORDER BY a"
-    assert rows(social, q) == [("Alice", "Bob"), ("Bob", None), ("Carol", None)]
-    q = "MATCH (a:Person) OPTIONAL MATCH (a)-[:KNOWS]->(b)-[:KNOWS]->(c) WHERE a.name <> c.name RETURN a.name AS a, c.name AS c ORDER BY a, c"
-    assert rows(social, q) == [("Alice", "Carol"), ("Alice", "Carol"), ("Bob", "Carol"), ("Carol", None)]
-    assert rows(social, "OPTIONAL MATCH (x:Nobody) RETURN x IS NULL AS n") == [(True,)]
-    assert rows(social, "MATCH (a {name: 'Bob'}) OPTIONAL MATCH (b {name: a.tags}) RETURN b IS NULL AS n") == [(True,)]
+def test_optional(library):
+    q = "MATCH (a:Author) OPTIONAL MATCH (a)-[:CITES]->(b:Author) WHERE b.age > 35 RETURN a.name AS a, b.name AS b ORDER BY a"
+    assert rows(library, q) == [("Ines", "Otto"), ("Otto", None), ("Ulla", None)]
+    q = "MATCH (a:Author) OPTIONAL MATCH (a)-[:CITES]->(b)-[:CITES]->(c) WHERE a.name <> c.name RETURN a.name AS a, c.name AS c ORDER BY a, c"
+    assert rows(library, q) == [("Ines", "Ulla"), ("Ines", "Ulla"), ("Otto", "Ulla"), ("Ulla", None)]
+    assert rows(library, "OPTIONAL MATCH (x:Nobody) RETURN x IS NULL AS n") == [(True,)]
+    assert rows(library, "MATCH (a {name: 'Otto'}) OPTIONAL MATCH (b {name: a.tags}) RETURN b IS NULL AS n") == [(True,)]
 
 
-def test_same_match_properties(social):
-    assert rows(social, "MATCH (a:Person), (b:Person {age: a.age}) RETURN a.name AS a, b.name AS b ORDER BY a") == [("Alice", "Alice"), ("Bob", "Bob")]
+def test_same_match_properties(library):
+    assert rows(library, "MATCH (a:Author), (b:Author {age: a.age}) RETURN a.name AS a, b.name AS b ORDER BY a") == [("Ines", "Ines"), ("Otto", "Otto")]
 
 
-def test_aggregates(social):
-    assert rows(social, "MATCH (a:Person) RETURN count(*), count(a.age), sum(a.age), avg(a.age), min(a.name), max(a.age), size(collect(a.age))") == [(3, 2, 70, 35.0, "Alice", 40, 2)]
-    assert rows(social, "MATCH (a:Nope) RETURN count(*), sum(a.x), avg(a.x), collect(a.x)") == [(0, 0, None, [])]
-    assert rows(social, "MATCH (a:Person)-[:KNOWS]->(b) WITH b, count(*) AS c ORDER BY c DESC LIMIT 1 RETURN b.name, c + 1") == [("Carol", 4)]
-    assert rows(social, "MATCH (a:Person) WITH a ORDER BY a.name DESC RETURN collect(a.name)") == [(["Carol", "Bob", "Alice"],)]
-    assert rows(social, "UNWIND [1, 1, 2] AS x RETURN count(DISTINCT x), sum(DISTINCT x), avg(DISTINCT x), size(collect(DISTINCT x))") == [(2, 3, 1.5, 2)]
+def test_aggregates(library):
+    assert rows(library, "MATCH (a:Author) RETURN count(*), count(a.age), sum(a.age), avg(a.age), min(a.name), max(a.age), size(collect(a.age))") == [(3, 2, 70, 35.0, "Ines", 40, 2)]
+    assert rows(library, "MATCH (a:Nope) RETURN count(*), sum(a.x), avg(a.x), collect(a.x)") == [(0, 0, None, [])]
+    assert rows(library, "MATCH (a:Author)-[:CITES]->(b) WITH b, count(*) AS c ORDER BY c DESC LIMIT 1 RETURN b.name, c + 1") == [("Ulla", 4)]
+    assert rows(library, "MATCH (a:Author) WITH a ORDER BY a.name DESC RETURN collect(a.name)") == [(["Ulla", "Otto", "Ines"],)]
+    assert rows(library, "UNWIND [1, 1, 2] AS x RETURN count(DISTINCT x), sum(DISTINCT x), avg(DISTINCT x), size(collect(DISTINCT x))") == [(2, 3, 1.5, 2)]
 
 
-def test_order_and_paging(social):
-    assert rows(social, "MATCH (a:Person) RETURN a.name ORDER BY a.age") == [("Alice",), ("Bob",), ("Carol",)]
-    assert rows(social, "MATCH (a:Person) RETURN a.name ORDER BY a.age DESC") == [("Carol",), ("Bob",), ("Alice",)]
-    assert rows(social, "MATCH (a:Person) RETURN a.name AS n ORDER BY n SKIP 1 LIMIT $k", k=1) == [("Bob",)]
-    assert rows(social, "MATCH (a:Person) RETURN a.name AS n LIMIT 0") == []
-    assert rows(social, "MATCH (a:Person) WITH a.age AS age, a.name AS name WHERE age > 30 RETURN name") == [("Bob",)]
-    assert rows(social, "MATCH (a:Person) WITH a.name AS a ORDER BY a DESC RETURN a LIMIT 1") == [("Carol",)]
+def test_order_and_paging(library):
+    assert rows(library, "MATCH (a:Author) RETURN a.name ORDER BY a.age") == [("Ines",), ("Otto",), ("Ulla",)]
+    assert rows(library, "MATCH (a:Author) RETURN a.name ORDER BY a.age DESC") == [("Ulla",), ("Otto",), ("Ines",)]
+    assert rows(library, "MATCH (a:Author) RETURN a.name AS n ORDER BY n SKIP 1 LIMIT $k", k=1) == [("Otto",)]
+    assert rows(library, "MATCH (a:Author) RETURN a.name AS n LIMIT 0") == []
+    assert rows(library, "MATCH (a:Author) WITH a.age AS age, a.name AS name WHERE age > 30 RETURN name") == [("Otto",)]
+    assert rows(library, "MATCH (a:Author) WITH a.name AS a ORDER BY a DESC RETURN a LIMIT 1") == [("Ulla",)]
 
 
-def test_entities_and_paths_as_values(social):
-    (a,) = social.query("MATCH (a {name: 'Alice'}) RETURN a").first()
-    assert (a["labels"], a["props"]["name"]) == (["Person"], "Alice")
-    assert rows(social, "MATCH (a)-[r]->(b) WHERE r.since = 2000 RETURN startNode(r).name, endNode(r).name, type(r), id(a) = id(startNode(r))") == [("Alice", "Bob", "KNOWS", True)]
-    assert rows(social, "MATCH (a:Person) WITH collect(a) AS l RETURN size([x IN l WHERE x.age > 30])") == [(1,)]
-    assert rows(social, "MATCH (a {name: 'Alice'}), (b {name: 'Carol'}), p = shortestPath((a)-[:KNOWS*]->(b)) RETURN [n IN nodes(p) | n.name], length(p)") == [(["Alice", "Carol"], 1)]
-    assert rows(social, "MATCH (a {name: 'Carol'}), (b {name: 'Carol'}), p = shortestPath((a)-[*0..]-(b)) RETURN length(p)") == [(0,)]
-    assert rows(social, "MATCH (a {name: 'Carol'}), (b {name: 'Carol'}), p = shortestPath((a)-[*]-(b)) RETURN length(p)") == []
+def test_entities_and_paths_as_values(library):
+    (a,) = library.query("MATCH (a {name: 'Ines'}) RETURN a").first()
+    assert (a["labels"], a["props"]["name"]) == (["Author"], "Ines")
+    assert rows(library, "MATCH (a)-[r]->(b) WHERE r.since = 2000 RETURN startNode(r).name, endNode(r).name, type(r), id(a) = id(startNode(r))") == [("Ines", "Otto", "CITES", True)]
+    assert rows(library, "MATCH (a:Author) WITH collect(a) AS l RETURN size([x IN l WHERE x.age > 30])") == [(1,)]
+    assert rows(library, "MATCH (a {name: 'Ines'}), (b {name: 'Ulla'}), p = shortestPath((a)-[:CITES*]->(b)) RETURN [n IN nodes(p) | n.name], length(p)") == [(["Ines", "Ulla"], 1)]
+    assert rows(library, "MATCH (a {name: 'Ulla'}), (b {name: 'Ulla'}), p = shortestPath((a)-[*0..]-(b)) RETURN length(p)") == [(0,)]
+    assert rows(library, "MATCH (a {name: 'Ulla'}), (b {name: 'Ulla'}), p = shortestPath((a)-[*]-(b)) RETURN length(p)") == []
 
 
-def test_unwind_and_union(social):
-    assert rows(social, "UNWIND [[1, 2], [], [3]] AS l UNWIND l AS x RETURN x") == [(1,), (2,), (3,)]
-    assert rows(social, "UNWIND null AS x RETURN x") == []
-    assert sorted(rows(social, "RETURN 1 AS x UNION ALL RETURN 1 AS x UNION ALL RETURN 2.5 AS x")) == [(1.0,), (1.0,), (2.5,)]
-    assert sorted(rows(social, "RETURN 1 AS x UNION RETURN 1 AS x")) == [(1,)]
-    assert rows(social, "UNWIND $rows AS r RETURN r.a + 1 AS b", rows=[{"a": 1}, {"a": 2}]) == [(2,), (3,)]
+def test_unwind_and_union(library):
+    assert rows(library, "UNWIND [[1, 2], [], [3]] AS l UNWIND l AS x RETURN x") == [(1,), (2,), (3,)]
+    assert rows(library, "UNWIND null AS x RETURN x") == []
+    assert sorted(rows(library, "RETURN 1 AS x UNION ALL RETURN 1 AS x UNION ALL RETURN 2.5 AS x")) == [(1.0,), (1.0,), (2.5,)]
+    assert sorted(rows(library, "RETURN 1 AS x UNION RETURN 1 AS x")) == [(1,)]
+    assert rows(library, "UNWIND $rows AS r RETURN r.a + 1 AS b", rows=[{"a": 1}, {"a": 2}]) == [(2,), (3,)]
 
 
-def test_limits_and_read_only(social):
+def test_limits_and_read_only(library):
     with pytest.raises(ResultLimitError):
-        social.query("MATCH (a) RETURN a.name", max_rows=2)
+        library.query("MATCH (a) RETURN a.name", max_rows=2)
     with pytest.raises(ReadOnlyError):
-        social.query("CREATE (:X)")
+        library.query("CREATE (:X)")
 
 
 def test_shortest_paths_against_brute_force(spark):
