@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .session import GraphSession
 from .sources.trade import trade_graph
+from .surface import SURFACE
 
 #: name: (query, SQL)
 PAIRS: dict[str, tuple[str, str]] = {}
@@ -47,9 +48,9 @@ _pair("varlen_zero", "MATCH (n:Nation)-[:IN_REGION*0..1]->(x) RETURN labels(x)[0
 _pair("varlen_exact", "MATCH (a:Event)-[r:NEXT*2]->(b:Event) RETURN a.event_id AS a, b.event_id AS b, size(r) AS hops", f"WITH x AS (SELECT event_id AS p, next_id AS q FROM {NEXT} WHERE next_id IS NOT NULL) SELECT x.p AS a, y.q AS b, 2::BIGINT AS hops FROM x JOIN x y ON x.q = y.p")
 _pair("varlen_unbounded", "MATCH (s:Supplier)-[*]->(x) RETURN labels(x)[0] AS l, count(*) AS n", "SELECT unnest(['Nation', 'Region']) AS l, (SELECT count(*) FROM supplier) AS n")
 _pair("varlen_undirected", "MATCH (a:Region {name: 'ASIA'})-[:IN_REGION*1..2]-(b) RETURN labels(b)[0] AS l, count(*) AS n", "SELECT 'Nation' AS l, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
-_pair("varlen_rel_list", "MATCH (o:Order {orderkey: 7})-[r:CONTAINS*1..1]->(p) UNWIND [x IN r | x.quantity] AS q RETURN count(q) AS n, sum(q) AS qty", "SELECT count(*) AS n, coalesce(sum(l_quantity), 0) AS qty FROM lineitem WHERE l_orderkey = 7")
+_pair("varlen_rel_list", "MATCH (o:Order)-[r:CONTAINS*1..1]->(p) UNWIND [x IN r | x.quantity] AS q RETURN o.orderkey AS o, count(q) AS n, sum(q) AS qty", "SELECT l_orderkey AS o, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1")
 _pair("shortest_path_len", "MATCH (s:Supplier), (r:Region), p = shortestPath((s)-[*..4]->(r)) RETURN s.suppkey AS s, r.name AS r, length(p) AS hops", "SELECT s_suppkey AS s, r_name AS r, 2::BIGINT AS hops FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-_pair("shortest_path_nodes", "MATCH (s:Supplier {suppkey: 3}), (r:Region), p = shortestPath((s)-[:IN_NATION|IN_REGION*]->(r)) RETURN [n IN nodes(p) | n.name][1] AS via, size(relationships(p)) AS hops", "SELECT n_name AS via, 2::BIGINT AS hops FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 3")
+_pair("shortest_path_nodes", "MATCH (s:Supplier), (r:Region), p = shortestPath((s)-[:IN_NATION|IN_REGION*]->(r)) RETURN s.suppkey AS s, [n IN nodes(p) | n.name][1] AS via, size(relationships(p)) AS hops", "SELECT s_suppkey AS s, n_name AS via, 2::BIGINT AS hops FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 _pair("all_shortest_count", "MATCH (a:Nation), (b:Nation), p = allShortestPaths((a)-[:IN_REGION*..2]-(b)) WHERE a.name < b.name RETURN a.name AS a, b.name AS b, length(p) AS hops", "SELECT a.n_name AS a, b.n_name AS b, 2::BIGINT AS hops FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_name < b.n_name")
 
 # OPTIONAL MATCH and correlation.
@@ -101,7 +102,7 @@ _pair("regex_match", "MATCH (c:Customer) WHERE c.name =~ 'Customer#0*[1-9]5' RET
 
 # Functions.
 _pair("fn_string", "MATCH (n:Nation) RETURN toLower(n.name) AS a, substring(n.name, 1, 3) AS b, replace(n.name, 'A', '-') AS c, size(split(n.name, 'A')) AS d, trim('  x ') AS e, size(n.name) AS f, toUpper('ab') AS g", "SELECT lower(n_name) AS a, substr(n_name, 2, 3) AS b, replace(n_name, 'A', '-') AS c, len(string_split(n_name, 'A')) AS d, 'x' AS e, length(n_name) AS f, 'AB' AS g FROM nation")
-_pair("fn_math", "MATCH (e:Event) WHERE e.event_id < 50 RETURN e.event_id AS k, abs(-e.event_id) AS a, floor(e.value) AS b, ceil(e.value) AS c, round(e.value) AS d, sign(e.value - 50) AS e, e.event_id % 7 AS f, e.event_id / 7 AS g", "SELECT event_id AS k, event_id AS a, floor(value)::DOUBLE AS b, ceil(value)::DOUBLE AS c, floor(value + 0.5)::DOUBLE AS d, sign(value - 50)::BIGINT AS e, event_id % 7 AS f, event_id // 7 AS g FROM events WHERE event_id < 50")
+_pair("fn_math", "MATCH (e:Event) RETURN e.event_id AS k, abs(-e.event_id) AS a, floor(e.value) AS b, ceil(e.value) AS c, round(e.value) AS d, sign(e.value - 50) AS e, e.event_id % 7 AS f, e.event_id / 7 AS g", "SELECT event_id AS k, event_id AS a, floor(value)::DOUBLE AS b, ceil(value)::DOUBLE AS c, floor(value + 0.5)::DOUBLE AS d, sign(value - 50)::BIGINT AS e, event_id % 7 AS f, event_id // 7 AS g FROM events")
 _pair("fn_list", "RETURN head([1, 2]) AS a, last([1, 2]) AS b, size(tail([1, 2, 3])) AS c, size(range(1, 10, 3)) AS d, range(5, 1, -2)[2] AS e, size(range(3, 1)) AS f", "SELECT 1::BIGINT AS a, 2::BIGINT AS b, 2::BIGINT AS c, 4::BIGINT AS d, 1::BIGINT AS e, 0::BIGINT AS f")
 _pair("fn_convert", "RETURN toInteger('12') AS a, toInteger('1.5') AS b, toInteger(2.9) AS c, toFloat('2.5') AS d, toString(3.0) AS e, toString(1e6) AS f, toString(true) AS g, toInteger(true) AS h", "SELECT 12::BIGINT AS a, NULL::BIGINT AS b, 2::BIGINT AS c, 2.5::DOUBLE AS d, '3' AS e, '1e+06' AS f, 'true' AS g, 1::BIGINT AS h")
 _pair("fn_entity", "MATCH (n:Nation)-[r:IN_REGION]->(x:Region) RETURN n.name AS n, startNode(r).name AS a, endNode(r).name AS b, type(r) AS t, size(keys(n)) AS k, properties(x).name AS p, id(n) = id(startNode(r)) AS same", "SELECT n_name AS n, n_name AS a, r_name AS b, 'IN_REGION' AS t, 3::BIGINT AS k, r_name AS p, true AS same FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -272,3 +273,5 @@ WRITES = {
 }
 QUERIES |= {f.__name__: f for f in WRITES}
 SQL |= {f.__name__: s for f, s in WRITES.items()}
+QUERIES |= {f.__name__: f for f in SURFACE}
+SQL |= {f.__name__: s for f, s in SURFACE.items()}

@@ -161,9 +161,17 @@ class Store:
         df.write.parquet(path)
         return path
 
-    def _segment(self, rows: DataFrame, props: dict, name: str, gone: DataFrame | None = None) -> dict:
-        """What a manifest says of rows, written with the ids that they replace; columns have the types of this version."""
-        path = self._write(rows, name)
+    def _segment(self, rows: DataFrame, props: dict, name: str, gone: DataFrame | None = None, by: tuple[str, ...] = ()) -> dict:
+        """What a manifest says of rows, written with the ids that they replace; columns have the types of this version.
+
+        by: columns of indexed keys.  Rows lie in ranges of the first, so that
+        file statistics clear most of a seek; all have Bloom filters.
+        """
+        options = {}
+        for c in by:
+            options |= {f"parquet.bloom.filter.enabled#{c}": "true", f"parquet.bloom.filter.expected.ndv#{c}": "100000"}
+        path = f"{self.path}/{name}/{uuid.uuid4().hex}"
+        (rows.repartitionByRange(by[0], "id").sortWithinPartitions(by[0], "id") if by else rows).write.options(**options).parquet(path)
         return {"rows": path, "gone": self._write(gone, "gone") if gone is not None else None, "n": self.spark.read.schema(rows.schema).parquet(path).count(), "props": {k: [c, _pack(t)] for k, (c, t) in props.items()}}
 
     def _publish(self, s: Snapshot, nodes: list[dict], rels: list[dict], changes: str | None) -> None:
@@ -203,16 +211,23 @@ class Store:
             df = df.unionByName(self._read(s, ddl, props))
         return Table(df, props)
 
-    def _extended(self, segments: list[dict], table: Table, ddl: str, name: str) -> list[dict]:
-        """The segments with what the table has changed; merged if there are many or much."""
+    @staticmethod
+    def _indexed(s: Snapshot, entity: str) -> tuple[str, ...]:
+        """Columns of the keys that indexes name, where their values have an order in files."""
+        props = (s.nodes if entity == "NODE" else s.rels).props
+        keys = dict.fromkeys(key for _, key, e in s.indexes.values() if e == entity and key in props and props[key][1].kind in ("int", "float", "str", "time"))
+        return tuple(props[k][0] for k in keys)
+
+    def _extended(self, segments: list[dict], table: Table, ddl: str, name: str, by: tuple[str, ...], anew: bool) -> list[dict]:
+        """The segments with what the table has changed; merged if there are many or much, or (anew) if the layout has changed."""
         if not table.touched:
-            return segments
+            return [self._segment(table.df, table.props, name, by=by)] if anew and by else segments
         rows = table.rows if table.rows is not None else table.base.limit(0)
         made = [*segments, self._segment(rows, table.props, name, table.gone)]
         if self.max_rows is not None and made[-1]["n"] > self.max_rows:
             raise TransactionTooLarge(f"the transaction changes {made[-1]['n']} {name}, more than {self.max_rows}")
-        if 2 * sum(s["n"] for s in made[1:]) > made[0]["n"]:
-            return [self._segment(self._table(made, ddl, table.props).df, table.props, name)]
+        if anew and by or 2 * sum(s["n"] for s in made[1:]) > made[0]["n"]:
+            return [self._segment(self._table(made, ddl, table.props).df, table.props, name, by=by)]
         if len(made) > MOST_SEGMENTS:
             gone = [self.spark.read.schema("id long").parquet(s["gone"]) for s in made[1:] if s["gone"]]
             return [made[0], self._segment(self._table(made[1:], ddl, table.props).df, table.props, name, reduce(DataFrame.union, gone).distinct() if gone else None)]
@@ -237,7 +252,9 @@ class Store:
             changed = reduce(DataFrame.unionByName, parts).withColumn("version", F.lit(new.version).cast("long"))
             changes = self._write(changed.select(*[c.split()[0] for c in CHANGES_DDL.split(", ")]), "changes")
         m = self._manifest(old.version)
-        self._publish(new, self._extended(m["nodes"], new.nodes, NODE_DDL, "nodes"), self._extended(m["rels"], new.rels, REL_DDL, "rels"), changes)
+        laid = {e: (self._indexed(old, e), self._indexed(new, e)) for e in ("NODE", "RELATIONSHIP")}
+        nodes, rels = ((now, set(now) - set(before) != set()) for before, now in (laid["NODE"], laid["RELATIONSHIP"]))
+        self._publish(new, self._extended(m["nodes"], new.nodes, NODE_DDL, "nodes", *nodes), self._extended(m["rels"], new.rels, REL_DDL, "rels", *rels), changes)
         return self.snapshot(new.version)
 
     def backup(self, path: str) -> "Store":

@@ -1,6 +1,7 @@
 """Stores: write clauses, transactions, constraints, import."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.errors import ConflictError, ConstraintViolation, NodeHasRelationships, ReadOnlyError, SchemaError, TransactionDone
 from graphloom.session import GraphSession
@@ -115,6 +116,26 @@ def test_commits_write_what_they_change(spark, tmp_path):
     assert log.where("entity = 'node'").count() == 12 + 1 + 1 and log.where("entity = 'rel'").count() == 2
 
 
+def test_an_index_lays_the_table_out(spark):
+    """Files hold ranges of the indexed key, and a seek reaches them as a filter; rows without the key are spread as well."""
+    g = GraphSession(spark)
+    g.query("UNWIND range(0, 2999) AS i CREATE (:A {k: (i * 7919) % 3000, w: i}) CREATE (:B {w: i})")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        g.query("CREATE INDEX FOR (a:A) ON (a.k)")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (segment,) = g.store._manifest(g.store.latest())["nodes"]
+    c = segment["props"]["k"][0]
+    files = spark.read.parquet(segment["rows"]).groupBy(F.input_file_name()).agg(F.min(c).alias("a"), F.max(c).alias("b"), F.count("*").alias("n")).collect()
+    ranges = sorted((r["a"], r["b"]) for r in files if r["a"] is not None)
+    assert len(files) >= 3 and all(x[1] <= y[0] for x, y in zip(ranges, ranges[1:])) and max(r["n"] for r in files) < 4000
+    df = g.query("MATCH (a:A {k: 77}) RETURN a.w AS w")
+    assert f"EqualTo({c},77)" in df._jdf.queryExecution().toString() and df.count() == 1
+    assert rows(g, "MATCH (a:A) WHERE a.k >= 10 AND a.k < 13 RETURN count(*)") == [(3,)]
+    assert rows(g, "MATCH (n) RETURN count(*), count(n.k), sum(n.w)") == [(6000, 3000, 2 * 2999 * 1500)]
+
+
 def test_limits_and_outcomes(spark, monkeypatch):
     from graphloom import errors
     from graphloom.runtime import Folder
