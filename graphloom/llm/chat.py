@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import Tokens, tokenizer_path
+from .packing import tokenizer_path, tokens_of
 
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
 #: Strings that no text may show to a model unbroken: this template's, and those of common other ones.
@@ -116,7 +116,7 @@ WINDOWS_SQL = "conv_id long, window long, text string, repeated long, new_turns
 
 def _format(path: str, budget: int, history_turns: int, history_tokens: int):
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Turn]]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         for batch in batches:
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             for lo in range(0, len(roles), 512):

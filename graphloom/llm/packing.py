@@ -36,10 +36,30 @@ ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\x
 _BLANK = frozenset(b" \t\n\x0b\x0c\r")
 
 
+class _Column:
+    """An array that grows."""
+
+    def __init__(self, kind):
+        self.all, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.all):
+            more = np.zeros(max(2 * len(self.all), self.n + len(x)), self.all.dtype)
+            more[: self.n] = self.all[: self.n]
+            self.all = more
+        self.all[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class Tokens:
-    """Token ids of whole texts, from a tokenizer file."""
+    """Token ids of whole texts, from a tokenizer file.
+
+    Units are kept by the order of their hashes, with what is known of each in
+    the order in which they came.  When there are too many, those go that have
+    not been met again.
+    """
 
-    LIMIT, LIMIT_BYTES = 1_000_000, 32 << 20  # of the units that are kept
+    LIMIT, LIMIT_BYTES = 2_000_000, 48 << 20  # of the units that are kept
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,9 +73,31 @@ class Tokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.zeros(0, U64)
-        self.at, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.begin, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.hashes, self.slot = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.at, self.length, self.begin, self.size = (_Column(np.int64) for _ in range(4))
+        self.ids, self.bytes, self.again = _Column(np.uint32), _Column(np.uint8), _Column(bool)
+
+    def _thin(self) -> None:
+        """Keep the units that have been met again, if they are few enough."""
+        met = np.flatnonzero(self.again.all[self.slot])
+        hashes, slot, old = self.hashes[met], self.slot[met], (self.at, self.length, self.begin, self.size, self.ids, self.bytes)
+        self._clear()
+        if 2 * len(met) > self.LIMIT:
+            return
+        at, length, begin, size = (c.all[slot] for c in old[:4])
+        self.hashes = hashes
+        self._append(at, length, begin, size, gather(old[4].all, at, length), gather(old[5].all, begin, size))
+        self.slot = np.arange(len(hashes), dtype=np.int32)
+
+    def _append(self, at, length, begin, size, ids, raw) -> None:
+        """Units whose ids and bytes come one after the other."""
+        self.at.add(self.ids.n + np.cumsum(length) - length)
+        self.length.add(length)
+        self.begin.add(self.bytes.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.ids.add(ids)
+        self.bytes.add(raw)
+        self.again.add(np.zeros(len(length), bool))
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -103,34 +145,32 @@ class Tokens:
             differs = np.flatnonzero(e - b != (e - b)[first][inverse])
             alike = np.flatnonzero(e - b == (e - b)[first][inverse])
             bad = np.append(differs, alike[~equal_ranges(data, b[alike], b[first[inverse[alike]]], (e - b)[alike])])
-            if len(self.hashes) + len(unique) > self.LIMIT or len(self.bytes) > self.LIMIT_BYTES:
-                self._clear()
+            if len(self.hashes) + len(unique) > self.LIMIT or self.bytes.n > self.LIMIT_BYTES:
+                self._thin()
             where = np.searchsorted(self.hashes, unique)
             known = np.zeros(len(unique), bool)
             inside = where < len(self.hashes)
             known[inside] = self.hashes[where[inside]] == unique[inside]
-            met, kept = np.flatnonzero(known), where[known]
+            met, kept = np.flatnonzero(known), self.slot[where[known]]
             size = (e - b)[first[met]]
-            same = size == self.size[kept]
-            same[same] = equal_ranges(data, b[first[met[same]]], self.begin[kept[same]], size[same], self.bytes)
+            same = size == self.size.all[kept]
+            same[same] = equal_ranges(data, b[first[met[same]]], self.begin.all[kept[same]], size[same], self.bytes.all)
             bad = np.concatenate((bad, np.flatnonzero(np.isin(inverse, met[~same]))))
             if not len(bad):
                 break
             odd[own[bad]] = True
             plain = ~odd[owner]
+        self.again.all[kept] = True
         if not known.all():
             new = np.flatnonzero(~known)
             at, size = b[first[new]], (e - b)[first[new]]
             length, ids = self._encode_units([raw[x : x + n] for x, n in zip(at.tolist(), size.tolist())])
-            put = where[new]
-            self.hashes = np.insert(self.hashes, put, unique[new])
-            self.at = np.insert(self.at, put, len(self.ids) + np.cumsum(length) - length)
-            self.length = np.insert(self.length, put, length)
-            self.begin = np.insert(self.begin, put, len(self.bytes) + np.cumsum(size) - size)
-            self.size = np.insert(self.size, put, size)
-            self.ids, self.bytes = np.concatenate((self.ids, ids)), np.concatenate((self.bytes, gather(data, at, size)))
+            self.hashes = np.insert(self.hashes, where[new], unique[new])
+            self.slot = np.insert(self.slot, where[new], np.arange(self.at.n, self.at.n + len(new), dtype=np.int32))
+            self._append(at, length, at, size, ids, gather(data, at, size))
             where = np.searchsorted(self.hashes, unique)
-        length, at = self.length[where][inverse], self.at[where][inverse]
+        slot = self.slot[where][inverse]
+        length, at = self.length.all[slot], self.at.all[slot]
         counts = np.bincount(own, weights=length, minlength=n).astype(np.int64) if len(own) else np.zeros(n, np.int64)
         rest = np.flatnonzero(odd)
         extra = {}
@@ -142,7 +182,7 @@ class Tokens:
         if len(own):
             ends = np.cumsum(length)
             index = np.arange(int(ends[-1])) + np.repeat(at - (ends - length), length)
-            flat = self.ids[index]
+            flat = self.ids.all[index]
             if len(rest):
                 mask = np.ones(len(out), bool)
                 for d in rest.tolist():
@@ -155,6 +195,16 @@ class Tokens:
         return out, out_at
 
 
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The tokenizer of a file, which a worker process keeps for its next tasks."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
 def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, sequence) of pieces shorter than the capacity, in as few sequences as their tokens fill."""
     total = sum(lengths)
@@ -193,7 +243,7 @@ OUT_SQL = "id long, start long, length long, ids binary, doc_tokens long, sequen
 
 def _pack(path: str, end_id: int, capacity: int, linear: float, quadratic: float, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         number = TaskContext.get().partitionId() << 40
         rests: list[tuple[int | None, int, np.ndarray, int]] = []
         held = 0
