@@ -30,7 +30,7 @@ def calculate(op: str, a: Value, b: Value, strict: bool = False) -> Value:
         return null(y if x == NULL else x)
     if op == "+" and x == y == STR:
         return Value(F.concat(a.col, b.col), STR)
-    if ANY in (x, y) and {x, y} <= {ANY, *SCALARS.values()}:
+    if ANY in (x, y) and {x.kind, y.kind} <= {"any", *(t.kind for t in SCALARS.values())}:
         return _by_value(op, convert(a, ANY).col, convert(b, ANY).col)
     if not (x.number and y.number):
         raise CypherTypeError(f"{op} has no meaning for {x.kind} and {y.kind}")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import ANY, BOOL, FLOAT, SCALARS, STR, CypherTypeError, Type, Value, common, convert, null
+from ..types import ANY, BOOL, FLOAT, NESTED, SCALARS, STR, CypherTypeError, Type, Value, as_list, common, convert, elements, holds_list, null
 
 
 def _unknown(a: Value, b: Value, otherwise: Column) -> Column:
@@ -21,7 +21,7 @@ def _may_be_nan(a: Value, b: Value) -> bool:
 
 
 def _mixed(x: Type, y: Type) -> bool:
-    return ANY in (x, y) and {x, y} <= {ANY, *SCALARS.values()}
+    return ANY in (x, y) and {x.kind, y.kind} <= {"any", "list", "map", *(t.kind for t in SCALARS.values())}
 
 
 def number_of(c: Column) -> Column:
@@ -29,24 +29,37 @@ def number_of(c: Column) -> Column:
     return F.coalesce(c["as_int"].cast("double"), c["as_float"])
 
 
-def _by_value(a: Value, b: Value, test: Callable[[Value, Value], Value], otherwise: Column) -> Value:
-    """test on what two values of any hold, if it is of one kind; integers meet as integers."""
+def _nested_equal(p: Column, q: Column) -> Column:
+    """Equality of lists element by element, and of maps, and lists in lists, as they are written."""
+
+    def one(x: Column, y: Column) -> Column:
+        return _by_value(Value(x, ANY), Value(y, ANY), equal, F.lit(False), lambda a, b: a[NESTED] == b[NESTED]).col
+
+    a, b = elements(p), elements(q)
+    lists = F.when(F.size(a) != F.size(b), F.lit(False)).otherwise(F.forall(F.zip_with(a, b, one), lambda z: z))
+    return F.when(holds_list(p) & holds_list(q), lists).otherwise(p[NESTED] == q[NESTED])
+
+
+def _by_value(a: Value, b: Value, test: Callable[[Value, Value], Value], otherwise: Column, nested: Callable[[Column, Column], Column] | None = None) -> Value:
+    """test on what two values of any hold, if it is of one kind, and nested on lists and maps; integers meet as integers."""
     p, q = convert(a, ANY).col, convert(b, ANY).col
     kinds = [("as_int", SCALARS["as_int"]), ("as_str", STR), ("as_bool", BOOL)]
     out = F.when(p.isNull() | q.isNull(), F.lit(None).cast("boolean"))
     for k, t in kinds:
         out = out.when(p[k].isNotNull() & q[k].isNotNull(), test(Value(p[k], t), Value(q[k], t)).col)
+    if nested is not None:
+        out = out.when(p[NESTED].isNotNull() & q[NESTED].isNotNull(), nested(p, q))
     m, n = number_of(p), number_of(q)
     return Value(out.when(m.isNotNull() & n.isNotNull(), test(Value(m, FLOAT), Value(n, FLOAT)).col).otherwise(otherwise), BOOL)
 
 
 def order_key(v: Value) -> Column:
-    """What values are sorted by: among those of any strings come first, then booleans, then numbers."""
+    """What values are sorted by: among those of any maps come first, then lists, strings, booleans, and numbers."""
     if v.type != ANY:
         return v.col["id"] if v.type.entity else v.col
     c = v.col
-    rank = F.when(c["as_str"].isNotNull(), 0).when(c["as_bool"].isNotNull(), 1).otherwise(2)
-    return F.when(c.isNotNull(), F.struct(rank, c["as_str"], c["as_bool"], number_of(c), c["as_int"]))
+    rank = F.when(c["as_str"].isNotNull(), 0).when(c["as_bool"].isNotNull(), 1).when(holds_list(c), -1).when(c[NESTED].isNotNull(), -2).otherwise(2)
+    return F.when(c.isNotNull(), F.struct(rank, c[NESTED], c["as_str"], c["as_bool"], number_of(c), c["as_int"]))
 
 
 def same_key(v: Value) -> Column:
@@ -54,13 +67,13 @@ def same_key(v: Value) -> Column:
     c = v.col
     whole = (F.floor(c["as_float"]) == c["as_float"]) & (F.abs(c["as_float"]) < 2.0**63)
     i = F.coalesce(c["as_int"], F.when(whole, c["as_float"]).cast("long"))
-    return F.when(c.isNotNull() & ~F.coalesce(F.isnan(c["as_float"]), F.lit(False)), F.struct(c["as_bool"], i, F.when(i.isNull(), c["as_float"]), c["as_str"]))
+    return F.when(c.isNotNull() & ~F.coalesce(F.isnan(c["as_float"]), F.lit(False)), F.struct(c["as_bool"], i, F.when(i.isNull(), c["as_float"]), c["as_str"], c[NESTED]))
 
 
 def equal(a: Value, b: Value) -> Value:
     x, y = a.type, b.type
     if _mixed(x, y):
-        return _by_value(a, b, equal, F.lit(False))
+        return _by_value(a, b, equal, F.lit(False), _nested_equal)
     if "null" in (x.kind, y.kind):
         return null(BOOL)
     if x.number and y.number:
@@ -103,6 +116,7 @@ def compare(op: str, a: Value, b: Value) -> Value:
 def member(v: Value, items: Value) -> Value:
     if items.type.kind == "null":
         return null(BOOL)
+    items = as_list(items, "IN")
     if items.type.kind != "list":
         raise CypherTypeError(f"IN takes a list, not a {items.type.kind}")
     t = items.type.item

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import ANY, FLOAT, INT, NULL, SCALARS, STR, CypherTypeError, Type, Value, common, convert, list_of, null, spark_type
+from ..types import ANY, FLOAT, INT, NULL, SCALARS, STR, CypherTypeError, Type, Value, common, convert, elements, holds_list, list_of, null, spark_type
 
 #: range() makes at most this many numbers (a fixed limit of the language's engine).
 RANGE_LIMIT = 10_000_000
@@ -52,6 +52,10 @@ def _by_value(name: str, v: Value, f: Callable[[Value], Value]) -> Value:
             found.append((v.col[k].isNotNull(), f(Value(v.col[k], t))))
         except CypherTypeError:
             continue
+    try:
+        found.append((holds_list(v.col), f(Value(elements(v.col), list_of(ANY)))))
+    except CypherTypeError:
+        pass
     if not found:
         raise CypherTypeError(f"{name} takes no plain value")
     t = reduce(common, (r.type for _, r in found))

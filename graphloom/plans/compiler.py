@@ -16,7 +16,7 @@ from ..functions.comparison import number_of, order_key
 from ..operators.paths import expand_trails, shortest_paths
 from ..operators.scan import ends_imply, own_end, rel_tables, scan_nodes, scan_rels, scan_rels_with_end, towards
 from ..sources.graph import Graph
-from ..types import ANY, FLOAT, INT, NULL, CypherTypeError, Type, Value, common, convert, list_of, spark_type
+from ..types import ANY, FLOAT, INT, NULL, CypherTypeError, Type, Value, as_list, common, convert, list_of, spark_type
 from .expressions import Expressions
 from .scope import Binding, Node, Plain, Rel, fresh
 
@@ -373,6 +373,7 @@ class Compiler:
         v = self.x.value(e, rows.scope)
         if v.type == NULL:
             return replace(rows, df=df.where(F.lit(False)).withColumn(name := fresh("u"), F.lit(None).cast("void")), scope={**rows.scope, var: Plain(name, NULL)})
+        v = as_list(v, "UNWIND")
         if v.type.kind != "list":
             raise CypherTypeError(f"UNWIND takes a list, not a {v.type.kind}")
         name = fresh("u")

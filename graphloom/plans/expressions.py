@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..cypher import syntax as S
 from ..functions import arithmetic, comparison, library
-from ..types import BOOL, INT, NULL, STR, CypherTypeError, Value, list_of, literal, make_list, make_map, null
+from ..types import ANY, BOOL, INT, NULL, STR, CypherTypeError, Value, as_list, key_of, list_of, literal, make_list, make_map, null
 from .scope import Binding, Bound, Node, Rel
 
 
@@ -127,6 +127,9 @@ class Expressions:
                 raise CypherTypeError("a map or entity is indexed by a constant string")
             return null() if k.const is None else field(v, k.const)
         i = go(at)
+        if v.type == ANY and i.type == STR and i.known:
+            return null() if i.const is None else key_of(v, i.const)
+        v = as_list(v, "an index")
         if NULL in (v.type, i.type):
             return null()
         if v.type.kind != "list" or i.type != INT:
@@ -139,6 +142,7 @@ class Expressions:
     def _slice(v: Value, low: Value | None, high: Value | None) -> Value:
         if v.type == NULL or low and low.type == NULL or high and high.type == NULL:
             return null(v.type)
+        v = as_list(v, "a slice")
         if v.type.kind != "list" or any(x and x.type != INT for x in (low, high)):
             raise CypherTypeError("a slice takes a list and integers")
         n = F.size(v.col).cast("long")
@@ -156,6 +160,7 @@ class Expressions:
     def _comprehension(self, var, source: Value, where, result, scope, given) -> Value:
         if source.type == NULL:
             return null()
+        source = as_list(source, "a comprehension")
         if source.type.kind != "list":
             raise CypherTypeError("a comprehension takes a list")
         t = source.type.item
@@ -178,6 +183,7 @@ class Expressions:
     def _quantifier(self, kind, var, source: Value, where, scope, given) -> Value:
         if source.type == NULL:
             return null(BOOL)
+        source = as_list(source, kind)
         if source.type.kind != "list":
             raise CypherTypeError(f"{kind} takes a list")
         test = lambda x: comparison.truth(self.value(where, {**scope, var: Bound(Value(x, source.type.item))}, given))
@@ -230,4 +236,6 @@ def field(v: Value, key: str) -> Value:
     if v.type.entity:
         t = v.type.field(key)
         return Value(v.col["props"][key], t) if t else null()
+    if v.type == ANY:
+        return key_of(v, key)
     raise CypherTypeError(f"a {v.type.kind} has no property {key}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -16,7 +17,7 @@ class CypherTypeError(TypeError):
 
 @dataclass(frozen=True)
 class Type:
-    """kind: null, bool, int, float, str, time, any, list, map, node, rel, path; any: one of `SCALARS`, told row by row."""
+    """kind: null, bool, int, float, str, time, any, list, map, node, rel, path; any: one of `SCALARS`, a list or a map, told row by row."""
 
     kind: str
     item: "Type | None" = None
@@ -36,8 +37,9 @@ class Type:
 
 NULL, BOOL, INT, FLOAT, STR, TIME, PATH, ANY = (Type(k) for k in ("null", "bool", "int", "float", "str", "time", "path", "any"))
 
-#: A value of any is a struct of these, of which one is not null.
+#: A value of any is a struct of these and of a list or map as JSON; one of them is not null.
 SCALARS = {"as_bool": BOOL, "as_int": INT, "as_float": FLOAT, "as_str": STR}
+NESTED = "as_json"
 
 
 def list_of(item: Type) -> Type:
@@ -73,7 +75,7 @@ def spark_type(t: Type) -> T.DataType:
         case "time":
             return T.TimestampNTZType()
         case "any":
-            return T.StructType([T.StructField(k, spark_type(x)) for k, x in SCALARS.items()])
+            return T.StructType([*(T.StructField(k, spark_type(x)) for k, x in SCALARS.items()), T.StructField(NESTED, T.StringType())])
         case "list":
             return T.ArrayType(spark_type(t.item))
         case "map":
@@ -99,7 +101,7 @@ def type_of(d: T.DataType) -> Type:
         return TIME
     if isinstance(d, T.ArrayType):
         return list_of(type_of(d.elementType))
-    if isinstance(d, T.StructType) and d.fieldNames() == list(SCALARS):
+    if isinstance(d, T.StructType) and d.fieldNames() == [*SCALARS, NESTED]:
         return ANY
     if isinstance(d, T.StructType):
         return Type("map", fields=tuple((f.name, type_of(f.dataType)) for f in d.fields))
@@ -127,7 +129,7 @@ def common(a: Type, b: Type, what: str = "values") -> Type:
     if a.kind == b.kind and a.kind in ("map", "node", "rel"):
         keys = dict.fromkeys([k for k, _ in a.fields] + [k for k, _ in b.fields])
         return Type(a.kind, fields=tuple((k, common(a.field(k) or NULL, b.field(k) or NULL, what)) for k in keys))
-    if {a.kind, b.kind} <= {"any", *(x.kind for x in SCALARS.values())}:
+    if {a.kind, b.kind} <= {"any", "list", "map", *(x.kind for x in SCALARS.values())}:
         return ANY
     raise CypherTypeError(f"{what} of types {a.kind} and {b.kind} do not mix")
 
@@ -143,7 +145,9 @@ def convert(v: Value, t: Type) -> Value:
     if v.type.kind == "null":
         return Value(F.lit(None).cast(spark_type(t)), t, True, None)
     if t == ANY:
-        return Value(F.when(v.col.isNotNull(), F.struct(*[(v.col if x == v.type else F.lit(None).cast(spark_type(x))).alias(k) for k, x in SCALARS.items()])), ANY)
+        arms = [(v.col if x == v.type else F.lit(None).cast(spark_type(x))).alias(k) for k, x in SCALARS.items()]
+        nested = json_text(v) if v.type.kind in ("list", "map") else F.lit(None).cast("string")
+        return Value(F.when(v.col.isNotNull(), F.struct(*arms, nested.alias(NESTED))), ANY)
     if t.kind == "list":
         return Value(F.transform(v.col, lambda x: convert(Value(x, v.type.item), t.item).col), t)
     if t.kind in ("map", "node", "rel"):
@@ -157,9 +161,70 @@ def convert(v: Value, t: Type) -> Value:
     return Value(v.col.cast(spark_type(t)), t, v.known, const)
 
 
+def json_text(v: Value) -> Column:
+    """A list or map as JSON with sorted keys; kinds of values are told by how they are written.  NaN and infinities are null."""
+    c, kind = v.col, v.type.kind
+    if kind == "null":
+        return F.lit("null")
+    if kind in ("bool", "int"):
+        out = c.cast("string")
+    elif kind == "float":
+        out = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c.cast("string"))
+    elif kind in ("str", "time"):
+        out = F.regexp_extract(F.to_json(F.array(c.cast("string"))), r"(?s)^\[(.*)\]$", 1)
+    elif kind == "any":
+        out = F.coalesce(c[NESTED], *[F.when(c[k].isNotNull(), json_text(Value(c[k], t))) for k, t in SCALARS.items()])
+    elif kind == "list":
+        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: json_text(Value(x, v.type.item))), ","), F.lit("]"))
+    elif kind == "map":
+        parts = [F.concat(F.lit(json.dumps(k) + ":"), json_text(Value(c[k], t))) for k, t in sorted(v.type.fields)]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    else:
+        raise CypherTypeError(f"a {kind} does not mix with other kinds in a list or map")
+    return F.when(c.isNotNull(), F.coalesce(out, F.lit("null"))).otherwise("null")
+
+
+def _of_variant(x: Column) -> Column:
+    """A parsed JSON value as one of any."""
+    kind = F.schema_of_variant(x)
+    number = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    arms = {"as_bool": (kind == "BOOLEAN", "boolean"), "as_int": (kind == "BIGINT", "bigint"), "as_float": (number, "double"), "as_str": (kind == "STRING", "string")}
+    cols = [F.when(some, F.try_variant_get(x, "$", t)).alias(k) for k, (some, t) in arms.items()]
+    nested = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(x))
+    return F.when(kind != "VOID", F.struct(*cols, nested.alias(NESTED)))
+
+
+def holds_list(c: Column) -> Column:
+    return F.coalesce(c[NESTED].startswith("["), F.lit(False))
+
+
+def elements(c: Column) -> Column:
+    """The elements of the list that a value of any holds, as values of any; null if it holds none."""
+    return F.when(holds_list(c), F.transform(F.try_variant_get(F.parse_json(c[NESTED]), "$", "array<variant>"), _of_variant))
+
+
+def as_list(v: Value, what: str) -> Value:
+    """A value of any as the list that it must hold; others as they are."""
+    if v.type != ANY:
+        return v
+    wrong = F.raise_error(F.lit(f"{what} takes a list")).cast(spark_type(list_of(ANY)))
+    return Value(F.when(v.col.isNotNull() & ~holds_list(v.col), wrong).otherwise(elements(v.col)), list_of(ANY))
+
+
+def key_of(v: Value, key: str) -> Value:
+    """What the map that a value of any must hold has under a key."""
+    is_map = F.coalesce(v.col[NESTED].startswith("{"), F.lit(False))
+    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
+    wrong = F.raise_error(F.lit(f"only a map or an entity has a {key}")).cast(spark_type(ANY))
+    found = F.try_variant_get(F.parse_json(v.col[NESTED]), f"$['{quoted}']", "variant")
+    return Value(F.when(v.col.isNotNull() & ~is_map, wrong).when(is_map & found.isNotNull(), _of_variant(found)), ANY)
+
+
 def plain(x: Any) -> Any:
     """A collected value with those of any as the Python values that they hold."""
-    if hasattr(x, "asDict") and list(x.asDict()) == list(SCALARS):
+    if hasattr(x, "asDict") and list(x.asDict()) == [*SCALARS, NESTED]:
+        if x[NESTED] is not None:
+            return json.loads(x[NESTED])
         return next((v for v in x if v is not None), None)
     return [plain(y) for y in x] if isinstance(x, list) else x
 
@@ -180,7 +245,7 @@ def literal(x: Any) -> Value:
         return Value(F.lit(x), STR, True, x)
     if hasattr(x, "asDict"):
         fields = set(x.asDict())
-        if fields == set(SCALARS):
+        if fields == {*SCALARS, NESTED}:
             return literal(plain(x))
         if fields in ({"id", "labels", "props"}, {"id", "type", "src", "dst", "props"}):
             return _entity(x)

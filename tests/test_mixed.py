@@ -25,6 +25,39 @@ def test_table(spark):
     assert [(e, plain(got)) for (e, _), got in zip(TABLE, row)] == [(e, want) for e, want in TABLE]
 
 
+M = "[1, [2, 'b'], {k: 3, l: [4, null]}, 'z']"
+NESTED = [
+    ("[1, [2]]", [1, [2]]), (M, [1, [2, "b"], {"k": 3, "l": [4, N]}, "z"]), (f"{M}[1]", [2, "b"]), (f"{M}[1][1]", "b"), (f"{M}[2].k", 3), (f"{M}[2].l[0]", 4), (f"{M}[2]['l'][1]", N), (f"{M}[2].none", N),
+    (f"size({M}[1])", 2), (f"head({M}[1])", 2), (f"{M}[1][0] + 1", 3.0), (f"{M}[1] = [2, 'b']", T), (f"{M}[1] = [2.0, 'b']", T), (f"{M}[1] = [2, 'c']", F), (f"{M}[1] = 2", F), ("[1, [2, null]][1] = [2, null]", N), ("[1, [2, null]][1] = [3, null]", F),
+    (f"[2, 'b'] IN {M}", T), (f"'b' IN {M}[1]", T), (f"[x IN {M}[1] WHERE x = 'b']", ["b"]), (f"any(x IN {M}[1] WHERE x > 1)", T), (f"{M}[1][0..1]", [2]), ("CASE WHEN true THEN 1 ELSE [1] END", 1), ("CASE WHEN false THEN 1 ELSE [1.5, 'q\\'s \"'] END", [1.5, "q's \""]),
+    ("coalesce(null, [1, {a: true}], 5)", [1, {"a": T}]), ("[1, [2]][1] < 3", N), ("['a,1.0]', ['b']][0]", "a,1.0]"), ("size([[1, 'x'], 5][0])", 2), ("[[], 0][0]", []), ("[{}, 0][0] IS NULL", F),
+]
+
+
+def test_nested(spark):
+    deep = lambda x: [deep(y) for y in plain(x)] if isinstance(plain(x), list) else plain(x)
+    row = GraphSession(spark, Graph()).query("RETURN " + ", ".join(f"{e} AS c{j}" for j, (e, _) in enumerate(NESTED))).first()
+    assert [(e, deep(got)) for (e, _), got in zip(NESTED, row)] == [(e, want) for e, want in NESTED]
+
+
+def test_properties_of_any_shape(spark):
+    g = GraphSession(spark)
+    g.query("CREATE (:B {id: 1, v: [1]}), (:B {id: 2, v: 5}), (:B {id: 3, v: {a: [1, 'x']}}), (:B {id: 4, v: ['x', 2]}), (:B {id: 5, v: [1]}), (:B {id: 6})")
+    values = {r["id"]: plain(r["v"]) for r in g.query("MATCH (b:B) RETURN b.id AS id, b.v AS v").collect()}
+    assert values == {1: [1], 2: 5, 3: {"a": [1, "x"]}, 4: ["x", 2], 5: [1], 6: None}
+    ids = lambda where: sorted(r[0] for r in g.query(f"MATCH (b:B) WHERE {where} RETURN b.id AS id").collect())
+    assert ids("b.v = [1]") == [1, 5] and ids("b.v = 5") == [2] and ids("b.v > 4") == [2] and ids("b.v IN [[1], 5]") == [1, 2, 5] and ids("b.v <> [1]") == [2, 3, 4]
+    assert ids("b.id <> 2 AND b.id <> 3 AND size(b.v) = 2") == [4]
+    assert g.query("MATCH (b:B) RETURN count(DISTINCT b.v) AS n").first()["n"] == 4
+    assert [r[0] for r in g.query("MATCH (b:B) RETURN b.id AS id ORDER BY b.v, id").collect()] == [3, 4, 1, 5, 2, 6]
+    got = g.query("MATCH (b:B {id: 4}) UNWIND b.v AS x RETURN x").collect()
+    assert [plain(r[0]) for r in got] == ["x", 2]
+    g.query("MATCH (b:B {id: 6}) SET b.v = $v", {"v": [1, [2, "deep"]]})
+    assert plain(g.query("MATCH (b:B {id: 6}) RETURN b.v[1][1] AS v").first()["v"]) == "deep"
+    union = g.query("RETURN 1 AS x UNION RETURN [1] AS x UNION RETURN {a: 1} AS x")
+    assert sorted((plain(r[0]) for r in union.collect()), key=str) == [1, [1], {"a": 1}]
+
+
 @pytest.mark.parametrize("e", ["-['a', 1][x]", "['a', 1][x] * 2", "NOT ['a', 1][x]", "abs(['a', 1][x])"])
 def test_values_without_meaning(spark, e):
     from pyspark.errors import PySparkException

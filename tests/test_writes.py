@@ -162,15 +162,15 @@ def test_import(spark):
     assert r.rows == 100 and rows(g, "MATCH (n:N) RETURN count(*), sum(n.k)") == [(125, 300 + 14950)]
 
 
-def test_property_types_widen_or_clash(spark):
+def test_property_types_widen(spark):
     g = GraphSession(spark)
     g.query("CREATE (:A {k: 1, l: []})")
     g.query("CREATE (:A {k: 2.5, l: ['x']})")
     assert sorted(rows(g, "MATCH (a:A) RETURN a.k")) == [(1.0,), (2.5,)]
     g.query("CREATE (:A {k: 'x'})")
     assert g.query("MATCH (a:A) WHERE a.k = 'x' OR a.k = 1 RETURN count(*) AS n").first()["n"] == 2
-    with pytest.raises(CypherTypeError):
-        g.query("CREATE (:A {k: [1]})")
+    g.query("CREATE (:A {k: [1]})")
+    assert sorted((str(plain(r[0])) for r in rows(g, "MATCH (a:A) RETURN a.k"))) == ["1.0", "2.5", "[1]", "x"]
 
 
 def test_entities_as_parameters_backup_and_canonical_rows(spark, tmp_path):
