@@ -46,10 +46,10 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import BROADCAST_BYTES, estimated_bytes, stored, unused
 from .superkmers import _pack, _unpack
-from .text import BASE, NOT_SPACE, U64, Words, buffers, grams, mix, runs, spans
+from .text import BASE, NOT_SPACE, U64, Words, buffers, grams, mix, release, runs, spans
 
 CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
-FLUSH = 1_500_000
+FLUSH = 750_000
 
 
 class Bands:
@@ -280,6 +280,7 @@ def _sign(buckets: int, k: int, threshold: Fraction, key_bits: int):
                 if held.size >= FLUSH:
                     yield from blobs(held)
         yield from blobs(held)
+        release()
 
     return run
 
@@ -315,6 +316,13 @@ def _meet(blobs: list[bytes], bucket: int) -> tuple[np.ndarray, np.ndarray, np.n
     return key, _short(sig, np.full(len(sig), bucket)), role
 
 
+def _blobs(batch: pa.RecordBatch, column: str) -> Iterator[tuple]:
+    """(bucket, value of the column, blob) of the rows that have a blob; blobs are not copied."""
+    bucket, other, blob = batch.column("bucket"), batch.column(column), batch.column("blob")
+    for i in np.flatnonzero(blob.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        yield bucket[i].as_py(), other[i].as_py(), blob[i].as_buffer()
+
+
 def _share():
     def shown(key: np.ndarray, sig: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(key), 100_000):
@@ -329,8 +337,7 @@ def _share():
             n = plain.num_rows
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), *(plain.column(c) for c in MEMBER), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=S2)
-            sent = batch.filter(batch.column("blob").is_valid())
-            for b, met, blob in zip(sent.column("bucket").to_pylist(), sent.column("met").to_pylist(), sent.column("blob").to_pylist()):
+            for b, met, blob in _blobs(batch, "met"):
                 if met:
                     key, role, sig = _unpack(blob, MET)
                     yield from shown(key, sig, role)
@@ -342,6 +349,8 @@ def _share():
                 held.append(blob)
         if held:
             yield from shown(*_meet(held, now))
+        del held
+        release()
 
     return run
 
@@ -405,6 +414,8 @@ def _scatter(buckets: int):
                     keys, sets, size = [], [], 0
         if sets:
             yield from flush(keys, sets)
+        del keys, sets
+        release()
 
     return run
 
@@ -431,8 +442,7 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         plain = batch.filter(batch.column("blob").is_null())
         yield pa.RecordBatch.from_arrays([plain.column("class"), plain.column("shared")], schema=COUNTED)
-        sent = batch.filter(batch.column("blob").is_valid())
-        for b, blob in zip(sent.column("bucket").to_pylist(), sent.column("blob").to_pylist()):
+        for b, _, blob in _blobs(batch, "bucket"):
             if b != now:
                 if held:
                     yield done(held)
@@ -440,6 +450,8 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             held.append(blob)
     if held:
         yield done(held)
+    del held
+    release()
 
 
 def link(keys: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
@@ -624,7 +636,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    buckets = max(32, estimated_bytes(documents, text_col) // 4 // bucket_signatures)
+    buckets = max(32, estimated_bytes(documents, text_col) * 3 // 4 // bucket_signatures)  # a byte of a file makes up to 0.7 signatures
     sent = docs.mapInArrow(_sign(buckets, k, threshold, key_bits), S1_SQL)
     met = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share(), S2_SQL), "signatures")
     members = met.where("not shared").select(*MEMBER)

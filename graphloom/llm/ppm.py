@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import FOLD, buffers, spans
+from .text import FOLD, buffers, release, spans
 
 CHUNK = 1 << 20
 
@@ -143,6 +143,8 @@ def _count(order: int):
                 part = both[a : a + 50_000]
                 grams = [int(c).to_bytes(order + 1, "big") for c in part["c"].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(grams, pa.binary()), pa.array(part["n"])], schema=out)
+        totals.clear()
+        release()
 
     return run
 
@@ -200,6 +202,7 @@ def _score(model):
                 raw, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 langs, scores, means = classify(m, raw, at, letters)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(langs, pa.string()), pa.array(scores), pa.array(means)], schema=out)
+        release()
 
     return run
 
@@ -263,5 +266,6 @@ def keep_identified(documents: DataFrame, model: Model, *, least: float = 0.5, t
                 langs, scores, _ = classify(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], letters)
                 keep[i:j] = (np.array(langs, object) != "und") & (scores >= least)
             yield batch.filter(pa.array(keep))
+        release()
 
     return documents.mapInArrow(run, documents.schema)

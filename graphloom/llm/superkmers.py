@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import estimated_bytes, stored
-from .text import NOT_SPACE, U64, Words, _powers, buffers, equal_ranges, gather, grams, mix, runs, sliding_min, spans, union_of
+from .text import NOT_SPACE, U64, Words, _powers, buffers, equal_ranges, gather, grams, mix, release, runs, sliding_min, spans, union_of
 
 CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
 FLUSH = 24 << 20
@@ -181,6 +181,7 @@ def _cut(buckets: int, k: int, m: int, frequent):
                 if held.bytes >= FLUSH:
                     yield from emit(held)
         yield from emit(held)
+        release()
 
     return run
 
@@ -254,6 +255,8 @@ def _count(k: int):
                     held, now = [], b
                 held.append(blob)
         yield from done(held)
+        del held
+        release()
 
     return run
 

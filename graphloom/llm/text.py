@@ -6,6 +6,7 @@ word.  Texts are taken in chunks of a few MB, never cut.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -106,6 +107,15 @@ def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndar
     return out
 
 
+def release() -> None:
+    """Give memory that is not used back to the system: workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
