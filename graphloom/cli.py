@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import os
+import shlex
+import subprocess
 import sys
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +17,16 @@ from .session import GraphSession
 from .sources.trade import trade_graph
 from .types import plain
 
-HELP = "Queries end with a semicolon.  STREAM before a query follows it.  :explain QUERY  :help  :quit"
+HELP = "Queries end with a semicolon.  STREAM before a query follows it.  :explain QUERY  :edit (the last query, in $EDITOR)  :help  :quit"
 
 
 def table(df: DataFrame, most: int = 1000) -> str:
-    rows = [df.columns, *[["null" if v is None else str(v) for v in map(plain, r)] for r in df.limit(most).collect()]]
+    found = df.limit(most + 1).collect()
+    rows = [df.columns, *[["null" if v is None else str(v) for v in map(plain, r)] for r in found[:most]]]
     if not df.columns:
         return "done"
     width = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
-    return "\n".join(" | ".join(v.ljust(w) for v, w in zip(r, width)).rstrip() for r in rows) + f"\n({len(rows) - 1} rows)"
+    return "\n".join(" | ".join(v.ljust(w) for v, w in zip(r, width)).rstrip() for r in rows) + (f"\n(the first {most} rows)" if len(found) > most else f"\n({len(found)} rows)")
 
 
 def run(session: GraphSession, text: str, out=print) -> None:
@@ -42,21 +47,38 @@ def run(session: GraphSession, text: str, out=print) -> None:
         out(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
 
 
+def edited(text: str) -> str:
+    """text as it comes back from the editor of the environment."""
+    with tempfile.NamedTemporaryFile("w+", suffix=".cypher") as f:
+        f.write(text)
+        f.flush()
+        subprocess.run([*shlex.split(os.environ.get("EDITOR", "vi")), f.name], check=True)
+        f.seek(0)
+        return open(f.name).read()
+
+
 def loop(session: GraphSession, lines: Iterable[str], out=print) -> None:
-    held = ""
+    held = last = ""
     for line in lines:
         word = line.strip()
         if not held and word == ":quit":
             return
         if not held and word == ":help":
             out(HELP)
+        elif not held and word == ":edit":
+            try:
+                last = edited(last)
+            except (OSError, subprocess.CalledProcessError) as e:
+                out(f"{type(e).__name__}: {e}")
+                continue
+            run(session, last, out)
         elif not held and word.startswith(":"):
             run(session, word, out)
         else:
             held += line
             if word.endswith(";"):
                 run(session, held, out)
-                held = ""
+                held, last = "", held
     if held.strip():
         run(session, held, out)
 

@@ -72,12 +72,20 @@ class GraphSession:
             df = _run(Writer(self.spark, self.source.snapshot(), _params(params), self.strict), q)
         return limited(df, max_rows)
 
-    def explain(self, text: str) -> str:
-        """The operators of a query, as a tree of text."""
+    def explain(self, text: str, params: Mapping[str, object] | None = None, *, plan: bool = False) -> str:
+        """The operators of a query, as a tree of text; with `plan`, also the plan that Spark runs for a read.
+
+        A seek by an indexed key is a filter on a table that is laid out by the
+        key: the plan shows it among the pushed filters of the scan.
+        """
         q = parse(text)
         analyse(q)
         indexes = {} if isinstance(self.source, Graph) else self.source.snapshot().indexes
-        return explain(q, set(indexes.values()))
+        tree = explain(q, set(indexes.values()))
+        if not plan or q.writes:
+            return tree
+        df = self.query(text.removeprefix("STREAM "), params)
+        return f"{tree}\n\n{df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), 'formatted')}"
 
     def update(self, change: Callable[["Transaction"], object], attempts: int = 10):
         """Run change(tx) and commit; if another writer came first, run it again on the new version."""

@@ -132,7 +132,7 @@ def test_many_batches_are_merged_and_limits_end_a_query(spark, monkeypatch):
     assert isinstance(live.error, ResultLimitError)
 
 
-def test_background_and_rejections(spark):
+def test_background_and_rejections(spark, monkeypatch):
     g = GraphSession(spark)
     g.query("CREATE (:P {n: 1})")
     got = []
@@ -150,6 +150,12 @@ def test_background_and_rejections(spark):
             g.subscribe(q)
     with pytest.raises(StreamQueryError):
         g.query("STREAM MATCH (p:P) RETURN p.n")
+    assert cli.table(spark.range(5), 3).splitlines()[-1] == "(the first 3 rows)" and cli.table(spark.range(3), 3).splitlines()[-1] == "(3 rows)"
+    monkeypatch.setenv("EDITOR", "sed -i s/old/new/")
+    shown = []
+    cli.loop(g, ["RETURN 'old' AS x;\n", ":edit\n"], shown.append)
+    assert ["old" in shown[0], "new" in shown[1]] == [True, True]
+    assert "PushedFilters" in g.explain("MATCH (p:P) WHERE p.n = 1 RETURN p.n AS n", plan=True)
     out = []
     cli.loop(g, ["MATCH (p:P)\n", "RETURN p.n AS n ORDER BY n;\n", ":explain MATCH (p) RETURN p\n", "BAD;\n", "STREAM MATCH (p:P) RETURN p.n;\n", ":quit\n"], out.append)
     assert out[0].startswith("n\n1\n2") and out[1].startswith("Project") and "CypherSyntaxError" in out[2] and out[3:] == ["+ (1,)", "+ (2,)"]
