@@ -78,8 +78,16 @@ def _distribution(counts: list[np.ndarray], escape: np.ndarray) -> np.ndarray:
     return p + left * free / max(1, free.sum())
 
 
-def build(counts: list[tuple[str, bytes, int]], order: int, least: int = 2) -> Model:
-    """The model of (language, order + 1 bytes, count) triples.  Contexts seen fewer than `least` times are merged into the next shorter one."""
+#: What a model's table of code lengths may take, in bytes.
+MOST_BYTES = 256 << 20
+
+
+def build(counts: list[tuple[str, bytes, int]], order: int, least: int = 2, max_bytes: int = MOST_BYTES) -> Model:
+    """The model of (language, order + 1 bytes, count) triples.
+
+    Contexts seen fewer than `least` times are merged into the next shorter
+    one; least doubles until the table of code lengths fits max_bytes.
+    """
     langs = sorted({c[0] for c in counts})
     trees: dict[str, list[dict[bytes, np.ndarray]]] = {}
     seen = np.zeros(256, bool)
@@ -95,12 +103,17 @@ def build(counts: list[tuple[str, bytes, int]], order: int, least: int = 2) -> M
     byte_of = np.flatnonzero(seen)
     n = len(byte_of) + 1
     # A context counts as one of its own if any language has seen it often enough.
-    known: list[dict[bytes, int]] = []
-    number = 0
-    for k in range(order + 1):
-        often = sorted({c for lang in langs for c, v in trees[lang][k].items() if v.sum() >= least or k == 0} | ({b""} if k == 0 else set()))
-        known.append({c: number + i for i, c in enumerate(often)})
-        number += len(often)
+    sums = [[(c, v.sum()) for lang in langs for c, v in trees[lang][k].items()] for k in range(order + 1)]
+    while True:
+        known: list[dict[bytes, int]] = []
+        number = 0
+        for k in range(order + 1):
+            often = sorted({c for c, v in sums[k] if v >= least or k == 0} | ({b""} if k == 0 else set()))
+            known.append({c: number + i for i, c in enumerate(often)})
+            number += len(often)
+        if number * n * 4 * len(langs) <= max_bytes or number == 1:
+            break
+        least *= 2
     cost = np.zeros((len(langs), number * n), np.float32)
     for q, lang in enumerate(langs):
         tree = trees[lang]
@@ -164,12 +177,13 @@ def _merge(codes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 3, sample_rows: int = 3000) -> Model:
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 3, sample_rows: int = 3000, max_bytes: int = MOST_BYTES) -> Model:
     """Fit on about `sample_rows` whole texts of each language, chosen by a hash of id and text.
 
     sample_rows bounds what training reads of a language and what the driver
     gets: the counts of at most that many texts' (order + 1)-grams.  Rows with
     a null text or language teach nothing.  No labelled row: no language.
+    max_bytes bounds the model, which is broadcast.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).where("lang is not null and text is not null")
     share = {r["lang"]: sample_rows / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -181,7 +195,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         chosen = chosen | ((F.col("lang") == lang) & (draw < p))
     counts = rows.where(chosen).select("lang", "text").mapInArrow(_count(order), "lang string, gram binary, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return build([(r["lang"], bytes(r["gram"]), r["n"]) for r in counts.toLocalIterator()], order)
+    return build([(r["lang"], bytes(r["gram"]), r["n"]) for r in counts.toLocalIterator()], order, max_bytes=max_bytes)
 
 
 #: Nats of difference in a byte's mean code length, over this many bytes at most, make the score.

@@ -267,6 +267,16 @@ def test_signs_beyond_ascii_are_no_letters(spark):
     assert {r["doc_id"] for r in ppm.keep_identified(docs, model, least=0).collect()} == set(range(len(signs), len(signs) + len(letters)))
 
 
+def test_a_model_has_a_bound(spark):
+    docs = files(spark, "documents")
+    small = ppm.train(docs, max_bytes=200_000)
+    assert small.cost.nbytes <= 200_000 < ppm.train(docs).cost.nbytes
+    got = ppm.identify(docs, small).join(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("want")), "id").where("lang <> 'und' and want is not null")
+    assert got.where("lang = want").count() >= 0.9 * got.count() > 0
+    one = ppm.train(docs, max_bytes=1)
+    assert len(one.cost[0]) == one.n
+
+
 def test_code_lengths_are_those_of_ppm():
     """Every distribution sums to one, and bits are the sum of escapes and symbols of method C with exclusion."""
     text = b"abracadabra"
