@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import Scratch, stored
 
 
 def _end(name: str) -> Column:
@@ -41,12 +41,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Edges with a null end are ignored; loops and repeated edges change nothing.
     """
-    maps = rounds(edges, a, b)
-    if not maps:
-        return edges.select(F.col(a).alias("node"), F.col(a).alias("component")).where(F.lit(False))
-    found = maps.pop()
-    while maps:
-        step = found.toDF("low", "to")
-        found = stored(maps.pop().join(step, "low", "left").select("x", F.coalesce("to", "low").alias("low")), "labels")
-    names = found.groupBy("low").agg(F.min("x.n").alias("component"))
-    return stored(found.join(names, "low").select(F.col("x.n").alias("node"), "component"), "components")
+    with Scratch(edges.sparkSession) as scratch:
+        maps = rounds(edges, a, b)
+        if not maps:
+            return edges.select(F.col(a).alias("node"), F.col(a).alias("component")).where(F.lit(False))
+        found = maps.pop()
+        while maps:
+            step = found.toDF("low", "to")
+            found = stored(maps.pop().join(step, "low", "left").select("x", F.coalesce("to", "low").alias("low")), "labels")
+        names = found.groupBy("low").agg(F.min("x.n").alias("component"))
+        out = stored(found.join(names, "low").select(F.col("x.n").alias("node"), "component"), "components")
+        scratch.keep(out)
+    return out

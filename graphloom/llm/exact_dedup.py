@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, stored
+from .shared import BROADCAST_BYTES, Scratch, stored
 
 
 def normalised(text: Column) -> Column:
@@ -137,11 +137,13 @@ def exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     sha = F.sha2(text, 256)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), sha.alias("sha"), F.substring(F.unhex(sha), 1, digest_bits // 8).alias("digest"))
     rows = stored(rows, "digests")
-    index = Index(fanout=memtables + 1)
-    turn = F.pmod(F.xxhash64("id"), F.lit(memtables))
-    for i in range(memtables):
-        index.flush(rows.where(turn == i).select("id", "digest"))
-    hits = stored(index.hits(), "groups")
+    with Scratch(documents.sparkSession) as scratch:
+        index = Index(fanout=memtables + 1)
+        turn = F.pmod(F.xxhash64("id"), F.lit(memtables))
+        for i in range(memtables):
+            index.flush(rows.where(turn == i).select("id", "digest"))
+        hits = stored(index.hits(), "groups")
+        scratch.keep(hits)
     few = hits.count() * 64 <= BROADCAST_BYTES
 
     # Compare the bytes of hits.

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_BYTES, estimated_bytes, stored, unused
+from .shared import BROADCAST_BYTES, Scratch, estimated_bytes, stored, unused
 from .superkmers import _pack, _unpack
 from .text import BASE, NOT_SPACE, U64, Words, buffers, grams, mix, release, runs, spans
 
@@ -634,6 +634,11 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     tells rows of one id apart, group a number for all linked rows (null
     without shingles).  Other columns are not read.
     """
+    with Scratch(documents.sparkSession) as scratch:
+        return _near_duplicates(documents, id_col, text_col, k, threshold, bucket_signatures, task_shingles, key_bits, scratch)
+
+
+def _near_duplicates(documents: DataFrame, id_col: str, text_col: str, k: int, threshold: Fraction, bucket_signatures: int, task_shingles: int, key_bits: int, scratch: Scratch) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
     buckets = max(32, estimated_bytes(documents, text_col) * 3 // 4 // bucket_signatures)  # a byte of a file makes up to 0.7 signatures
@@ -692,6 +697,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     named = classes.join(links.withColumnRenamed("key", "class"), "class", "left").select("class", "low", F.coalesce("label", "class").alias("label"))
     lows = stored(named.groupBy("label").agg(F.min("low").alias("component")), "lows")
     named = stored(named.join(lows, "label").select("class", "component", F.col("label").alias("group")), "named")
+    scratch.keep(met, keys, named)
     alone = F.when(F.col("n") == 0, F.col("id"))
     return members.join(named, "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce(alone, "component").alias("component"), "row", "group")
 

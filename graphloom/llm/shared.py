@@ -59,7 +59,42 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     with _cleaned(spark):
         df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].paths.append((path, out))
+    return out
+
+
+class Scratch:
+    """The tables that are stored inside a `with`; at its end those go that are not kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Tables, as `stored` gave them, that a result still reads."""
+        self.kept += tables
+
+    def __enter__(self) -> "Scratch":
+        _SCRATCH.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _SCRATCH.remove(self)
+        for path, table in self.paths:
+            if kind is None and any(table is k for k in self.kept):
+                if _SCRATCH:
+                    _SCRATCH[-1].paths.append((path, table))
+            else:
+                drop(self.spark, path)
+
+
+_SCRATCH: list[Scratch] = []
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def unused(df: DataFrame, name: str) -> str:

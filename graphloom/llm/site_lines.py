@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, stored, unused
+from .shared import BROADCAST_BYTES, Scratch, stored, unused
 
 #: White space at a line's ends does not tell lines apart.
 BLANKS = " \t\r\f\v"
@@ -48,7 +48,9 @@ def drop_boilerplate(pages: DataFrame, *, host_col: str = "source", text_col: st
     replaced); all other columns stay, whatever their names.
     """
     host, gone = unused(pages, "host_"), unused(pages, "lines_")
-    over = stored(boilerplate_lines(pages, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages).toDF(host, gone), "boilerplate")
+    with Scratch(pages.sparkSession) as scratch:
+        over = stored(boilerplate_lines(pages, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages).toDF(host, gone), "boilerplate")
+        scratch.keep(over)
     size = over.agg(F.sum(60 + 24 * F.size(gone))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         over = F.broadcast(over)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import estimated_bytes, stored
+from .shared import Scratch, estimated_bytes, stored
 from .text import NOT_SPACE, U64, Words, _powers, buffers, equal_ranges, gather, grams, mix, release, runs, sliding_min, spans, union_of
 
 CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
@@ -79,9 +79,10 @@ def frequent_grams(documents: DataFrame, text_col: str, m: int, sample_bytes: in
                 n = np.concatenate(([j - i], n))  # number 0 counts documents
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((np.zeros(1, U64), found)).view(np.int64)), pa.array(n.astype(np.int64))], schema=out)
 
-    counts = stored(texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    n = (counts.where("gram = 0").agg(F.max("n")).first()[0] or 0) * share
-    return np.sort(np.array([r["gram"] for r in counts.where((F.col("gram") != 0) & (F.col("n") > max(n, 8))).toLocalIterator()], np.int64).view(U64))
+    with Scratch(documents.sparkSession):
+        counts = stored(texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+        n = (counts.where("gram = 0").agg(F.max("n")).first()[0] or 0) * share
+        return np.sort(np.array([r["gram"] for r in counts.where((F.col("gram") != 0) & (F.col("n") > max(n, 8))).toLocalIterator()], np.int64).view(U64))
 
 
 def _ordered(g: np.ndarray, frequent: np.ndarray) -> np.ndarray:

@@ -572,6 +572,22 @@ def test_signatures_of_similar_sets_meet():
             assert x in (0, 1) and both >= max(own[large], (own, low)[x][small], 1), (n, len(a), len(b))
 
 
+def test_tables_between_steps_go(spark, tmp_path, monkeypatch):
+    """What a result does not read is deleted, also when a step fails; the result can be read."""
+    from graphloom.llm import shared
+
+    monkeypatch.setattr(shared, "checkpoint_dir", lambda s: str(tmp_path))
+    there = lambda: {p.name.rsplit("-", 1)[0] for p in (tmp_path / "graphloom").iterdir()}
+    docs = spark.createDataFrame([(i, " ".join(words(i % 7, 30))) for i in range(40)], "doc_id long, text string")
+    out = partenum.near_duplicates_report(docs)
+    assert there() == {"signatures", "classes", "named"} and out.groupBy("component_id").count().count() == 7
+    assert exact_dedup.exact_report(docs).where("kept").count() == 7 and there() == {"signatures", "classes", "named", "digests", "groups", "clashes"}
+    with pytest.raises(ZeroDivisionError), shared.Scratch(spark) as scratch:
+        scratch.keep(shared.stored(docs, "failed"))
+        1 / 0  # noqa: B018
+    assert "failed" not in there() and shared._SCRATCH == []
+
+
 # 9. Packing.
 
 
