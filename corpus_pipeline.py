@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import packing, partenum, ppm, site_lines, winnowing
-from graphloom.llm.shared import stored
+from graphloom.llm.shared import Scratch, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +70,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written and read again."""
+    """All stages over the documents of sf_dir, each written and read again; what the last does not read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    with Scratch(spark) as outputs:
+        for name, stage in STAGES[:-1]:
+            with Scratch(spark) as steps:
+                docs = stored(stage(spark, docs, sf_dir), name)
+                steps.keep(docs)
+        outputs.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
