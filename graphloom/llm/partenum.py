@@ -726,3 +726,17 @@ def near_duplicates_report(documents: DataFrame, **options) -> DataFrame:
     """The columns of the contract."""
     r = near_duplicates(documents, **options)
     return r.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+#: The same for DuckDB.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS k FROM d, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) t(i)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b USING (k) WHERE a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+m(x, y) AS (SELECT r, r FROM d UNION SELECT m.x, e.y FROM m JOIN e ON e.x = m.y)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, CASE WHEN any_value(n.n) IS NULL THEN d.doc_id ELSE min(o.doc_id) END AS component_id
+FROM d JOIN m ON m.x = d.r JOIN d o ON o.r = m.y LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
+"""

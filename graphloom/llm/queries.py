@@ -76,4 +76,4 @@ def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_redirects, op2_extendible_hashing, op3_site_lines, op4_ppm, op5_budgeted_windows, op6_winnowing, op7_lsm_index, op8_partenum, op9_balanced_packing, op10_super_kmers, url_alias_chains, sharding_small_limit)}
 
-SQL: dict[str, str] = {"op1_redirects": url_filters.SQL, "op2_extendible_hashing": sharding.SQL, "op3_site_lines": site_lines.SQL, "op7_lsm_index": exact_dedup.SQL, "url_alias_chains": url_filters.CHAINED_SQL, "sharding_small_limit": sharding.LIMITED_SQL.replace("@LIMIT", str(128 << 10))}
+SQL: dict[str, str] = {"op1_redirects": url_filters.SQL, "op2_extendible_hashing": sharding.SQL, "op3_site_lines": site_lines.SQL, "op6_winnowing": winnowing.SQL, "op7_lsm_index": exact_dedup.SQL, "op8_partenum": partenum.SQL, "op10_super_kmers": superkmers.SQL, "url_alias_chains": url_filters.CHAINED_SQL, "sharding_small_limit": sharding.LIMITED_SQL.replace("@LIMIT", str(128 << 10))}

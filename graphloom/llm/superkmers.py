@@ -330,3 +330,17 @@ def repeats_report(documents: DataFrame, **options) -> DataFrame:
     """The digest of the contract: one row per document."""
     r = remove_repeats(documents, **options)
     return r.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The same for DuckDB.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT r, id, i, array_to_string(w[i:i + 12], ' ') AS k FROM d, unnest(range(1, len(w) - 11)) t(i)),
+f AS (SELECT k, min(id) AS low FROM n GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT r, p FROM (SELECT r, i FROM n JOIN f USING (k) WHERE low < id), unnest(range(i, i + 13)) t(p)),
+a AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) t(p)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM a ANTI JOIN g USING (r, p) GROUP BY r),
+c AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN c USING (r)
+"""

@@ -379,3 +379,18 @@ def brute_force(documents: list[tuple], items: list[tuple], window: int = 10) ->
                     names |= own
         out.append((doc, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+#: The same for DuckDB.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+q AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM s, unnest(range(1, len(w) - n + 2)) t(i)),
+p AS (SELECT r, i, l.n, array_to_string(w[i:i + l.n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM q) l, unnest(range(1, len(w) - l.n + 2)) t(i)),
+h AS (SELECT r, i, n, item FROM p JOIN q USING (k, n)),
+c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT r, i, n FROM h), unnest(range(i, i + n)) t(x) GROUP BY r),
+o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN o USING (r)
+"""
