@@ -114,3 +114,28 @@ def test_shortest_paths_against_brute_force(spark):
                         ways[b] += ways[u]
         want |= {(s, t): (far[t], ways[t]) for t in far if t != s}
     assert got == want
+
+
+@pytest.mark.parametrize("pattern, most", [("-[:E*]->", 99), ("<-[:E*..3]-", 3), ("-[:E*..4]-", 4), ("-[:E*..2]->", 2)])
+def test_one_shortest_path_is_one(spark, pattern, most):
+    """Its ends, its length, and that each step is a relationship, whatever side the search went from."""
+    rng = random.Random(8)
+    n = 14
+    edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(18)})
+    g = Graph().add_nodes("V", spark.createDataFrame([(i,) for i in range(n)], "k long"), "k")
+    g.add_rels("E", spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(edges)], "id long, a long, b long"), ("V", "a"), ("V", "b"), "id", {"a": "a", "b": "b"})
+    steps = set(edges) if pattern.endswith(">") else {(b, a) for a, b in edges} if pattern.startswith("<") else set(edges) | {(b, a) for a, b in edges}
+    q = f"MATCH (a:V), (b:V) WHERE a.k < 9 OR b.k = 3 MATCH p = shortestPath((a){pattern}(b)) RETURN a.k AS a, b.k AS b, [x IN nodes(p) | x.k] AS via, [r IN relationships(p) | [r.a, r.b]] AS rels"
+    got = {r[:2]: r[2:] for r in rows(GraphSession(spark, g), q)}
+    far = {}
+    for s in range(n):
+        level, seen, d = {s}, {s}, 0
+        while level and d < most:
+            d += 1
+            level = {y for x, y in steps if x in level} - seen
+            seen |= level
+            far |= {(s, y): d for y in level}
+    assert set(got) == {(s, t) for s, t in far if s < 9 or t == 3}
+    for (s, t), (via, rels) in got.items():
+        assert (via[0], via[-1], len(via) - 1, len(rels)) == (s, t, far[s, t], far[s, t])
+        assert all((x, y) in steps and sorted((x, y)) == sorted(r) for x, y, r in zip(via, via[1:], rels))
