@@ -208,7 +208,7 @@ def _prints(k: int, lengths: list[int], bitmap):
     out = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("print", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bitmap.value, bitorder="little").view(bool)
+        bits: np.ndarray = bitmap.value
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             rows = batch.column("row").to_numpy()
@@ -220,7 +220,8 @@ def _prints(k: int, lengths: list[int], bitmap):
                     f = fingerprints(h, n, k)
                     if not len(f):
                         continue
-                    at = np.flatnonzero(bits[(f & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)])
+                    place = f & np.uint64((1 << BITMAP_BITS) - 1)
+                    at = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
                     at = at[doc[at] == doc[at + n - 1]]
                     order = np.lexsort((f[at], doc[at]))
                     f, d = f[at][order], doc[at][order]
