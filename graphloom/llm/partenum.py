@@ -49,7 +49,7 @@ from .superkmers import _pack, _unpack
 from .text import BASE, NOT_SPACE, U64, Words, buffers, grams, mix, release, runs, spans
 
 CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
-FLUSH = 750_000
+FLUSH = 1_200_000
 
 
 class Bands:
@@ -641,7 +641,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 def _near_duplicates(documents: DataFrame, id_col: str, text_col: str, k: int, threshold: Fraction, bucket_signatures: int, task_shingles: int, key_bits: int, scratch: Scratch) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    buckets = max(32, estimated_bytes(documents, text_col) * 3 // 4 // bucket_signatures)  # a byte of a file makes up to 0.7 signatures
+    buckets = max(32, estimated_bytes(documents, text_col) * 3 // 8 // bucket_signatures)
     sent = docs.mapInArrow(_sign(buckets, k, threshold, key_bits), S1_SQL)
     met = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share(), S2_SQL), "signatures")
     members = met.where("not shared").select(*MEMBER)
@@ -708,14 +708,17 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Of rows without shingles all stay; of rows that repeat an id and a text one
     stays; a null id stays only where all of its group are null.
     """
-    rows = stored(near_duplicates(documents, id_col=id_col, text_col=text_col, **options), "groups")
-    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("r")).select("r.id", "r.row")
-    stay = first.unionByName(rows.where("group is null").select("id", "row").distinct()).alias("stay")
+    rows = near_duplicates(documents, id_col=id_col, text_col=text_col, **options).where("group is not null").groupBy("group", "id", "row").agg(F.count("*").alias("n"))
+    rows = stored(rows, "groups")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("r")).select("group", F.col("r.id").alias("to"), F.col("r.row").alias("to_row"))
+    gone = stored(rows.join(first, "group").where("not (id <=> to) or row <> to_row").select("id", "row"), "gone")
+    if gone.count() * 32 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     row = unused(documents, "row_")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = documents.withColumn(row, F.xxhash64(text)).alias("all")
-    kept = kept.join(stay, F.col(f"all.{id_col}").cast("long").eqNullSafe(F.col("stay.id")) & (F.col(f"all.{row}") == F.col("stay.row")), "left_semi")
-    if not rows.where("group is not null").groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    kept = kept.join(gone.alias("gone"), F.col(f"all.{id_col}").cast("long").eqNullSafe(F.col("gone.id")) & (F.col(f"all.{row}") == F.col("gone.row")), "left_anti")
+    if not rows.where("n > 1").isEmpty():
         # Rows that repeat: one of each, by the same key.
         blank = F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")) == 0
         kept = kept.where(~blank).dropDuplicates([id_col, row]).unionByName(kept.where(blank))
