@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import NOT_SPACE, U64, Words, buffers, equal_ranges, gather, hash_ranges, spans
+from .text import NOT_SPACE, U64, Words, buffers, equal_ranges, gather, hash_ranges, release, spans
 
 CHUNK = 1 << 20
 #: Documents whose units cannot be told by ASCII white space, and the tokenizer's own control string.
@@ -44,7 +44,7 @@ class _Column:
 
     def add(self, x: np.ndarray) -> None:
         if self.n + len(x) > len(self.all):
-            more = np.zeros(max(2 * len(self.all), self.n + len(x)), self.all.dtype)
+            more = np.zeros(max(len(self.all) * 3 // 2, self.n + len(x)), self.all.dtype)
             more[: self.n] = self.all[: self.n]
             self.all = more
         self.all[self.n : self.n + len(x)] = x
@@ -59,7 +59,7 @@ class Tokens:
     not been met again.
     """
 
-    LIMIT, LIMIT_BYTES = 1_000_000, 32 << 20  # of the units that are kept
+    LIMIT, LIMIT_BYTES = 900_000, 24 << 20  # of the units that are kept
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,7 +74,7 @@ class Tokens:
 
     def _clear(self) -> None:
         self.hashes, self.slot = np.zeros(0, U64), np.zeros(0, np.int32)
-        self.at, self.length, self.begin, self.size = (_Column(np.int64) for _ in range(4))
+        self.at, self.length, self.begin, self.size = (_Column(np.int32) for _ in range(4))
         self.ids, self.bytes, self.again = _Column(np.uint32), _Column(np.uint8), _Column(bool)
 
     def _thin(self) -> None:
@@ -84,7 +84,7 @@ class Tokens:
         self._clear()
         if 2 * len(met) > self.LIMIT:
             return
-        at, length, begin, size = (c.all[slot] for c in old[:4])
+        at, length, begin, size = (c.all[slot].astype(np.int64) for c in old[:4])
         self.hashes = hashes
         self._append(at, length, begin, size, gather(old[4].all, at, length), gather(old[5].all, begin, size))
         self.slot = np.arange(len(hashes), dtype=np.int32)
@@ -154,7 +154,7 @@ class Tokens:
             met, kept = np.flatnonzero(known), self.slot[where[known]]
             size = (e - b)[first[met]]
             same = size == self.size.all[kept]
-            same[same] = equal_ranges(data, b[first[met[same]]], self.begin.all[kept[same]], size[same], self.bytes.all)
+            same[same] = equal_ranges(data, b[first[met[same]]], self.begin.all[kept[same]], size[same], self.bytes.all[: self.bytes.n])
             bad = np.concatenate((bad, np.flatnonzero(np.isin(inverse, met[~same]))))
             if not len(bad):
                 break
@@ -170,7 +170,7 @@ class Tokens:
             self._append(at, length, at, size, ids, gather(data, at, size))
             where = np.searchsorted(self.hashes, unique)
         slot = self.slot[where][inverse]
-        length, at = self.length.all[slot], self.at.all[slot]
+        length, at = self.length.all[slot].astype(np.int64), self.at.all[slot].astype(np.int64)
         counts = np.bincount(own, weights=length, minlength=n).astype(np.int64) if len(own) else np.zeros(n, np.int64)
         rest = np.flatnonzero(odd)
         extra = {}
@@ -285,6 +285,7 @@ def _pack(path: str, end_id: int, capacity: int, linear: float, quadratic: float
                 if held >= block_tokens:
                     yield from settle()
         yield from settle()
+        release()
 
     return run
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import BLOCK
 from .shared import stored, unused
-from .text import ALNUM, FOLD, Words, buffers, grams, sliding_min, spans, union_of
+from .text import ALNUM, FOLD, Words, buffers, grams, release, sliding_min, spans, union_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CHUNK = (1 << 20) - 2  # tables of powers have a power of two of entries
@@ -354,6 +354,7 @@ def _clean(block, text_col: str):
                 s, _, _ = matches(block.value, words, words.hashes(fold=True))
                 keep[i + np.searchsorted(words.docs, s, "right") - 1] = False
             yield batch.filter(pa.array(keep))
+        release()
 
     return run
 
