@@ -36,8 +36,10 @@ NESTED = [
 
 def test_nested(spark):
     deep = lambda x: [deep(y) for y in plain(x)] if isinstance(plain(x), list) else plain(x)
-    row = GraphSession(spark, Graph()).query("RETURN " + ", ".join(f"{e} AS c{j}" for j, (e, _) in enumerate(NESTED))).first()
-    assert [(e, deep(got)) for (e, _), got in zip(NESTED, row)] == [(e, want) for e, want in NESTED]
+    for i in range(0, len(NESTED), 6):  # a query of all would be too long for compiled code
+        part = NESTED[i : i + 6]
+        row = GraphSession(spark, Graph()).query("RETURN " + ", ".join(f"{e} AS c{j}" for j, (e, _) in enumerate(part))).first()
+        assert [(e, deep(got)) for (e, _), got in zip(part, row)] == part
 
 
 def test_properties_of_any_shape(spark):
