@@ -174,9 +174,13 @@ S2_SQL = "shared boolean, id long, row long, key long, check long, n long, need_
 SENT, MET = [np.int64, np.uint8, np.uint32, np.uint32, np.uint8, np.uint8], [np.int64, np.uint8, np.uint64]
 
 
+#: Bits of a hash that tell signatures of a bucket apart; the bucket's number stands above them, in up to 27 bits.
+HASH_BITS = 36
+
+
 def _short(hashes: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """What is sent of a hash, 40 bits, with its bucket above them: the same from all tasks."""
-    return hashes & U64((1 << 40) - 1) | bucket.astype(U64) << U64(40)
+    """What is sent of a hash, with its bucket: the same from all tasks."""
+    return hashes & U64((1 << HASH_BITS) - 1) | bucket.astype(U64) << U64(HASH_BITS)
 
 
 class _Held:
@@ -186,32 +190,41 @@ class _Held:
         self.seen: set[tuple[int, int]] = set()
         self.docs = self.size = 0
 
-    def flush(self, buckets: int) -> Iterator[tuple[int, bool, bytes]]:
+    def add(self, sig: np.ndarray, own: np.ndarray, role: np.ndarray, buckets: int) -> None:
+        """Signatures of sets, by their numbers here, as what is sent of them with the role in the lowest bit."""
+        bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
+        self.parts.append((_short(sig, bucket) << U64(1) | role.astype(U64), own.astype(np.uint32)))
+        self.size += len(sig)
+
+    def flush(self) -> Iterator[tuple[int, bool, bytes]]:
         """(bucket, whether its sets have met, packed signatures)."""
         if self.parts:
             keys = np.concatenate(self.keys)
             sig, own = (np.concatenate(x) for x in zip(*self.parts))
-            bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
-            sig = _short(sig, bucket)
-            order = np.lexsort((own & 1, sig))
-            sig, own, bucket = sig[order], own[order], bucket[order]
-            b = runs(sig)
+            self.__init__()
+            order = np.argsort(sig)
+            sig, own = sig[order], own[order]
+            del order
+            b = runs(sig >> U64(1))
             many = np.repeat(np.diff(b) > 1, np.diff(b))
             first = np.zeros(len(sig), bool)
             first[b[:-1]] = True  # one set stands for those that met, of the band itself if any is
             met = np.flatnonzero(many & ~first)
-            for n, lo in enumerate(range(0, len(met), 1 << 16)):
+            for lo in range(0, len(met), 1 << 16):
                 part = met[lo : lo + (1 << 16)]
-                yield (int(sig[part[0]] & U64(0xFFFF)) + n) % buckets, True, _pack(keys[own[part] >> 1], (own[part] & 1).astype(np.uint8), sig[part])
-            sig, own, bucket, many = sig[first], own[first], bucket[first], many[first]
-            order = np.argsort((bucket << U64(32)) | own.astype(U64), kind="stable")
-            sig, own, bucket, many = sig[order], own[order], bucket[order], many[order]
-            b = runs(bucket)
+                yield int(sig[part[len(part) // 2]] >> U64(HASH_BITS + 1)), True, _pack(keys[own[part]], (sig[part] & U64(1)).astype(np.uint8), sig[part] >> U64(1))
+            sig, own, many = sig[first], own[first], many[first]
+            del first, met, b
+            order = np.argsort((sig >> U64(HASH_BITS + 1)) << U64(33) | own.astype(U64) << U64(1) | sig & U64(1))
+            sig, own, many = sig[order], own[order], many[order]
+            del order
+            b = runs(sig >> U64(HASH_BITS + 1))
             for lo, hi in zip(b[:-1].tolist(), b[1:].tolist()):
-                r = runs(own[lo:hi])
-                s = sig[lo:hi]
-                who = own[lo:hi][r[:-1]]
-                yield int(bucket[lo]), False, _pack(keys[who >> 1], (who & 1).astype(np.uint8), np.diff(r).astype(np.uint32), s.astype(np.uint32), (s >> U64(32)).astype(np.uint8), many[lo:hi].view(np.uint8))
+                who = own[lo:hi].astype(np.int64) << 1 | (sig[lo:hi] & U64(1)).astype(np.int64)
+                r = runs(who)
+                s = sig[lo:hi] >> U64(1)
+                who = who[r[:-1]]
+                yield int(sig[lo] >> U64(HASH_BITS + 1)), False, _pack(keys[who >> 1], (who & 1).astype(np.uint8), np.diff(r).astype(np.uint32), s.astype(np.uint32), (s >> U64(32)).astype(np.uint8), many[lo:hi].view(np.uint8))
         self.__init__()
 
 
@@ -246,7 +259,7 @@ def sign(sets: Sets, bands: Bands, docs: np.ndarray) -> tuple[tuple[np.ndarray,
 
 def _sign(buckets: int, k: int, threshold: Fraction, key_bits: int):
     def blobs(held: _Held) -> Iterator[pa.RecordBatch]:
-        for b, met, blob in held.flush(buckets):
+        for b, met, blob in held.flush():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([met]), pa.array([blob], pa.binary()), *(pa.nulls(1, f.type) for f in list(S1)[3:])], schema=S1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +281,9 @@ def _sign(buckets: int, k: int, threshold: Fraction, key_bits: int):
                         fresh[x] = True
                 take = fresh[of]
                 number = held.docs + np.cumsum(fresh) - 1
-                held.parts.append((sig[take], number[of[take]] * 2 + role[take]))
+                held.add(sig[take], number[of[take]], role[take], buckets)
                 held.keys.append(keys[mine][fresh])
                 held.docs += int(fresh.sum())
-                held.size += int(take.sum())
                 n = j - i
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((np.arange(i, j) * 7919 % buckets).astype(np.int32)), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), batch.column("id").slice(i, n), batch.column("row").slice(i, n), pa.array(keys), pa.array(sets.checks), pa.array(sets.sizes, pa.int64()), pa.array(need_own), pa.array(need_low)],

@@ -34,18 +34,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-#: Deletes the shuffle files of a plan when it has run.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: delete the plan's shuffle files when it has run, and hand Python small batches of texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def _writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -57,7 +59,7 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    with _cleaned(spark):
+    with _writing(spark):
         df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if _SCRATCH:
