@@ -19,11 +19,7 @@ def duck():
     return c
 
 
-#: Writes and paths make many small jobs; the driver runs them all, these stand for the rest here.
-SLOW = {"create_rels", "merge_rel", "set_variants", "remove_props", "detach_delete", "unique_violation", "live_full_diff", "live_anchored_diff", "parity_seed_index", "show_indexes", "show_constraints", "merge_node", "shortest_path_nodes", "shortest_path_len", "varlen_undirected"}
-
-
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_same_rows(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
