@@ -224,7 +224,7 @@ class _Held:
                 r = runs(who)
                 s = sig[lo:hi] >> U64(1)
                 who = who[r[:-1]]
-                yield int(sig[lo] >> U64(HASH_BITS + 1)), False, _pack(keys[who >> 1], (who & 1).astype(np.uint8), np.diff(r).astype(np.uint32), s.astype(np.uint32), (s >> U64(32)).astype(np.uint8), many[lo:hi].view(np.uint8))
+                yield int(sig[lo] >> U64(HASH_BITS + 1)), False, _pack(keys[who >> 1], (who & 1).astype(np.uint8), np.diff(r).astype(np.uint32), s.astype(np.uint32), (s >> U64(32) & U64(15)).astype(np.uint8), many[lo:hi].view(np.uint8))
         self.__init__()
 
 
@@ -299,21 +299,30 @@ def _sign(buckets: int, k: int, threshold: Fraction, key_bits: int):
 
 def _meet(blobs: list[bytes], bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, signature, role) of the bucket's signatures that a set shares with a possible partner."""
-    keys, roles, sigs, known = [], [], [], []
+    # One number a signature: its hash, whether it has met others, its role, and the place of its set among all that were sent.
+    parts, keys, held = [], [], 0
     for blob in blobs:
         key, role, count, lo, hi, many = _unpack(blob, SENT)
-        keys.append(np.repeat(key, count))
-        roles.append(np.repeat(role, count))
-        sigs.append(lo.astype(U64) | hi.astype(U64) << U64(32))
-        known.append(many.view(bool))
-    sig, key, role, many = np.concatenate(sigs), np.concatenate(keys), np.concatenate(roles), np.concatenate(known)
-    del sigs, keys, roles, known
-    order = np.argsort(sig)
-    b = runs(sig[order])
-    order = order[np.repeat((np.diff(b) > 1) | np.logical_or.reduceat(many[order], b[:-1]) if len(sig) else np.zeros(0, bool), np.diff(b))]
-    order = order[np.lexsort((role[order], key[order], sig[order]))]
-    sig, key, role, many = sig[order], key[order], role[order], many[order]
+        place = held + np.arange(len(key), dtype=np.int64)
+        own = np.repeat(place.astype(U64) << U64(1) | role.astype(U64), count)
+        parts.append((lo.astype(U64) | hi.astype(U64) << U64(32)) << U64(28) | many.astype(U64) << U64(27) | own)
+        keys.append(key)
+        held += len(key)
+    if held >> 26:
+        raise ValueError("too many sets in a bucket: lower bucket_signatures")
+    key, all_ = np.concatenate(keys), np.concatenate(parts)
+    del parts, keys
+    all_.sort()
+    b = runs(all_ >> U64(28))
+    shared = np.diff(b) > 1
+    shared[~shared] = (all_[b[:-1][~shared]] >> U64(27) & U64(1)).astype(bool)
+    all_ = all_[np.repeat(shared, np.diff(b))]
+    sig, many, role = all_ >> U64(28), (all_ >> U64(27) & U64(1)).astype(bool), (all_ & U64(1)).astype(np.uint8)
+    key = key[(all_ >> U64(1) & U64((1 << 26) - 1)).astype(np.int64)]
+    del all_
     if len(sig):
+        order = np.lexsort((role, key, sig))
+        sig, key, role, many = sig[order], key[order], role[order], many[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
         at = np.flatnonzero(new)
@@ -632,7 +641,7 @@ def _joined(labelled: DataFrame, asking: DataFrame, threshold: Fraction) -> Data
     return stored(labelled.join(joined, "label", "left").select("component", "key", F.coalesce("to", "label").alias("label"), "shingles"), "joined")
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 1_000_000, task_shingles: int = 1 << 18, key_bits: int = 64) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4), bucket_signatures: int = 2_000_000, task_shingles: int = 1 << 18, key_bits: int = 64) -> DataFrame:
     """One row (id, n_shingles, component, row, group) for each row of `documents`.
 
     Words are A-Z lower-cased; a text of fewer than `k` words is one shingle.
@@ -653,7 +662,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 def _near_duplicates(documents: DataFrame, id_col: str, text_col: str, k: int, threshold: Fraction, bucket_signatures: int, task_shingles: int, key_bits: int, scratch: Scratch) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    buckets = max(32, estimated_bytes(documents, text_col) * 3 // 8 // bucket_signatures)
+    buckets = max(32, estimated_bytes(documents, text_col) // 4 // bucket_signatures)
     sent = docs.mapInArrow(_sign(buckets, k, threshold, key_bits), S1_SQL)
     met = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_share(), S2_SQL), "signatures")
     members = met.where("not shared").select(*MEMBER)
