@@ -708,13 +708,15 @@ def _near_duplicates(documents: DataFrame, id_col: str, text_col: str, k: int, t
     members_of = stored(live.join(groups, "key").select("class", "component", "n"), "groups")
     large = stored(members_of.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > task_shingles).select("component"), "large")
 
-    def sets_of(some: DataFrame) -> DataFrame:
-        return sets.join(some.select("class", "component"), "class").select("component", F.col("class").alias("key"), "shingles")
-
-    small = sets_of(members_of.join(large, "component", "left_anti"))
+    marked = members_of.join(large.withColumn("big", F.lit(True)), "component", "left").select("class", "component", F.coalesce("big", F.lit(False)).alias("big"))
+    marked = stored(marked, "marked")
+    if marked.count() * 32 <= BROADCAST_BYTES:
+        marked = F.broadcast(marked)
+    grouped = sets.join(marked, "class").select("component", F.col("class").alias("key"), "shingles", "big")
+    small = grouped.where("not big").drop("big")
     links = stored(small.repartition("component").sortWithinPartitions("component").mapInArrow(_link(threshold), "key long, label long"), "links")
     if not large.isEmpty():
-        links = links.unionByName(_large_links(sets_of(members_of.join(large, "component", "left_semi")), threshold, task_shingles))
+        links = links.unionByName(_large_links(grouped.where("big").drop("big"), threshold, task_shingles))
     named = classes.join(links.withColumnRenamed("key", "class"), "class", "left").select("class", "low", F.coalesce("label", "class").alias("label"))
     lows = stored(named.groupBy("label").agg(F.min("low").alias("component")), "lows")
     named = stored(named.join(lows, "label").select("class", "component", F.col("label").alias("group")), "named")
