@@ -596,6 +596,9 @@ def _compare(asked, threshold: Fraction):
     return run
 
 
+#: Edges of a graph that one task joins, a few MB; larger graphs are contracted first.
+TASK_EDGES = 1 << 17
+
 #: Bytes of sets that are broadcast at once.
 ASKED_BYTES = 16 << 20
 
@@ -609,7 +612,7 @@ def _large_links(sets: DataFrame, threshold: Fraction, task_shingles: int) -> Da
     component's most frequent label; the sets there meet all others as well.
     """
     big = stored(sets.repartitionByRange("component", "key").sortWithinPartitions("component"), "sets")
-    inside = connected_components(big.mapInArrow(_link_blocks(threshold, task_shingles), "a long, b long"))
+    inside = connected_components(big.mapInArrow(_link_blocks(threshold, task_shingles), "a long, b long"), task_edges=TASK_EDGES)
     labelled = stored(big.join(inside.toDF("key", "named"), "key", "left").select("component", "key", F.coalesce("named", "key").alias("label"), "shingles"), "labelled")
     many = stored(labelled.groupBy("component", "label").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).select("component", F.col("label").alias("key")), "many")
     labelled = _joined(labelled, labelled.join(many, ["component", "key"], "left_semi"), threshold)
@@ -637,7 +640,7 @@ def _joined(labelled: DataFrame, asking: DataFrame, threshold: Fraction) -> Data
             held, size = {}, 0
     if not pairs:
         return labelled
-    joined = connected_components(reduce(DataFrame.unionByName, pairs)).toDF("label", "to")
+    joined = connected_components(reduce(DataFrame.unionByName, pairs), task_edges=TASK_EDGES).toDF("label", "to")
     return stored(labelled.join(joined, "label", "left").select("component", "key", F.coalesce("to", "label").alias("label"), "shingles"), "joined")
 
 
@@ -694,7 +697,7 @@ def _near_duplicates(documents: DataFrame, id_col: str, text_col: str, k: int, t
     sets = stored(sets.mapInArrow(_sets(k), SETS_SQL), "sets")
     spread = max(32, (sets.agg(F.sum("n")).first()[0] or 0) // bucket_signatures)
     found = sets.mapInArrow(_scatter(spread), "bucket int, blob binary, class long, shared long").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, "class long, shared long")
-    found = stored(found.groupBy("class").agg(F.sum("shared").alias("shared")), "shared")
+    found = found.groupBy("class").agg(F.sum("shared").alias("shared"))
     live = sets.join(found, "class").where(F.col("shared") * threshold.denominator >= F.col("n") * threshold.numerator)
     live = stored(live.select("key", "class", "n"), "live")
 
@@ -702,7 +705,7 @@ def _near_duplicates(documents: DataFrame, id_col: str, text_col: str, k: int, t
     still = left.join(live.select("key").distinct(), "key")
     kept = stored(shared.join(still, "key").where("(role = 0 and as_own) or (role = 1 and as_small)").select("sig", "key", "role"), "kept")
     stars = kept.groupBy("sig").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("role").alias("least")).where("first <> last and least = 0").select("sig", "first")
-    groups = connected_components(kept.join(stars, "sig").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()).toDF("key", "component")
+    groups = connected_components(kept.join(stars, "sig").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")), task_edges=TASK_EDGES).toDF("key", "component")
     if clashes:
         groups = groups.unionByName(clash.join(groups, "key", "left_anti").select("key", F.col("key").alias("component")))
     members_of = stored(live.join(groups, "key").select("class", "component", "n"), "groups")
@@ -716,11 +719,16 @@ def _near_duplicates(documents: DataFrame, id_col: str, text_col: str, k: int, t
     small = grouped.where("not big").drop("big")
     links = stored(small.repartition("component").sortWithinPartitions("component").mapInArrow(_link(threshold), "key long, label long"), "links")
     if not large.isEmpty():
-        links = links.unionByName(_large_links(grouped.where("big").drop("big"), threshold, task_shingles))
-    named = classes.join(links.withColumnRenamed("key", "class"), "class", "left").select("class", "low", F.coalesce("label", "class").alias("label"))
-    lows = stored(named.groupBy("label").agg(F.min("low").alias("component")), "lows")
-    named = stored(named.join(lows, "label").select("class", "component", F.col("label").alias("group")), "named")
-    scratch.keep(met, keys, named)
+        links = stored(links.unionByName(_large_links(grouped.where("big").drop("big"), threshold, task_shingles)), "links")
+    # Classes that are linked take the smallest id of their label; all others have their own.
+    links = links.withColumnRenamed("key", "class")
+    if links.count() * 32 <= BROADCAST_BYTES:
+        links = F.broadcast(links)
+    linked = stored(classes.join(links, "class").select("class", "low", "label"), "linked")
+    lows = linked.groupBy("label").agg(F.min("low").alias("component"))
+    named = stored(linked.join(lows, "label").select("class", "component", F.col("label").alias("group")), "named")
+    scratch.keep(met, keys, classes, named)
+    named = classes.select("class", "low").join(named, "class", "left").select("class", F.coalesce("component", "low").alias("component"), F.coalesce("group", "class").alias("group"))
     alone = F.when(F.col("n") == 0, F.col("id"))
     return members.join(named, "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce(alone, "component").alias("component"), "row", "group")
 

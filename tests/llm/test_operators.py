@@ -168,6 +168,16 @@ def test_components_against_union_find(spark):
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: find(x) for x in list(parent)}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for held in (3, 12, 40, 1000):  # one task closes what few edges are left
+        closed = components.connected_components(spark.createDataFrame([(-b if b else b, -a if a else a) for a, b in edges], "a long, b long"), task_edges=held)
+        groups = defaultdict(set)
+        for x, c in closed.collect():
+            groups[c].add(x)
+        want = defaultdict(set)
+        for x in parent:
+            want[find(x)].add(-x)
+        assert sorted(groups.items()) == sorted((min(v), v) for v in want.values())
+    assert components.connected_components(spark.createDataFrame([(4, 4), (None, 1)], "a long, b long"), task_edges=9).count() == 0
 
 
 # 2. Sharding.
@@ -522,6 +532,19 @@ def test_jaccard_join_joins_what_blocks_cut(spark):
     assert bag(partenum.near_duplicates_report(docs, task_shingles=300)) == want
 
 
+@pytest.mark.parametrize("task_shingles", [1 << 18, 600])
+def test_a_long_chain_of_near_copies_takes_as_few_tables_as_a_short_one(spark, monkeypatch, task_shingles):
+    """Few edges, however long their paths, are joined in one step, not in rounds of as many tasks as there are partitions."""
+    made, stored = Counter(), components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: (made.update([name]), stored(df, name))[1])
+    w = words(31, 500)
+    data = [(i, " ".join(w[2 * i : 2 * i + 60])) for i in range(200)] + [(i, " ".join(words(i, 30))) for i in range(500, 520)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert bag(partenum.near_duplicates_report(docs, task_shingles=task_shingles)) == brute_links(data)
+    assert made["edges"] == made["low"] == made["components"] and not made["labels"]
+    assert made["edges"] == 1 if task_shingles > 600 else 1 < made["edges"] <= 4
+
+
 def test_structured_words_and_weak_keys_link_nothing_falsely(spark, rows):
     """Words that polynomial hashes take for one another; and keys of 3 bits, under which most sets meet."""
     texts = [thue_morse(1024), thue_morse(1024, "b", "a"), thue_morse(1024) + " x", "p q r s " + thue_morse(2048), "p q r s " + thue_morse(2048, "b", "a")]
